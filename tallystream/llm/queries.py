@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallystream.llm.minhash import near_duplicates
+from tallystream.llm.sharding import ring_shards
 from tallystream.llm.tables import table
 
 
@@ -15,8 +16,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op10_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of documents from a bounded-load ring."""
+    return ring_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op10_consistent_hash_sharding": op10_consistent_hash_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
