@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallystream.llm.bpe import encode_decode
 from tallystream.llm.minhash import near_duplicates
 from tallystream.llm.sharding import ring_shards
 from tallystream.llm.tables import table
@@ -21,8 +23,18 @@ def op10_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame
     return ring_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def word_vocabulary() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of documents."""
+    return encode_decode(table(spark, sf_dir, "documents"), word_vocabulary)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op10_consistent_hash_sharding": op10_consistent_hash_sharding,
 }
 
