@@ -256,18 +256,22 @@ def _digests(path, ids_too: bool):
             if ids_too:
                 columns.append(pa.array(raw, pa.list_(pa.int32())))
                 names.append("ids")
+            columns += batch.columns[2:]
+            names += batch.schema.names[2:]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def encode_decode(docs: DataFrame, path: str | Callable[[], str], *, ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | Callable[[], str], *, ids: bool = False, rows: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
     path: the vocabulary's file, or a function that gives it on an executor.  Returns a row per input row: doc_id,
     n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the tokens joined by one space, as
-    the file names no decoder), and with ids the ids themselves.  A null text is an empty one: no tokens, the digests of nothing.  Columns other
+    the file names no decoder), with ids the ids themselves, and with rows the input row as a struct.  A null text is an empty one: no tokens, the digests of nothing.  Columns other
     than doc_id and text are ignored; equal rows give equal rows.
     """
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(path, ids), schema)
+    return d.mapInArrow(_digests(path, ids), schema + (f", row {d.schema['row'].dataType.simpleString()}" if rows else ""))

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallystream.llm.bpe import encode_decode
+from tallystream.llm.langid import fit, held_out, identify
 from tallystream.llm.minhash import near_duplicates
+from tallystream.llm.mixing import mix
 from tallystream.llm.sharding import ring_shards
 from tallystream.llm.tables import table
 
@@ -18,11 +21,24 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in a mix of 1.5 times all documents, sources weighing 5, 2, 1 in turn."""
+    plan = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return plan.select("doc_id", "size", "source", "source_size", "target", "taken", F.transform("places", lambda p: p.shard).alias("shards"))
+
+
 def op10_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of documents from a bounded-load ring."""
     return ring_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of documents, learned from the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_languages")
+
+
 def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -34,7 +50,9 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_language_mixture": op2_language_mixture,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op8_source_mixing": op8_source_mixing,
     "op10_consistent_hash_sharding": op10_consistent_hash_sharding,
 }
 
