@@ -14,6 +14,7 @@ from tallystream.llm.minhash import near_duplicates
 from tallystream.llm.mixing import mix
 from tallystream.llm.sharding import ring_shards
 from tallystream.llm.tables import table
+from tallystream.llm.tokencount import token_counts
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,15 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_languages")
 
 
+def byte_vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents, from counts per distinct pre-token."""
+    return token_counts(table(spark, sf_dir, "documents"), byte_vocabulary, limit=512)
+
+
 def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -51,6 +61,7 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_mixture": op2_language_mixture,
+    "op4_token_counts": op4_token_counts,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op8_source_mixing": op8_source_mixing,
     "op10_consistent_hash_sharding": op10_consistent_hash_sharding,
