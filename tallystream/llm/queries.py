@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallystream.llm.ann import nearest
 from tallystream.llm.bpe import encode_decode
 from tallystream.llm.langid import fit, held_out, identify
 from tallystream.llm.minhash import near_duplicates
@@ -28,6 +29,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source", "source_size", "target", "taken", F.transform("places", lambda p: p.shard).alias("shards"))
 
 
+def op9_projection_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth embedding."""
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of documents from a bounded-load ring."""
     return ring_shards(table(spark, sf_dir, "documents"), shards=8)
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op8_source_mixing": op8_source_mixing,
+    "op9_projection_forest_search": op9_projection_forest_search,
     "op10_consistent_hash_sharding": op10_consistent_hash_sharding,
 }
 
