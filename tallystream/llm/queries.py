@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from tallystream.llm.ann import nearest
 from tallystream.llm.bpe import encode_decode
+from tallystream.llm.htmltext import main_text
 from tallystream.llm.langid import fit, held_out, identify
 from tallystream.llm.minhash import near_duplicates
 from tallystream.llm.mixing import mix
 from tallystream.llm.sharding import ring_shards
 from tallystream.llm.tables import table
 from tallystream.llm.tokencount import token_counts
+from tallystream.llm.warc import derivatives, responses
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of pages as WARC responses: their links and digests."""
+    return derivatives(responses(table(spark, sf_dir, "pages"))).drop("record")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document in a mix of 1.5 times all documents, sources weighing 5, 2, 1 in turn."""
     plan = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
@@ -55,6 +62,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_vocabulary, limit=512)
 
 
+def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of pages."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -68,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_mixture": op2_language_mixture,
     "op4_token_counts": op4_token_counts,
+    "op5_page_differencing": op5_page_differencing,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_source_mixing": op8_source_mixing,
     "op9_projection_forest_search": op9_projection_forest_search,
     "op10_consistent_hash_sharding": op10_consistent_hash_sharding,
