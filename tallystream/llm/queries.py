@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallystream.llm.ann import nearest
 from tallystream.llm.bpe import encode_decode
 from tallystream.llm.htmltext import main_text
+from tallystream.llm.jpeg import media_digests
 from tallystream.llm.langid import fit, held_out, identify
 from tallystream.llm.minhash import near_duplicates
 from tallystream.llm.mixing import mix
@@ -53,6 +54,11 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_languages")
 
 
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as coefficients of progressive JPEGs and read back."""
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def byte_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -79,6 +85,7 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_mixture": op2_language_mixture,
+    "op3_progressive_jpeg": op3_progressive_jpeg,
     "op4_token_counts": op4_token_counts,
     "op5_page_differencing": op5_page_differencing,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
