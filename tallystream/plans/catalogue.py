@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallystream.functions import kernels as K
 from tallystream.functions import statistics as S
 from tallystream.functions import survival as V
 from tallystream.operators import reducers as R
@@ -516,3 +517,78 @@ def _(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     o = A.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate").withColumn("i", F.row_number().over(w)).where("i = 1")
     return o.select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("run_ref"), F.col("o_orderstatus").alias("status"))
+
+
+@query("queueing_erlang_c_staffing", _FLOW.replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + """, a AS (SELECT avg(arrivals / date_diff('day', period_start, (period_start + INTERVAL 1 MONTH)::DATE)) * 2.5 AS load FROM flow),
+b AS (SELECT 0 AS c, 1.0::DOUBLE AS b, load FROM a UNION ALL SELECT c + 1, load * b / (c + 1 + load * b), load FROM b WHERE c < 20),
+w AS (SELECT c, load, CASE WHEN load < c THEN b / (1 - load / c * (1 - b)) ELSE 1 END AS p FROM b WHERE c > 0), s AS (SELECT *, CASE WHEN load < c THEN 1 - p * exp(-(c - load) * 0.5 / 2.5) ELSE 0 END AS served FROM w)
+--select SELECT load, c::INT AS servers, load / c AS utilisation, p AS p_wait, served, (SELECT min(c) FROM s WHERE served >= 0.8)::INT AS required FROM s""", "load utilisation p_wait served")
+def _(spark, d):
+    rate = S.little_law(_flow(spark, d)).select((F.col("rate") * 2.5).alias("load"))
+    return K.staffing(rate, 20, 0.5, 0.8, 2.5)
+
+
+@query("calibration_isotonic", """WITH s AS (SELECT round(l_discount * 10, 6) AS p, count(*) AS n, sum((l_returnflag = 'R')::INT)::BIGINT AS hits FROM lineitem GROUP BY 1),
+m AS (SELECT a.p AS i, b.p AS j, c.p AS k, sum(d.hits) / sum(d.n) AS v FROM s a JOIN s b ON b.p <= a.p JOIN s c ON c.p >= a.p JOIN s d ON d.p BETWEEN b.p AND c.p GROUP BY 1, 2, 3), lo AS (SELECT i, j, min(v) AS v FROM m GROUP BY 1, 2)
+--select SELECT p, n, hits, (SELECT max(v) FROM lo WHERE i = p) AS fitted FROM s""", "p fitted")
+def _(spark, d):
+    return K.isotonic(A.scores(spark, d))
+
+
+@query("pairwise_elo_update")
+def elo_update(spark, d):
+    o = A.table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.col("o_orderpriority").alias("league"))
+    l = A.table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))  # noqa: E741
+    two = l.groupBy("l_orderkey").agg(F.max_by("l_suppkey", F.struct("q", "l_suppkey")).alias("winner_ref"), F.min_by("l_suppkey", F.struct("q", "l_suppkey")).alias("loser_ref"), (F.max("q") == F.min("q")).alias("drawn"))
+    g = two.where("winner_ref <> loser_ref").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return K.elo(g.select("league", F.col("o_orderkey").alias("game"), F.to_date("o_orderdate").alias("at"), "winner_ref", "loser_ref", "drawn"))
+
+
+@query("text_tfidf_similarity", r"""WITH qw AS (SELECT item_id AS q, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS t FROM benchmark), dw AS (SELECT doc_id AS d, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS t FROM documents),
+qc AS (SELECT q, t, count(*) AS c FROM qw GROUP BY 1, 2), dc AS (SELECT d, t, count(*) AS c FROM dw GROUP BY 1, 2), f AS (SELECT t, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM dc GROUP BY t),
+qv AS (SELECT q, t, (1 + ln(c)) * idf AS w FROM qc JOIN f USING (t)), dv AS (SELECT d, t, (1 + ln(c)) * idf AS w FROM dc JOIN f USING (t)), qn AS (SELECT q, sqrt(sum(w * w)) AS n FROM qv GROUP BY 1), dn AS (SELECT d, sqrt(sum(w * w)) AS n FROM dv GROUP BY 1),
+s AS (SELECT qv.q, dv.d, round(sum(qv.w * dv.w) / (any_value(qn.n) * any_value(dn.n)), 6) AS score FROM qv JOIN dv USING (t) JOIN qn ON qn.q = qv.q JOIN dn ON dn.d = dv.d GROUP BY 1, 2), r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank, d, score FROM s)
+--select SELECT * FROM r WHERE rank <= 5""", "score")
+def _(spark, d):
+    return K.tfidf_similarity(A.table(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text"), A.table(spark, d, "documents").select(F.col("doc_id").alias("d"), "text"), 5)
+
+
+@query("relational_request_queue", " --select SELECT o_orderkey AS request_ref, c_name AS member, status_rank FROM (SELECT o_orderkey, o_custkey, o_orderdate, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS status_rank FROM orders) LEFT JOIN customer ON c_custkey = o_custkey WHERE status_rank < 2 ORDER BY status_rank, o_orderdate, o_orderkey LIMIT 100")
+def _(spark, d):
+    rank = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)  # the enum's order, not the text's
+    o = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", rank.alias("status_rank")).where("status_rank < 2")
+    c = A.table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("member"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").orderBy("status_rank", "o_orderdate", "o_orderkey").limit(100).select(F.col("o_orderkey").alias("request_ref"), "member", "status_rank")
+
+
+@query("relational_memberships_with_counts", " --select SELECT c_custkey AS member_ref, n_name AS group_name, (SELECT count(*) FROM customer x WHERE x.c_nationkey = customer.c_nationkey AND x.c_acctbal > 0) AS members FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING'")
+def _(spark, d):
+    c = A.table(spark, d, "customer")
+    n = A.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("group_name"))
+    sizes = c.where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    mine = c.where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_nationkey").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(sizes, F.col("c_nationkey") == F.col("k"), "left")
+    return mine.select(F.col("c_custkey").alias("member_ref"), "group_name", F.coalesce("m", F.lit(0)).alias("members"))
+
+
+@query("relational_members_without_requests", " --select SELECT c_custkey AS member_ref FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def _(spark, d):
+    return A.table(spark, d, "customer").select(F.col("c_custkey").alias("member_ref")).join(A.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("member_ref")), "member_ref", "left_anti")
+
+
+@query("relational_health_by_status", " --select SELECT o_orderstatus AS status, o_orderpriority AS kind, count(*) AS runs FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderstatus, o_orderpriority), ())")
+def _(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("kind"))
+    return o.groupingSets([["status"], ["status", "kind"], []], "status", "kind").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query("reducer_due_spells", """ --select SELECT o_orderkey AS due_ref, o_orderdate::DATE AS due_at, CASE WHEN s < DATE '2000-01-01' THEN s - o_orderdate::DATE ELSE DATE '2000-01-01' - o_orderdate::DATE END AS duration_days, coalesce(s < DATE '2000-01-01', false) AS event_observed,
+  CASE WHEN s < DATE '2000-01-01' THEN 'none' WHEN o_orderstatus = 'P' THEN 'competing' ELSE 'administrative' END AS censoring FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate::DATE) AS s FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '2000-01-01'""")
+def _(spark, d):
+    s = A.table(spark, d, "lineitem").where("l_returnflag <> 'R'").groupBy("l_orderkey").agg(F.min(F.to_date("l_shipdate")).alias("s"))
+    end, due = F.lit(A.END).cast("date"), F.to_date("o_orderdate")
+    paid = F.coalesce(F.col("s") < end, F.lit(False))
+    o = A.table(spark, d, "orders").where(F.col("o_orderdate") < F.lit(A.END).cast("timestamp_ntz")).join(s, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return o.select(
+        F.col("o_orderkey").alias("due_ref"), due.alias("due_at"), F.date_diff(F.when(paid, F.col("s")).otherwise(end), due).alias("duration_days"), paid.alias("event_observed"),
+        F.when(paid, "none").when(F.col("o_orderstatus") == "P", "competing").otherwise("administrative").alias("censoring"),
+    )

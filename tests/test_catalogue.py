@@ -25,7 +25,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, db, name):
     df = QUERIES[name](spark, SMALL)
     got = [tuple(r) for r in df.collect()]
