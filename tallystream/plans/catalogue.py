@@ -592,3 +592,18 @@ def _(spark, d):
         F.col("o_orderkey").alias("due_ref"), due.alias("due_at"), F.date_diff(F.when(paid, F.col("s")).otherwise(end), due).alias("duration_days"), paid.alias("event_observed"),
         F.when(paid, "none").when(F.col("o_orderstatus") == "P", "competing").otherwise("administrative").alias("censoring"),
     )
+
+
+@query("voting_stv")
+def single_transferable_vote(spark, d):
+    return K.stv(A.ballots(spark, d), 2)
+
+
+@query("pairwise_bradley_terry")
+def bradley_terry(spark, d):
+    return K.bradley_terry(R.pairwise_results(A.ballots(spark, d)))
+
+
+@query("changepoint_detect_level_shifts")
+def level_shifts(spark, d):
+    return K.level_shifts(_arrivals(spark, d))
