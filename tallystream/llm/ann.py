@@ -4,7 +4,7 @@ The trees are fitted on a bounded sample of vectors: each node projects its vect
 (moved towards the means of their sides) and splits at the median.  Every distinct vector is routed to one leaf of each tree.  A
 query descends all trees with one priority queue, ordered by the sum of the squared margins it would have to cross,
 and takes leaves in that order until its budget of leaves is used.  Queries meet the vectors of their leaves in tasks keyed by leaf and
-salt; a task keeps a query's best that reach the k-th best of a part of the sample, and the union of these is ranked exactly.
+salt; a task keeps a query's best that reach the k-th best of the sample's vectors in these leaves, and the union of these is ranked exactly.
 """
 
 from __future__ import annotations
@@ -43,6 +43,11 @@ class Forest:
         self.normal = np.array(self.normal, np.float64).reshape(-1, d)
         self.offset = np.array(self.offset)
         self.child = np.array(self.child, np.int64).reshape(-1, 2)
+        # The sample's vectors in each leaf, leaf after leaf.
+        leaf_of = self.route(sample) if len(sample) else np.zeros((0, trees), np.int64)
+        order = np.argsort(leaf_of.ravel(), kind="stable")
+        self.member = order // max(1, trees)
+        self.start = np.searchsorted(leaf_of.ravel()[order], np.arange(self.leaves + 2))
 
     def _grow(self, x: np.ndarray, at: np.ndarray, leaf: int, rng, depth: int) -> int:
         for _ in range(4 if len(at) > leaf and depth < 40 else 0):
@@ -106,11 +111,10 @@ def _packed(column: pd.Series) -> np.ndarray:
 
 
 def _routed(forest, budget: float, k: int):
-    """Where vectors lie (budget 0) or which leaves a query takes, and what a candidate must reach: the k-th best of an eighth of the sample."""
+    """Where vectors lie (budget 0) or which leaves a query takes, and what a candidate must reach: the k-th best of the sample's vectors in these leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Forest = forest.value
-        some = f.sample[: min(2048, len(f.sample) // 8)]
         most = max(1, round(budget * f.leaves / max(1, len(f.root)))) + len(f.root)
         for batch in batches:
             if not batch.num_rows:
@@ -119,10 +123,12 @@ def _routed(forest, budget: float, k: int):
             least = np.full(len(x), -np.inf)
             if budget:
                 leaves = [f.search(v, most) for v in x]
-                if len(some) > k:
-                    for i in range(0, len(x), 128):
-                        near = x[i : i + 128] @ some.T
-                        least[i : i + 128] = np.partition(near, -k, axis=1)[:, -k] - 1e-9
+                for i, taken in enumerate(leaves):
+                    met = np.zeros(len(f.sample), bool)
+                    for leaf in taken:
+                        met[f.member[f.start[leaf] : f.start[leaf + 1]]] = True
+                    if met.sum() >= k:
+                        least[i] = np.partition(f.sample[met] @ x[i], -k)[-k] - 1e-9
             else:
                 leaves = f.route(x).tolist()
             yield pa.RecordBatch.from_arrays(
