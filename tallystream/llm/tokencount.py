@@ -1,32 +1,32 @@
 """Token counts without token ids: pieces are counted once per distinct pre-token and joined to its frequencies.
 
-Every task splits whole texts into pre-tokens, and turns a chunk of documents into one row per distinct pre-token, with the
-documents of the chunk that hold it and how often.  The rows are dealt by pre-token; there each distinct pre-token is
-counted once by the tokenizers library, joined to its rows, and the products are summed per document.  Pre-tokens that fill a good part
+Every task splits whole texts into pre-tokens, and turns a chunk of documents into one row per bucket of distinct pre-tokens, with the
+documents of the chunk that hold each one and how often.  The rows are dealt by bucket; there each distinct pre-token is
+counted once by the tokenizers library, joined to its entries, and the products are summed per document.  Pre-tokens that fill a good part
 of a chunk are dealt over several salts, so that no frequent word lands in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Documents of a chunk at most, and (document, pre-token) pairs after which one ends early.
-CHUNK, PAIRS = 8192, 1_500_000
-#: Documents of a chunk that must hold a pre-token for it to be salted, and the salts.
-FREQUENT, SALTS = 256, 16
+#: Documents of a chunk at most, and entries after which one ends early.
+CHUNK, PAIRS = 8192, 2_000_000
+#: Entries of a pre-token in a chunk from which it is salted, the salts, and the buckets that pre-tokens are hashed into (tasks that can share the work).
+FREQUENT, SALTS, BUCKETS = 256, 16, 2048
 #: Words whose pre-tokens, and pre-tokens whose pieces, are remembered at once.
-MEMORY = 300_000
+MEMORY = 500_000
 # The pre-token pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRE = regex.compile(PATTERN)
@@ -35,103 +35,148 @@ _ODD = regex.compile(r"\s\s|[^\S \n]|^\s|\s$|[\x1c-\x1f]|[^\x00-ԯ]")
 
 
 class PreTokenizer:
-    """Frequencies of a text's pre-tokens; words seen before are not matched again."""
+    """Turns texts into numbers of pre-tokens; words seen before are not matched again."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.library = tokenizer.pre_tokenizer
-        self.words: dict[str, list[str]] = {}
+        self.forget()
 
-    def _pieces(self, word: str) -> list[str]:
+    def forget(self) -> None:
+        self.tokens: list[str] = []
+        self.bucket: list[int] = []
+        self.number: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
+
+    def _of(self, token: str) -> int:
+        n = self.number.get(token)
+        if n is None:
+            n = self.number[token] = len(self.tokens)
+            self.tokens.append(token)
+            self.bucket.append(zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS)
+        return n
+
+    def _pieces(self, word: str) -> list[int]:
         got = self.words.get(word)
         if got is None:
-            got = _PRE.findall(word)
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            self.words[word] = got
+            got = self.words[word] = [self._of(p) for p in _PRE.findall(word)]
         return got
 
-    def frequencies(self, text: str) -> tuple[Counter, int]:
-        """Of a text: pre-tokens with their number, and the number of special tokens in it."""
-        out: Counter = Counter()
-        specials = 0
+    def add(self, text: str, tokens: list[int], counts: list[int]) -> None:
+        """Append the pre-tokens of a text and how often each is there; one may come more than once."""
         for part in self.cut.split(text) if self.cut and any([x in text for x in self.special]) else [text]:
             if part in self.special:
-                specials += 1
+                tokens.append(self._of(part))
+                counts.append(1)
             elif _ODD.search(part) is None:
                 lines = part.split("\n")
                 if len(lines) > 1:
-                    out["\n"] += len(lines) - 1
+                    tokens.append(self._of("\n"))
+                    counts.append(len(lines) - 1)
                 words: Counter = Counter()
                 for line in lines:
                     first, *rest = line.split(" ")
-                    for p in self._pieces(first):
-                        out[p] += 1
+                    found = self._pieces(first)
+                    tokens += found
+                    counts += [1] * len(found)
                     words.update(rest)
+                known = self.words.get
                 for w, n in words.items():
-                    for p in self._pieces(" " + w):
-                        out[p] += n
+                    w = " " + w
+                    found = known(w)
+                    if found is None:
+                        found = self._pieces(w)
+                    tokens += found
+                    counts += [n] * len(found)
             else:  # the library's own matcher, with its Unicode tables
-                out.update([part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)])
-        return out, specials
+                for p, n in Counter([part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)]).items():
+                    tokens.append(self._of(p))
+                    counts.append(n)
+
+
+_tokenizers: dict[str, Tokenizer] = {}
+
+
+def _tokenizer(path) -> Tokenizer:
+    """Loaded once in each Python worker."""
+    path = path() if callable(path) else path
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
 
 
 def _name(ids: list) -> int:
-    """A chunk's name: its documents decide."""
+    """A chunk's name: its partition and its documents decide, so a task that runs again gives the same."""
     return int.from_bytes(hashlib.blake2b(repr(ids).encode(), digest_size=7).digest(), "big")
 
 
+def _posts(tokens: list[int], counts: list[int], lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens, where each one's entries end, and the entries: thirteen bits say where, three how often; more often takes more entries."""
+    key = np.array(tokens, np.int64) << 13 | np.repeat(np.arange(len(lengths)), lengths)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.add.reduceat(np.array(counts, np.int64)[order], first) if len(first) else np.zeros(0, np.int64)
+    key = key[first]
+    entries = -(-n // 7)
+    which = np.repeat(np.arange(len(key)), entries)
+    often = np.full(len(which), 7)
+    often[np.cumsum(entries) - 1] = n - 7 * (entries - 1)
+    flat = ((key[which] & 8191) << 3 | often).astype(np.uint16).view(np.int16)
+    token = key[which] >> 13
+    start = np.flatnonzero(np.diff(token, prepend=-1))
+    return token[start], np.append(start, len(token)), flat
+
+
 def _frequencies(path):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = PreTokenizer(Tokenizer.from_file(path() if callable(path) else path))
-        names = ["token", "salt", "chunk", "posts", "ids", "bytes"]
-        posts: dict[str, list[int]] = {}
+        pre = PreTokenizer(_tokenizer(path))
+        names = ["bucket", "chunk", "tokens", "sizes", "posts", "ids", "bytes"]
+        longs, texts, ints = pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32())
+        tokens: list[int] = []
+        counts: list[int] = []
+        lengths: list[int] = []
         ids: list = []
         sizes: list[int] = []
-        pairs = 0
 
         def chunk(serial: int) -> Iterator[pa.RecordBatch]:
-            """A row with the chunk's documents, then one per pre-token: where it is, and how often."""
-            name = _name([serial, ids, sizes])
-            longs = pa.list_(pa.int64())
+            """A row with the chunk's documents, then one per bucket: its pre-tokens, how many entries each has, and the entries."""
+            name = _name([TaskContext.get().partitionId(), serial, ids, sizes])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.string()), pa.array([name % SALTS], pa.int8()), pa.array([name], pa.int64()), pa.array([[]], pa.list_(pa.int16())), pa.array([ids], longs), pa.array([sizes], longs)],
+                [pa.array([name % BUCKETS], pa.int32()), pa.array([name], pa.int64()), pa.array([[]], texts), pa.array([[]], ints), pa.array([b""], pa.binary()), pa.array([ids], longs), pa.array([sizes], longs)],
                 names=names,
             )
-            words = list(posts)
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                held = [posts[w] for w in part]
-                n = list(map(len, held))
-                flat = np.fromiter(chain.from_iterable(held), np.int32, sum(n)).astype(np.uint16).view(np.int16)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(flat))
-                salt = [name % SALTS if k > FREQUENT else 0 for k in n]
-                none = pa.nulls(len(part), longs)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(salt, pa.int8()), pa.array([name] * len(part), pa.int64()), lists, none, none], names=names)
+            token, ends, flat = _posts(tokens, counts, lengths)
+            n = np.diff(ends)
+            bucket = np.array(pre.bucket, np.int64)[token] if len(token) else np.zeros(0, np.int64)
+            bucket = np.where(n > FREQUENT, (bucket + name % SALTS * 131) % BUCKETS, bucket)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+            rows: list[tuple] = []
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = order[i:j]
+                posts = np.concatenate([flat[ends[k] : ends[k + 1]] for k in own.tolist()]).tobytes()
+                rows.append((int(bucket[own[0]]), name, [pre.tokens[t] for t in token[own].tolist()], n[own].astype(np.int32), posts))
+            for i in range(0, len(rows), 256):
+                columns = list(zip(*rows[i : i + 256], strict=True))
+                none = pa.nulls(len(columns[0]), longs)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), texts, ints, pa.binary()), strict=True)], none, none], names=names)
 
         serial = 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at, text = len(ids) << 3, text.as_py() or ""
+                text = text.as_py() or ""
                 ids.append(i)
-                sizes.append(len(text.encode("utf-8")) if not text.isascii() else len(text))
-                found, special = pre.frequencies(text)
-                if special:
-                    found[pre.special[0]] += special
-                pairs += len(found)
-                for token, n in found.items():
-                    # Thirteen bits say where, three how often; more often takes more entries.
-                    entry = posts.get(token)
-                    if entry is None:
-                        entry = posts[token] = []
-                    while n > 7:
-                        entry.append(at | 7)
-                        n -= 7
-                    entry.append(at | n)
-                if len(ids) >= CHUNK or pairs >= PAIRS:
+                sizes.append(len(text) if text.isascii() else len(text.encode("utf-8")))
+                before = len(tokens)
+                pre.add(text, tokens, counts)
+                lengths.append(len(tokens) - before)
+                if len(ids) >= CHUNK or len(tokens) >= PAIRS:
                     yield from chunk(serial)
-                    posts, ids, sizes, pairs, serial = {}, [], [], 0, serial + 1
+                    tokens, counts, lengths, ids, sizes, serial = [], [], [], [], [], serial + 1
+                    if len(pre.words) > MEMORY:
+                        pre.forget()
         if ids:
             yield from chunk(serial)
 
@@ -139,56 +184,77 @@ def _frequencies(path):
 
 
 class _Sums:
-    """Pieces by chunk and document, emitted in sparse rows."""
+    """Pieces by chunk and document."""
 
     def __init__(self) -> None:
         self.of: dict[int, np.ndarray] = {}
 
-    def add(self, chunk: np.ndarray, at: np.ndarray, pieces: np.ndarray) -> None:
-        for c in np.unique(chunk).tolist():
-            pick = chunk == c
-            self.of[c] = self.of.get(c, 0) + np.bincount(at[pick], pieces[pick], CHUNK).astype(np.int64)
+    def add(self, chunk: int, at: np.ndarray, pieces: np.ndarray) -> None:
+        n = np.bincount(at, pieces, CHUNK).astype(np.int64)
+        if chunk in self.of:
+            self.of[chunk] += n
+        else:
+            self.of[chunk] = n
 
     def batches(self) -> Iterator[pa.RecordBatch]:
+        """Sparse rows; the sums start anew."""
         for c, v in self.of.items():
             at = np.flatnonzero(v)
-            yield _partial([c], [at.astype(np.int32)], [v[at]], [None], [None])
+            yield _partial(c, at, v[at])
         self.of = {}
 
 
-def _partial(chunk: list, at: list, pieces: list, ids: list, sizes: list) -> pa.RecordBatch:
+def _partial(chunk: int, at, pieces, ids: list | None = None, sizes: list | None = None) -> pa.RecordBatch:
     longs = pa.list_(pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(chunk, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(pieces, longs), pa.array(ids, longs), pa.array(sizes, longs)], names=["chunk", "at", "pieces", "ids", "bytes"]
+        [pa.array([chunk], pa.int64()), pa.array([at], pa.list_(pa.int32())), pa.array([pieces], longs), pa.array([ids], longs), pa.array([sizes], longs)], names=["chunk", "at", "pieces", "ids", "bytes"]
     )
 
 
 def _joined(path):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_file(path() if callable(path) else path)
+        tokenizer = _tokenizer(path)
         known: dict[str, int] = {}
         sums = _Sums()
         for batch in batches:
-            token, chunk, posts = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2)
-            for k in [k for k, t in enumerate(token) if t is None]:
-                ids, sizes = batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
-                yield _partial([int(chunk[k])], [list(range(len(ids)))], [[0] * len(ids)], [ids], [sizes])
-                token[k] = ""
-            new = sorted({t for t in token if t not in known})
-            if len(known) + len(new) > MEMORY:
-                known, new = {}, sorted(set(token))
-            known.update(zip(new, [len(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
-            n = np.fromiter(map(known.__getitem__, token), np.int64, len(token))
-            size = pc.list_value_length(posts).fill_null(0).to_numpy()
-            flat = posts.flatten().to_numpy().view(np.uint16).astype(np.int64)
-            sums.add(np.repeat(chunk, size), flat >> 3, (flat & 7) * np.repeat(n, size))
-            if len(sums.of) > 400:
-                yield from sums.batches()
+            for chunk, found, sizes, posts, ids, lengths in zip(*[batch.column(i) for i in range(6)], strict=True):
+                name = chunk.as_py()
+                if ids.is_valid:
+                    yield _partial(name, [], [], ids.as_py(), lengths.as_py())
+                    continue
+                tokens = found.as_py()
+                new = [t for t in tokens if t not in known]
+                if new:
+                    if len(known) + len(new) > MEMORY:
+                        known, new = {}, tokens
+                    known.update(zip(new, [len(e) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+                n = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+                flat = np.frombuffer(posts.as_py(), np.uint16).astype(np.int64)
+                sums.add(name, flat >> 3, (flat & 7) * np.repeat(n, sizes.values.to_numpy()))
+                if len(sums.of) > 400:
+                    yield from sums.batches()
         yield from sums.batches()
 
     return run
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the partial sums of the chunks of a task, and name their documents."""
+    held: dict[int, tuple[list, list]] = {}
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        ids, sizes = batch.column(3), batch.column(4)
+        for k, c in enumerate(batch.column(0).to_pylist()):
+            if ids[k].is_valid:
+                held[c] = (ids[k].as_py(), sizes[k].as_py())
+            else:
+                total = sums.setdefault(c, np.zeros(CHUNK, np.int64))
+                total[batch.column(1)[k].values.to_numpy()] += batch.column(2)[k].values.to_numpy()
+    for c, (ids, sizes) in held.items():
+        n = sums.get(c, np.zeros(CHUNK, np.int64))[: len(ids)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
+
+
 def token_counts(docs: DataFrame, path: str | Callable[[], str], *, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (more than limit tokens) of every row's whole text.
 
@@ -197,14 +263,9 @@ def token_counts(docs: DataFrame, path: str | Callable[[], str], *, limit: int =
     are counted each; columns other than doc_id and text are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _frequencies(path), "token string, salt byte, chunk long, posts array<short>, ids array<long>, bytes array<long>"
+        _frequencies(path), "bucket int, chunk long, tokens array<string>, sizes array<int>, posts binary, ids array<long>, bytes array<long>"
     )
-    dealt = rows.repartition("token", "salt", F.when(F.col("token").isNull(), F.col("chunk")))
-    partial = dealt.select("token", "chunk", "posts", "ids", "bytes").mapInArrow(_joined(path), "chunk long, at array<int>, pieces array<long>, ids array<long>, bytes array<long>")
-    each = partial.repartition("chunk").select("chunk", F.posexplode("at").alias("k", "at"), "pieces", "ids", "bytes")
-    return (
-        each.select("chunk", "at", F.get("pieces", "k").alias("pieces"), F.get("ids", "k").alias("doc_id"), F.get("bytes", "k").alias("n_bytes"))
-        .groupBy("chunk", "at")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("pieces").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    partial = rows.repartition("bucket").select("chunk", "tokens", "sizes", "posts", "ids", "bytes").mapInArrow(
+        _joined(path), "chunk long, at array<int>, pieces array<long>, ids array<long>, bytes array<long>"
     )
+    return partial.repartition("chunk").mapInArrow(_documents, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
