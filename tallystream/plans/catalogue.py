@@ -256,7 +256,7 @@ def _(spark, d):
 
 
 def _pairs(spark, d):
-    return A.table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("object_ref"), F.col("l_suppkey").alias("member_ref"))
+    return A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("object_ref"), F.col("l_suppkey").alias("member_ref"))
 
 
 _EDGES = """WITH s AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS m FROM lineitem WHERE l_orderkey % 50 = 0), c AS (SELECT o, count(*) AS n FROM s GROUP BY o),
