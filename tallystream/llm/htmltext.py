@@ -200,8 +200,8 @@ def main_text(pages: DataFrame, *, copies: float = 0.7) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) of every row, from its whole html.
 
     Character references are decoded, white space within a block becomes one space, blocks are trimmed and joined by line ends in page
-    order.  A page whose article or main elements hold text has the text of these; of other pages, the lines go that a neighbour by URL in the
-    same host shares, unless two neighbours share more than `copies` of their lines.  A null or empty html gives an empty text; a null url sorts
+    order.  Of every page, the lines outside article and main elements go that a neighbour by URL in the same host shares, unless two neighbours
+    share more than `copies` of their lines; lines inside these elements stay.  A null or empty html gives an empty text; a null url sorts
     into a host of its own; repeated rows are rows.  Other columns are ignored.
     """
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
@@ -219,11 +219,11 @@ def main_text(pages: DataFrame, *, copies: float = 0.7) -> DataFrame:
     pairs = before.join(other, "before").where("host = host_b").select("row", "row_b", "hashes", "hashes_b")
     shared = pairs.mapInArrow(_differences(copies), "row long, shared array<int>")
     shared = shared.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))  # two lists at most
-    has_article = F.exists("inside", lambda x: x == 1)
-    own = t.where(has_article).select("page_id", "url", F.filter("lines", lambda x, i: F.get("inside", i) == 1).alias("lines"))
+    outside = F.exists("inside", lambda x: x == 0)  # other pages keep all lines, whatever is shared
+    own = t.where(~outside).select("page_id", "url", "lines")
     rest = (
-        t.where(~has_article).join(shared, "row", "left")
-        .select("page_id", "url", F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("shared", i), F.lit(False))).alias("lines"))
+        t.where(outside).join(shared, "row", "left")
+        .select("page_id", "url", F.filter("lines", lambda x, i: (F.get("inside", i) == 1) | ~F.coalesce(F.array_contains("shared", i), F.lit(False))).alias("lines"))
     )
     text = F.array_join("lines", "\n")
     return own.unionByName(rest).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -36,6 +36,13 @@ def test_neighbours_give_the_template_away(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_text_outside_an_article_is_kept(spark):
+    page = "<body><div>Site name</div><article><p>Teaser</p></article><div><p>Body %s</p><div>more of %s</div></div><div>All rights</div></body>"
+    rows = [(i, f"http://h.org/a/{i}", page % (i, i)) for i in range(4)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Teaser\nBody {i}\nmore of {i}" for i in range(4)}
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
