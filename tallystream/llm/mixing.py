@@ -2,8 +2,8 @@
 
 Every source's documents are hashed into blocks of about BLOCK documents.  A source's target says how many whole passes
 over its blocks the mix makes and how many words of one more pass; that pass takes the blocks of a pseudo-random
-permutation until the words are reached, whole blocks first, then documents of one last block.  So every source has
-an exact quota of blocks.  A tree splits all quotas among the output shards: at each node the left half's blocks are a
+permutation while they fit whole; the room left is filled with documents of the blocks after these, until no document that is left
+fits.  These documents make one last block, so every source has an exact quota of blocks.  A tree splits all quotas among the output shards: at each node the left half's blocks are a
 multivariate-hypergeometric draw from the node's.  The leaves give each shard a run of each source's permuted blocks,
 disjoint from all others; documents are shuffled within their shard by a hash.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallystream.llm.tables import written
+from tallystream.llm.tables import drop, written
 
 #: Documents to a block, and blocks to a stratum (running sums go over strata first, then within one).
 BLOCK, STRATUM = 64, 1024
@@ -76,12 +76,55 @@ def _split(shards: int, seed: int):
     return run
 
 
+def _with_ahead(block: DataFrame) -> DataFrame:
+    """block (source, place, words, ...) with the words of a source's blocks before each; sums go over strata first, then within one."""
+    block = block.withColumn("stratum", F.floor(F.col("place") / STRATUM))
+    strata = block.groupBy("source", "stratum").agg(F.sum("words").alias("words"))
+    before = Window.partitionBy("source").orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
+    strata = strata.select(F.col("source").alias("of"), F.col("stratum").alias("st"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("source", "stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        block.join(strata, F.col("source").eqNullSafe(F.col("of")) & (F.col("stratum") == F.col("st")))
+        .withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("words").over(within), F.lit(0)))
+        .drop("of", "st", "stratum")
+    )
+
+
+def _filling(dealt: DataFrame, state: DataFrame) -> list[DataFrame]:
+    """source, place and h of the documents that fill the room (of, at, room) of sources from their blocks after `at`.
+
+    A round takes, block after block, what fits whole among the documents no longer than the room, then of the block that overflows documents from
+    the largest down.  The next round goes on behind that block.  What is passed over is longer than the room left, and the room at least halves
+    (the document taken first is longer than what is left), so the rounds are few.
+    """
+    same = F.col("source").eqNullSafe(F.col("of"))
+    units = dealt.where("size > 0").join(state, same & (F.col("place") > F.col("at"))).groupBy("source", "place", "h").agg(F.sum("size").alias("size"), F.first("room").alias("most"))
+    units = written(units.where("size <= most").drop("most"))
+    found = []
+    while not state.isEmpty():
+        fits = units.join(state, same & (F.col("place") > F.col("at")) & (F.col("size") <= F.col("room"))).drop("of", "at")
+        block = _with_ahead(fits.groupBy("source", "place", "room").agg(F.sum("size").alias("words"))).where("ahead < room")
+        block = block.select(F.col("source").alias("of"), F.col("place").alias("p"), (F.col("room") - F.col("ahead")).alias("left"), (F.col("ahead") + F.col("words") <= F.col("room")).alias("full"))
+        choice = F.aggregate(
+            F.sort_array(F.collect_list(F.struct("size", "h")), asc=False),
+            F.struct(F.first("left").alias("room"), F.array().cast("array<bigint>").alias("ids")),
+            lambda s, x: F.struct(F.when(x.size <= s.room, s.room - x.size).otherwise(s.room).alias("room"), F.when(x.size <= s.room, F.concat(s.ids, F.array(x.h))).otherwise(s.ids).alias("ids")),
+        )
+        # A round's documents by block, and the room that its overflowing block leaves.
+        taken = fits.join(block, same & (F.col("place") == F.col("p"))).groupBy("source", "place", "full").agg(choice.alias("choice"))
+        taken = written(taken.select("source", "place", "full", "choice.room", "choice.ids"))
+        found.append(taken.select("source", "place", F.explode("ids").alias("h")))
+        state = taken.where("not full and room > 0").select(F.col("source").alias("of"), F.col("place").alias("at"), "room")
+    drop(units)
+    return found
+
+
 def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 7) -> DataFrame:
     """How often the mix takes each document, and where to.
 
     Returns a row per input row: doc_id, size (words of text; 0 for null), source, source_size, target, taken (size times
     the number of takes, 0 to 2), takes, and places: for each take the output shard and the place key by which the shard's documents are
-    shuffled.  A document is taken whole or not.  An empty table gives no rows; rows without words are taken 0 words.  Equal doc_ids share a
+    shuffled.  A document is taken whole or not, rows of equal doc_id together; no document that a source's words would still have room for is left out.  An empty table gives no rows; rows without words are taken 0 words.  Equal doc_ids share a
     block.  Reruns agree, whatever the partitioning.  Columns other than doc_id, text and source are ignored.
     """
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
@@ -98,38 +141,30 @@ def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, most
     # The permutation: a prime step around the ring of a source's blocks.
     place = F.pmod(F.pmod("h", "blocks") * _PRIME + F.xxhash64(F.lit(seed), "source") % 1_000_003, F.col("blocks"))
     dealt = written(rows.join(goal.withColumnRenamed("source", "of"), same).select("doc_id", "source", "size", "h", "source_size", "target", "blocks", "passes", "rest", place.alias("place")))
-    block = dealt.groupBy("source", "place", "blocks", "passes", "rest").agg(F.sum("size").alias("words")).withColumn("stratum", F.floor(F.col("place") / STRATUM))
-    strata = block.groupBy("source", "stratum").agg(F.sum("words").alias("words"))
-    ahead = Window.partitionBy("source").orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
-    strata = strata.select(F.col("source").alias("of"), F.col("stratum").alias("st"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("source", "stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    block = (
-        block.join(strata, same & (F.col("stratum") == F.col("st")))
-        .withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("words").over(within), F.lit(0)))
-        .withColumn("full", F.col("ahead") + F.col("words") <= F.col("rest"))
-        .withColumn("room", F.when(~F.col("full") & (F.col("ahead") < F.col("rest")), F.col("rest") - F.col("ahead")))
-    )
-    block = written(block.select("source", "place", "full", "room"))
-    # Of a source's one last block: documents from the largest down, each that still fits.
-    last = dealt.join(block.where("room is not null").select(F.col("source").alias("of"), F.col("place").alias("p"), "room"), same & (F.col("place") == F.col("p")))
-    fit = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("size", "h", "doc_id")), asc=False),
-        F.struct(F.first("room").alias("room"), F.array().cast("array<bigint>").alias("ids")),
-        lambda s, x: F.struct(F.when(x.size <= s.room, s.room - x.size).otherwise(s.room).alias("room"), F.when(x.size <= s.room, F.concat(s.ids, F.array(x.h))).otherwise(s.ids).alias("ids")),
-        lambda s: s.ids,
+    block = _with_ahead(dealt.groupBy("source", "place", "rest").agg(F.sum("size").alias("words"))).where(F.col("ahead") + F.col("words") <= F.col("rest"))
+    whole = block.groupBy("source").agg(F.max("place").alias("at"), F.max(F.col("ahead") + F.col("words")).alias("words"))
+    # Of each source the last block that fits whole, and the room behind it.
+    reached = goal.join(whole.withColumnRenamed("source", "of"), same, "left").select(
+        "source", "passes", "blocks", F.coalesce("at", F.lit(-1)).alias("at"), (F.col("rest") - F.coalesce("words", F.lit(0))).alias("room")
     )
-    fitting = last.groupBy("source", "place").agg(F.array_distinct(fit).alias("ids"), F.count(F.lit(1)).alias("n"))
-    block = block.join(fitting.select(F.col("source").alias("of"), F.col("place").alias("p"), "ids"), same & (F.col("place") == F.col("p")), "left").select("source", "place", "full", "room", "ids")
-    quota = block.where("full or room is not null").groupBy("source").agg(F.count(F.lit(1)).alias("drawn"))
-    quota = goal.join(quota.withColumnRenamed("source", "of"), same, "left").select("source", (F.col("passes") * F.col("blocks") + F.coalesce("drawn", F.lit(0))).alias("quota"))
+    reached = written(reached)
+    found = _filling(dealt, reached.where("room > 0").select(F.col("source").alias("of"), "at", "room"))
+    picked = dealt.select("source", "place", "h").limit(0)
+    for f in found:
+        picked = picked.union(f)
+    picked = picked.select(F.col("source").alias("of"), F.col("place").alias("p"), F.col("h").alias("picked"))
+    filled = picked.groupBy("of").agg(F.lit(1).alias("filled"))
+    quota = reached.join(filled, same, "left").select("source", (F.col("passes") * F.col("blocks") + F.col("at") + 1 + F.coalesce("filled", F.lit(0))).alias("quota"))
     ends = quota.groupBy(F.lit(0).alias("tree")).applyInPandas(_split(shards, seed), "source string, ends array<bigint>")
-    b = block.join(ends.withColumnRenamed("source", "of"), same).select(F.col("source").alias("of"), F.col("place").alias("p"), "full", "room", "ids", "ends")
+    ends = reached.join(ends.withColumnRenamed("source", "of"), same).select(F.col("source").alias("of"), "at", "ends")
     taken = (
-        dealt.join(b, same & (F.col("place") == F.col("p")))
-        .withColumn("more", F.coalesce(F.col("full") | (F.col("room").isNotNull() & F.coalesce(F.array_contains("ids", F.col("h")), F.lit(False))), F.lit(False)))
+        dealt.join(ends, same).drop("of")
+        .join(picked, same & (F.col("place") == F.col("p")) & (F.col("h") == F.col("picked")), "left")
+        .withColumn("more", (F.col("place") <= F.col("at")) | F.col("picked").isNotNull())
         .withColumn("takes", (F.col("passes") + F.col("more").cast("int")).cast("int"))
     )
-    shard = lambda k: F.size(F.filter("ends", lambda e: e <= F.col("place") + k * F.col("blocks")))
+    slot = lambda k: F.when(F.col("picked").isNotNull() & (k == F.col("passes")), F.col("at") + 1).otherwise(F.col("place"))
+    shard = lambda k: F.size(F.filter("ends", lambda e: e <= slot(k) + k * F.col("blocks")))
     places = F.transform(F.sequence(F.lit(1), F.lit(int(most) + 1)), lambda k: F.struct(shard(k - 1).cast("int").alias("shard"), F.xxhash64(F.lit(seed), "doc_id", k).alias("key")))
     return taken.select(
         "doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("takes")).alias("taken"), "takes", F.slice(places, 1, F.col("takes")).alias("places")

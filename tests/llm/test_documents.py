@@ -234,6 +234,16 @@ def test_mix(spark, awkward):
     assert mixing.mix(awkward.limit(0)).count() == 0
 
 
+def test_room_beside_a_giant_text_is_filled(spark):
+    # One text of half the source's words; where it does not fit, short ones of later blocks must.
+    for giant, share in ((0, 0.3), (120, 0.3), (240, 1.3)):
+        d = spark.range(600).selectExpr("id as doc_id", f"repeat('w ', case when id = {giant} then 9000 else 11 + id % 7 end) as text", "'a' as source")
+        got = mixing.mix(d, weights=(1,), share=share).collect()
+        left = got[0].target - sum(r.taken for r in got)
+        assert len(got) == 600 and 0 <= left < min(r.size for r in got if r.takes == int(share))
+        assert all(0 <= p.shard < 16 for r in got for p in r.places)
+
+
 def test_split_quotas_are_exact():
     import pandas as pd
 
