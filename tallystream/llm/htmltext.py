@@ -1,17 +1,23 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are sorted by host and URL path; each is paired with its neighbours of the same host.  Their lines are aligned by a longest common
-subsequence, and lines that two neighbours share are the site's, not the page's: they go, unless the neighbours are copies of
-each other (most lines shared), which says nothing about a template.  Lines inside an article or main element are content in any case, and what
-the markup itself names as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment never becomes a line: test
-pages have menus and footers of their own, which no neighbour shares.
+Pages stand in the order of host and URL path, and each is aligned with the page before and the page behind it.  Two alignments by a longest
+common subsequence find what is the site's and not the page's:
+
+* text lines, between pages of one host: a line outside the article that both pages have is the template's;
+* slots, the containers that lines stand in (an element of sections, or a div or section with a class or id, by tag and names): a container that
+  both pages have in the same order is a part of the template even if it is filled with other text on each page, as menus, adverts and footers are.
+
+The container with the article itself is in all pages, too, and stays: it is the article or main element if there is one, else the container
+with the most text that the other page does not have.  Inside it no shared line goes, as neighbours may quote the same passage; only named
+containers that follow its last line do (reader comments, share boxes).  Names are compared, never read.  What HTML itself defines as not being
+main content (nav, aside, footer, form, ...) goes even if no neighbour has it; n_shared and n_markup count the lines that went either way.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -29,44 +35,47 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
+#: Elements that HTML defines as something else than main content.
 AWAY = frozenset("aside button datalist dialog footer form head input label menu nav select".split())
-ENDED_BY_P = frozenset("p".split())
-#: Words in class, id and role that name what is not the article.
-NAMES = frozenset(
-    "ad ads adv advert advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies "
-    "dialog discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion recommended related "
-    "replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
-)
-HEADERS = frozenset(["header", "banner", "masthead"])
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_DIGITS = re.compile(r"\d+")
+#: What a line is by its markup: plain, in an article or main element, in a named container, or in an element of AWAY.
+PLAIN, ARTICLE, NAMED, FURNITURE = range(4)
+#: Bytes of lines in a part of the URL order, and parts at most (a row's part is found among so many split points).
+PART_BYTES, PARTS, SAMPLED = 8 << 20, 4096, 16
 
 
-def _away(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is not of the article; inside an article or main element its own header is."""
-    if tag in AWAY or (tag == "header" and not inside):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        named = _WORD.findall(attrs) if tag == "article" and attrs else []
-        return any(w.lower() in ("comment", "comments", "related", "promo", "sponsored") for w in named)
-    for m in _ATTR.finditer(attrs):
+def _entered(tag: str, attrs: str, above: tuple[str, bool, int, str]) -> tuple[str, bool, int, str]:
+    """What lies in an element: its tag, whether it is hidden, its kind and its slot (the path of its containers)."""
+    _, hidden, kind, slot = above
+    names = []
+    for m in _ATTR.finditer(attrs) if attrs else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id", "role"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & (NAMES - HEADERS if inside else NAMES | HEADERS):
-                return True
+        if key in ("class", "id"):
+            names += [key[0] + x for x in _DIGITS.sub("0", value).split()]
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            hidden = True
+    if tag in AWAY or (tag == "header" and kind != ARTICLE):
+        kind = FURNITURE
+    elif tag in ("article", "main") and kind != FURNITURE:
+        # An article in an article is a reader comment by the standard.
+        kind = FURNITURE if tag == "article" and "/article" in slot else ARTICLE
+    elif not (names and tag in ("div", "section")):
+        return tag, hidden, kind, slot
+    elif kind == PLAIN:
+        kind = NAMED
+    return tag, hidden, kind, f"{slot}/{tag}{'.'.join(sorted(names))}"
 
 
-def lines_of(page: str) -> tuple[list[str], list[int]]:
-    """The text blocks of a page that its markup does not rule out, in order, and for each whether it is in an article or main element."""
+def lines_of(page: str) -> tuple[list[str], list[int], list[str]]:
+    """The text blocks of a page in order, the kind of each by its markup, and its slot."""
     lines: list[str] = []
-    inside_of: list[int] = []
+    kinds: list[int] = []
+    slots: list[str] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, not of the article, in an article
+    root = ("", False, PLAIN, "")
+    stack: list[tuple[str, bool, int, str]] = []
     at, end = 0, len(page)
 
     def close() -> None:
@@ -75,11 +84,9 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             text.clear()
             if line:
                 lines.append(line)
-                inside_of.append(int(bool(stack) and stack[-1][2]))
-
-    def pop_to(k: int) -> None:
-        close()
-        del stack[k:]
+                _, _, kind, slot = stack[-1] if stack else root
+                kinds.append(kind)
+                slots.append(slot)
 
     while at < end:
         m = _TAG.search(page, at)
@@ -97,7 +104,11 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
                 close()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    pop_to(k) if tag in BLOCK or stack[k][1] else stack.__delitem__(k)
+                    if tag in BLOCK or stack[k][1] or stack[k][2:] != (stack[k - 1] if k else root)[2:]:
+                        close()
+                        del stack[k:]
+                    else:
+                        del stack[k]
                     break
                 if tag not in BLOCK and stack[k][0] in BLOCK:
                     break
@@ -111,7 +122,8 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, an item the item before it
                 name = stack[k][0]
                 if name == "p" or (name == tag and tag in ("li", "dt", "dd", "tr", "option")):
-                    pop_to(k)
+                    close()
+                    del stack[k:]
                     break
                 if name in BLOCK:
                     break
@@ -119,111 +131,217 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             text.append(" ")
         if tag in VOID or m[0].endswith("/>"):
             continue
-        away, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if not away and _away(tag, m[3] or "", inside):
+        above = stack[-1] if stack else root
+        entered = _entered(tag, m[3] or "", above)
+        if entered[1:] != above[1:]:
             close()
-            away = True
-        stack.append((tag, away, inside or tag in ("article", "main")))
+        stack.append(entered)
     close()
-    return lines, inside_of
+    return lines, kinds, slots
+
+
+# --- Alignment ------------------------------------------------------------------------------------
+
+
+def _rows(a: list, b: list) -> Iterator[int]:
+    """For each prefix of a: bits of b's positions, 0 where the longest common subsequence with b's prefix grows."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+#: Bits of rows kept for the way back; longer pairs are halved until they fit.
+ROW_BITS = 1 << 26
+
+
+def shared_lines(a: list, b: list) -> tuple[list[int], list[int]]:
+    """Positions in a and in b of a longest common subsequence, whatever repeats; memory is bounded for long lists."""
+    lo, x, y = 0, len(a), len(b)
+    while lo < x and lo < y and a[lo] == b[lo]:
+        lo += 1
+    while x > lo and y > lo and a[x - 1] == b[y - 1]:
+        x, y = x - 1, y - 1
+    left, right = list(range(lo)), list(range(lo))
+    in_b, in_a = set(b[lo:y]), set(a[lo:x])
+    i_of = [i for i in range(lo, x) if a[i] in in_b]
+    j_of = [j for j in range(lo, y) if b[j] in in_a]
+    for i, j in _aligned([a[i] for i in i_of], [b[j] for j in j_of]):
+        left.append(i_of[i])
+        right.append(j_of[j])
+    return left + list(range(x, len(a))), right + list(range(y, len(b)))
+
+
+def _aligned(a: list, b: list) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > ROW_BITS:
+        h = len(a) // 2
+        *_, down = _rows(a[:h], b)
+        *_, up = _rows(a[:h - 1:-1], b[::-1])
+        first, last, total, best = 0, len(b) - up.bit_count(), 0, (-1, 0)
+        for j in range(len(b) + 1):
+            total = first + last
+            best = max(best, (total, -j))
+            if j < len(b):
+                first += not down >> j & 1
+                last -= not up >> (len(b) - 1 - j) & 1
+        j = -best[1]
+        return _aligned(a[:h], b[:j]) + [(h + i, j + k) for i, k in _aligned(a[h:], b[j:])]
+    rows, i, j, out = list(_rows(a, b)), len(a), len(b), []
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def _runs(slots: list[int]) -> list[int]:
+    return [s for i, s in enumerate(slots) if not i or slots[i - 1] != s]
+
+
+class _Page:
+    """A page in the stream: what its lines are compared by, and what is known to go."""
+
+    def __init__(self, row: dict) -> None:
+        self.row, self.keys, self.kinds, self.slots = row, row["keys"], row["kinds"], row["slots"]
+        self.gone: set[int] = set()
+
+    def compare(self, other: "_Page", copies: float) -> None:
+        """Align two neighbours and note what goes in both."""
+        left, right = [], []
+        if self.row["host"] == other.row["host"]:
+            left, right = shared_lines(self.keys, other.keys)
+            mine, others = (sum(k != FURNITURE for k in x.kinds) for x in (self, other))
+            if 2 * sum(self.kinds[i] != FURNITURE for i in left) > copies * (mine + others):  # copies of each other say nothing about lines
+                left, right = [], []
+        a = _runs(self.slots)
+        both = {a[i] for i in shared_lines(a, _runs(other.slots))[0]}
+        self._judge(left, both)
+        other._judge(right, both)
+
+    def _judge(self, shared: list[int], aligned: set[int]) -> None:
+        lines = self.row["lines"]
+        if not lines:
+            return
+        lost = set(shared)
+        own: Counter = Counter()
+        for i, (kind, slot) in enumerate(zip(self.kinds, self.slots, strict=True)):
+            if i not in lost or kind == ARTICLE:
+                own[kind, slot] += len(lines[i])
+        article = [(n, s) for (k, s), n in own.items() if k == ARTICLE]
+        named = max(((n, s) for (k, s), n in own.items() if k == NAMED), default=(0, None))
+        # Without an article, or with one that is no more than a teaser, the fullest container holds the main text.
+        stays = named[1] if named[0] > max(4 * sum(n for n, _ in article), own[PLAIN, self.slots[0]] if not article else 0) else None
+        body = max(article, default=(0, None))[1]
+        after = max((i for i, (k, s) in enumerate(zip(self.kinds, self.slots, strict=True)) if k == ARTICLE and s == body), default=-1)
+        for i, (kind, slot) in enumerate(zip(self.kinds, self.slots, strict=True)):
+            if kind == ARTICLE:
+                if i > after and slot != body and slot in aligned:
+                    self.gone.add(i)
+            elif i in lost or (kind != PLAIN and slot in aligned and slot != stays):
+                self.gone.add(i)
+
+    def result(self) -> tuple:
+        left = [x for i, x in enumerate(self.row["lines"]) if i not in self.gone and self.kinds[i] != FURNITURE]
+        text = "\n".join(left)
+        n = len(self.row["lines"])
+        return self.row["page_id"], self.row["url"], text, len(text), len(self.gone), n - len(left) - len(self.gone)
+
+
+# --- Spark ----------------------------------------------------------------------------------------
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, paths, lines, inside = [], [], [], []
+        rows = []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             try:
                 parts = urlsplit(url or "")
-                hosts.append((parts.netloc or "").lower())
-                paths.append(parts.path + ("?" + parts.query if parts.query else ""))
+                host, path = (parts.netloc or "").lower(), parts.path + ("?" + parts.query if parts.query else "")
             except ValueError:
-                hosts.append("")
-                paths.append(url)
-            found, where = lines_of(page.as_py() or "")
-            lines.append(found)
-            inside.append(where)
+                host, path = "", url
+            rows.append((host, path, *lines_of(page.as_py() or "")))
+        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.string()))
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.int8()))],
-            names=["page_id", "url", "host", "path", "lines", "inside"],
+            [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["page_id", "url", "host", "path", "lines", "kinds", "slots"]
         )
 
 
-def shared_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Positions in a and b of a longest common subsequence; the k-th of equal lines is paired with the k-th only."""
-    seen: dict[int, list[int]] = {}
-    for j, x in enumerate(b):
-        seen.setdefault(x, []).append(j)
-    used: dict[int, int] = {}
-    tails: list[int] = []
-    chain: list[tuple[int, int, int]] = []  # position in a, in b, link before
-    ends: list[int] = []
-    for i, x in enumerate(a):
-        k = used.get(x, 0)
-        where = seen.get(x, ())
-        if k >= len(where):
-            continue
-        used[x] = k + 1
-        j = where[k]
-        n = bisect_left(tails, j)
-        chain.append((i, j, ends[n - 1] if n else -1))
-        if n == len(tails):
-            tails.append(j)
-            ends.append(len(chain) - 1)
-        else:
-            tails[n], ends[n] = j, len(chain) - 1
-    at, left, right = (ends[-1] if ends else -1), [], []
-    while at >= 0:
-        i, j, at = chain[at]
-        left.append(i)
-        right.append(j)
-    return left[::-1], right[::-1]
-
-
-def _differences(most: float):
+def _differenced(copies: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: _Page | None = None
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32())
+        names = ["page_id", "url", "text", "n_chars", "n_shared", "n_markup"]
+
+        def packed(done: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
-            ids, shared = [], []
-            for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                left, right = shared_lines(x, y)
-                if len(left) * 2 > most * (len(x) + len(y)):
-                    continue
-                for i, found in ((a, left), (b, right)):
-                    if found:
-                        ids.append(i)
-                        shared.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], names=["row", "shared"])
+            done, size = [], 0
+            for i in range(batch.num_rows):
+                page = _Page({n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
+                if before is not None:
+                    if before.row["part"] == page.row["part"]:
+                        before.compare(page, copies)
+                    if not before.row["ghost"]:
+                        done.append(before.result())
+                        size += done[-1][3]
+                before = page
+                if size > 1 << 22:
+                    yield packed(done)
+                    done, size = [], 0
+            if done:
+                yield packed(done)
+        if before is not None and not before.row["ghost"]:
+            yield packed([before.result()])
 
     return run
 
 
 def main_text(pages: DataFrame, *, copies: float = 0.7) -> DataFrame:
-    """page_id, url, text and n_chars (code points of text) of every row, from its whole html.
+    """page_id, url, text and n_chars (code points of text) of every row, from its whole html; n_shared and n_markup: lines that went.
 
     Character references are decoded, white space within a block becomes one space, blocks are trimmed and joined by line ends in page
-    order.  Of every page, the lines outside article and main elements go that a neighbour by URL in the same host shares, unless two neighbours
-    share more than `copies` of their lines; lines inside these elements stay.  A null or empty html gives an empty text; a null url sorts
-    into a host of its own; repeated rows are rows.  Other columns are ignored.
+    order.  Two neighbours in one host that share more than `copies` of their lines are copies, and no line goes for being in both; neighbours of
+    different hosts are aligned by containers only.  A null or empty html gives an empty text; a null url sorts into a host of its own;
+    repeated rows are rows; a page without any neighbour loses only what HTML defines as not being main content.  Other columns are ignored.
+
+    The URL order is dealt into parts at split points from a sample of `SAMPLED` keys a part; a part also gets the last page of the part
+    before it and the first of the part behind it, to be compared with, so no pair is lost where parts meet and results don't depend on the parts.
     """
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
-        _parsed, "page_id long, url string, host string, path string, lines array<string>, inside array<byte>"
+        _parsed, "page_id long, url string, host string, path string, lines array<string>, kinds array<byte>, slots array<string>"
     )
-    t = written(parsed.withColumn("row", F.monotonically_increasing_id()))
-    keyed = t.select("row", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
-    # In the order of host and path, the id that follows the sorted partitions numbers the pages.
-    ordered = written(keyed.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33)
-    ends = ordered.groupBy(part.alias("part")).agg(F.max("at").alias("last"))
-    ends = ends.select(F.shiftleft(F.col("part"), 33).alias("at"), F.lag("last").over(Window.orderBy("part")).alias("before"))
-    before = ordered.join(ends, "at", "left").withColumn("before", F.coalesce("before", F.when(F.col("at") % (1 << 33) != 0, F.col("at") - 1)))
-    other = ordered.select(F.col("at").alias("before"), F.col("row").alias("row_b"), F.col("host").alias("host_b"), F.col("hashes").alias("hashes_b"))
-    pairs = before.join(other, "before").where("host = host_b").select("row", "row_b", "hashes", "hashes_b")
-    shared = pairs.mapInArrow(_differences(copies), "row long, shared array<int>")
-    shared = shared.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))  # two lists at most
-    outside = F.exists("inside", lambda x: x == 0)  # other pages keep all lines, whatever is shared
-    own = t.where(~outside).select("page_id", "url", "lines")
-    rest = (
-        t.where(outside).join(shared, "row", "left")
-        .select("page_id", "url", F.filter("lines", lambda x, i: (F.get("inside", i) == 1) | ~F.coalesce(F.array_contains("shared", i), F.lit(False))).alias("lines"))
+    keys = F.transform("lines", lambda x: F.xxhash64(x))
+    t = parsed.select("page_id", "url", "host", "lines", "kinds", keys.alias("keys"), F.transform("slots", lambda x: F.xxhash64(x)).alias("slots"), F.struct("host", "path", "page_id", F.xxhash64("lines", "slots").alias("h")).alias("k"))
+    t = written(t.withColumn("row", F.monotonically_increasing_id()).withColumn("bytes", F.octet_length(F.array_join("lines", " "))))
+    n, total = t.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    parts = min(PARTS, 1 + (total or 0) // PART_BYTES)
+    share = min(1.0, SAMPLED * parts / max(1, n))
+    drawn = t.select("k").where(F.pmod(F.xxhash64(F.lit("split"), "k"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("k").limit(4 * SAMPLED * PARTS).collect() if parts > 1 else []
+    splits = sorted({tuple((x is not None, x) for x in r.k): r.k for r in drawn[len(drawn) // parts :: max(1, len(drawn) // parts)]}.items()) if drawn else []
+    spark = pages.sparkSession
+    at = spark.createDataFrame([([r for _, r in splits],)], f"splits array<{t.schema['k'].dataType.simpleString()}>")
+    part = F.size(F.filter("splits", lambda s: s <= F.col("k")))
+    placed = t.crossJoin(F.broadcast(at)).withColumn("part", part).drop("splits")  # one row, PARTS split points at most
+    ends = placed.select("part", "k", "row").groupBy("part").agg(F.min_by("row", F.struct("k", "row")).alias("first"), F.max_by("row", F.struct("k", "row")).alias("last"))
+    w = Window.orderBy("part")  # a row per part
+    beside = ends.select("part", F.lag("last").over(w).alias("before"), F.lead("first").over(w).alias("behind"))
+    ghosts = beside.select("part", F.explode(F.array("before", "behind")).alias("row")).where("row is not null")
+    columns = ["page_id", "url", "host", "lines", "kinds", "keys", "slots", "k", "row"]
+    with_ghosts = placed.select("part", *columns, F.lit(False).alias("ghost")).unionByName(
+        t.select(*columns).join(F.broadcast(ghosts), "row").withColumn("lines", F.array().cast("array<string>")).select("part", *columns, F.lit(True).alias("ghost"))  # two rows a part
     )
-    text = F.array_join("lines", "\n")
-    return own.unionByName(rest).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    dealt = with_ghosts.repartition(parts, "part").sortWithinPartitions("part", "k", "row").select("part", "page_id", "url", "host", "lines", "kinds", "keys", "slots", "ghost")
+    return dealt.mapInArrow(_differenced(copies), "page_id long, url string, text string, n_chars long, n_shared int, n_markup int")

@@ -18,12 +18,15 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_main_text_of_test_pages(spark):
-    p = spark.read.parquet(f"{SMALL}/pages.parquet")
-    pages = {r.page_id: r.html for r in p.collect()}
-    for r in htmltext.main_text(p).collect():
-        body = pages[r.page_id].split("<article>")[1].split("</article>")[0]
-        blocks = [" ".join(html.unescape(x).split()) for x in re.split(r"</?p>|<br>|</?h1>", body.replace("<b>", "").replace("</b>", ""))]
-        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+    for d in (SMALL, "/root/testdata/sf0.01"):
+        p = spark.read.parquet(f"{d}/pages.parquet")
+        pages = {r.page_id: r.html for r in p.collect()}
+        for r in htmltext.main_text(p).collect():
+            body = pages[r.page_id].split("<article>")[1].split("</article>")[0]
+            blocks = [" ".join(html.unescape(x).split()) for x in re.split(r"</?p>|<br>|</?h1>", body.replace("<b>", "").replace("</b>", ""))]
+            assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+            # Differencing finds the menu, the advert and the footer of every page; nothing is left for the markup's own meaning.
+            assert r.n_shared >= 3 and r.n_markup == 0
 
 
 def test_neighbours_give_the_template_away(spark):
@@ -43,16 +46,55 @@ def test_text_outside_an_article_is_kept(spark):
     assert got == {i: f"Teaser\nBody {i}\nmore of {i}" for i in range(4)}
 
 
-def test_shared_lines_is_a_longest_common_subsequence():
+def main_texts(spark, rows):
+    return {r.page_id: r for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_containers_of_a_template_go_with_other_text_in_them(spark):
+    def page(i):
+        words = " ".join(f"w{i}x{k}" for k in range(30))
+        notes = "".join(f"<p>note {i} {k}</p>" for k in range(i + 1))
+        return (
+            f"<body><div id='top-{i}'>Menu of {i}</div><div class='story'><h1>T{i}</h1><p>{words}</p><p>as all say</p></div><div class='said'>{notes}</div><div class='x'>advert {i}</div></body>",
+            f"<article><h1>T{i}</h1><p>{words}</p><section class='q'>{notes}</section><article><p>by the standard a comment {i}</p></article></article><div class='x'>advert {i}</div>",
+        )
+
+    rows = [(10 * k + i, f"http://{'ab'[k]}.org/{i}", page(i)[k]) for i in range(4) for k in range(2)]
+    got = main_texts(spark, rows)
+    for i in range(4):
+        words = " ".join(f"w{i}x{k}" for k in range(30))
+        assert got[i].text == f"T{i}\n{words}\nas all say".replace("\nas all say", "")  # the line that neighbours share is no part of a page outside an article
+        assert got[10 + i].text == f"T{i}\n{words}"
+
+
+def test_a_page_alone_loses_what_html_defines(spark):
+    got = main_texts(spark, [(1, "http://a.org/", "<nav>n</nav><aside>s</aside><p>kept</p><div class='ad'>unknown</div><form>f</form><footer>f</footer><p hidden>h")])
+    assert (got[1].text, got[1].n_shared, got[1].n_markup) == ("kept\nunknown", 0, 4)
+
+
+def test_long_pages_and_many_parts(spark, monkeypatch):
+    long = "<p>" + "</p><p>".join(f"own line {i} of many" for i in range(60_000)) + "</p>"
+    rows = [(i, f"http://h.org/{i:03}", f"<div>Site</div><div class='m'>menu {i}</div><article><p>the article of page {i}</p></article>" + (long if i == 7 else "")) for i in range(60)]
+    monkeypatch.setattr(htmltext, "PART_BYTES", 100_000)
+    many = main_texts(spark, rows)
+    monkeypatch.setattr(htmltext, "PART_BYTES", 1 << 30)
+    assert many == main_texts(spark, rows) and len(many) == 60
+    assert all(r.text == f"the article of page {i}" for i, r in many.items() if i != 7) and many[7].text.count("\n") == 60_000
+
+
+def test_shared_lines_is_a_longest_common_subsequence(monkeypatch):
     rng = np.random.default_rng(2)
-    for _ in range(50):
-        a, b = (rng.permutation(12)[:9].tolist() for _ in "ab")
-        best = [[0] * 10 for _ in range(10)]
-        for i in range(9):
-            for j in range(9):
-                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
-        x, y = htmltext.shared_lines(a, b)
-        assert len(x) == best[9][9] and [a[i] for i in x] == [b[j] for j in y]
+    for bits in (1 << 26, 40):  # the second halves the lists
+        monkeypatch.setattr(htmltext, "ROW_BITS", bits)
+        for _ in range(300):
+            a, b = (rng.integers(0, int(rng.integers(1, 9)), int(rng.integers(0, 22))).tolist() for _ in "ab")
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            x, y = htmltext.shared_lines(a, b)
+            assert len(x) == len(y) == best[-1][-1] and [a[i] for i in x] == [b[j] for j in y] and x == sorted(set(x)) and y == sorted(set(y))
+    assert len(htmltext.shared_lines([0, 2, 0, 1, 0, 1], [1, 1, 2, 1, 0, 0])[0]) == 3
 
 
 def test_warc_links_and_digests(spark):
