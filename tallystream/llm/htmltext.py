@@ -17,8 +17,11 @@ from __future__ import annotations
 
 import html
 import re
+import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -40,6 +43,7 @@ AWAY = frozenset("aside button datalist dialog footer form head input label menu
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _DIGITS = re.compile(r"\d+")
+_DIGEST = struct.Struct(">i")
 #: What a line is by its markup: plain, in an article or main element, in a named container, or in an element of AWAY.
 PLAIN, ARTICLE, NAMED, FURNITURE = range(4)
 #: Bytes of lines in a part of the URL order, and parts at most (a row's part is found among so many split points).
@@ -205,32 +209,31 @@ def _aligned(a: list, b: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _runs(slots: list[int]) -> list[int]:
-    return [s for i, s in enumerate(slots) if not i or slots[i - 1] != s]
-
-
 class _Page:
-    """A page in the stream: what its lines are compared by, and what is known to go."""
+    """A page in the stream: its lines, their kinds and slots, and the lines known to go."""
 
     def __init__(self, row: dict) -> None:
-        self.row, self.keys, self.kinds, self.slots = row, row["keys"], row["kinds"], row["slots"]
+        self.row = row
+        self.lines = pa.decompress(row["packed"], row["bytes"], "zstd", asbytes=True).decode("utf-8").split("\n") if row["bytes"] else []
+        self.kinds = [k for k, n in zip(row["kinds"], row["counts"], strict=True) for _ in range(n)]
+        self.slots = [s for s, n in zip(row["slots"], row["counts"], strict=True) for _ in range(n)]
         self.gone: set[int] = set()
 
     def compare(self, other: "_Page", copies: float) -> None:
         """Align two neighbours and note what goes in both."""
         left, right = [], []
-        if self.row["host"] == other.row["host"]:
-            left, right = shared_lines(self.keys, other.keys)
+        if self.row["k"]["host"] == other.row["k"]["host"]:
+            left, right = shared_lines(self.lines, other.lines)
             mine, others = (sum(k != FURNITURE for k in x.kinds) for x in (self, other))
             if 2 * sum(self.kinds[i] != FURNITURE for i in left) > copies * (mine + others):  # copies of each other say nothing about lines
                 left, right = [], []
-        a = _runs(self.slots)
-        both = {a[i] for i in shared_lines(a, _runs(other.slots))[0]}
+        a, b = self.row["slots"], other.row["slots"]
+        both = {a[i] for i in shared_lines(a, b)[0]}
         self._judge(left, both)
         other._judge(right, both)
 
     def _judge(self, shared: list[int], aligned: set[int]) -> None:
-        lines = self.row["lines"]
+        lines = self.lines
         if not lines:
             return
         lost = set(shared)
@@ -252,16 +255,22 @@ class _Page:
                 self.gone.add(i)
 
     def result(self) -> tuple:
-        left = [x for i, x in enumerate(self.row["lines"]) if i not in self.gone and self.kinds[i] != FURNITURE]
+        left = [x for i, x in enumerate(self.lines) if i not in self.gone and self.kinds[i] != FURNITURE]
         text = "\n".join(left)
-        n = len(self.row["lines"])
-        return self.row["page_id"], self.row["url"], text, len(text), len(self.gone), n - len(left) - len(self.gone)
+        n = len(self.lines)
+        return self.row["k"]["page_id"], self.row["url"], text, len(text), len(self.gone), n - len(left) - len(self.gone)
 
 
 # --- Spark ----------------------------------------------------------------------------------------
 
 
+_STORED = "page_id long, url string, host string, path string, packed binary, bytes long, kinds array<byte>, slots array<int>, counts array<int>"
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    names = [x.split()[0] for x in _STORED.split(", ")]
+    codec = pa.Codec("zstd", compression_level=6)
     for batch in batches:
         rows = []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -270,12 +279,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host, path = (parts.netloc or "").lower(), parts.path + ("?" + parts.query if parts.query else "")
             except ValueError:
                 host, path = "", url
-            rows.append((host, path, *lines_of(page.as_py() or "")))
-        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.string()))
+            lines, of, where = lines_of(page.as_py() or "")
+            runs = [(*x, len(list(g))) for x, g in groupby(zip(of, where, strict=True))]
+            raw = "\n".join(lines).encode("utf-8")
+            rows.append((host, path, codec.compress(raw, asbytes=True), len(raw), [x for x, _, _ in runs], [_DIGEST.unpack(zlib.crc32(x.encode()).to_bytes(4, "big"))[0] for _, x, _ in runs], [n for _, _, n in runs]))
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["page_id", "url", "host", "path", "lines", "kinds", "slots"]
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
 
 def _differenced(copies: float):
@@ -320,28 +329,22 @@ def main_text(pages: DataFrame, *, copies: float = 0.7) -> DataFrame:
     The URL order is dealt into parts at split points from a sample of `SAMPLED` keys a part; a part also gets the last page of the part
     before it and the first of the part behind it, to be compared with, so no pair is lost where parts meet and results don't depend on the parts.
     """
-    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
-        _parsed, "page_id long, url string, host string, path string, lines array<string>, kinds array<byte>, slots array<string>"
-    )
-    keys = F.transform("lines", lambda x: F.xxhash64(x))
-    t = parsed.select("page_id", "url", "host", "lines", "kinds", keys.alias("keys"), F.transform("slots", lambda x: F.xxhash64(x)).alias("slots"), F.struct("host", "path", "page_id", F.xxhash64("lines", "slots").alias("h")).alias("k"))
-    t = written(t.withColumn("row", F.monotonically_increasing_id()).withColumn("bytes", F.octet_length(F.array_join("lines", " "))))
+    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parsed, _STORED)
+    k = F.struct("host", "path", "page_id", F.xxhash64("packed", "slots").alias("h")).alias("k")
+    t = written(parsed.select(k, "url", "packed", "bytes", "kinds", "slots", "counts", F.monotonically_increasing_id().alias("row")))
     n, total = t.agg(F.count(F.lit(1)), F.sum("bytes")).first()
-    parts = min(PARTS, 1 + (total or 0) // PART_BYTES)
+    parts = min(PARTS, max(1 + (total or 0) // PART_BYTES, min(n // 128, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     share = min(1.0, SAMPLED * parts / max(1, n))
     drawn = t.select("k").where(F.pmod(F.xxhash64(F.lit("split"), "k"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("k").limit(4 * SAMPLED * PARTS).collect() if parts > 1 else []
-    splits = sorted({tuple((x is not None, x) for x in r.k): r.k for r in drawn[len(drawn) // parts :: max(1, len(drawn) // parts)]}.items()) if drawn else []
-    spark = pages.sparkSession
-    at = spark.createDataFrame([([r for _, r in splits],)], f"splits array<{t.schema['k'].dataType.simpleString()}>")
-    part = F.size(F.filter("splits", lambda s: s <= F.col("k")))
-    placed = t.crossJoin(F.broadcast(at)).withColumn("part", part).drop("splits")  # one row, PARTS split points at most
-    ends = placed.select("part", "k", "row").groupBy("part").agg(F.min_by("row", F.struct("k", "row")).alias("first"), F.max_by("row", F.struct("k", "row")).alias("last"))
+    splits = list(dict.fromkeys(r.k for r in drawn[len(drawn) // parts :: max(1, len(drawn) // parts)]))
+    at = pages.sparkSession.createDataFrame([(splits,)], f"splits array<{t.schema['k'].dataType.simpleString()}>")
+    part = F.size(F.filter("splits", lambda s: s <= F.col("k"))).alias("part")
+    columns = ["k", "url", "packed", "bytes", "kinds", "slots", "counts"]
+    placed = t.crossJoin(F.broadcast(at)).select(part, *columns, "row", F.lit(False).alias("ghost"))  # one row, PARTS split points at most
+    ends = placed.groupBy("part").agg(F.min_by("row", "k").alias("first"), F.max_by("row", "k").alias("last"))
     w = Window.orderBy("part")  # a row per part
     beside = ends.select("part", F.lag("last").over(w).alias("before"), F.lead("first").over(w).alias("behind"))
     ghosts = beside.select("part", F.explode(F.array("before", "behind")).alias("row")).where("row is not null")
-    columns = ["page_id", "url", "host", "lines", "kinds", "keys", "slots", "k", "row"]
-    with_ghosts = placed.select("part", *columns, F.lit(False).alias("ghost")).unionByName(
-        t.select(*columns).join(F.broadcast(ghosts), "row").withColumn("lines", F.array().cast("array<string>")).select("part", *columns, F.lit(True).alias("ghost"))  # two rows a part
-    )
-    dealt = with_ghosts.repartition(parts, "part").sortWithinPartitions("part", "k", "row").select("part", "page_id", "url", "host", "lines", "kinds", "keys", "slots", "ghost")
+    ghosts = t.join(F.broadcast(ghosts), "row").select("part", *columns, F.lit(True).alias("ghost"))  # two rows a part
+    dealt = placed.drop("row").unionByName(ghosts).repartition(parts, "part").sortWithinPartitions("part", "k")
     return dealt.mapInArrow(_differenced(copies), "page_id long, url string, text string, n_chars long, n_shared int, n_markup int")
