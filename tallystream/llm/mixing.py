@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,7 +21,6 @@ from tallystream.llm.tables import drop, written
 #: Documents to a block, and blocks to a stratum (running sums go over strata first, then within one).
 BLOCK, STRATUM = 64, 1024
 WORD = r"[^\x20\x09-\x0D]+"
-_PRIME = 2_147_483_647
 
 
 def targets(sizes: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -47,35 +46,78 @@ def targets(sizes: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, mo
     )
 
 
-def _split(shards: int, seed: int):
+def _drawn(quotas: np.ndarray, totals: np.ndarray, seed: list[int]) -> np.ndarray:
+    """A table of shards x colours with these margins: at each node of the tree the left half's blocks are a multivariate-hypergeometric draw."""
+    parts = np.zeros((len(totals), len(quotas)), np.int64)
+
+    def node(lo: int, hi: int, left: np.ndarray) -> None:
+        if hi - lo == 1:
+            parts[lo] = left
+            return
+        mid = (lo + hi) // 2
+        rng = np.random.Generator(np.random.PCG64([*seed, lo, hi]))
+        take, others = int(totals[lo:mid].sum()), int(left.sum())
+        got = np.zeros_like(left)
+        for i in np.flatnonzero(left):  # one colour after the other: sums may pass the library's limit for all at once
+            others -= int(left[i])
+            if take:
+                got[i] = rng.hypergeometric(int(left[i]), others, take)
+                take -= int(got[i])
+        node(lo, mid, got)
+        node(mid, hi, left - got)
+
+    node(0, len(totals), quotas)
+    return parts
+
+
+#: Sources are dealt into so many groups: the tree splits the groups' quotas first, and below each group those of its sources.
+GROUPS = 256
+
+
+def _split_groups(shards: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source"], na_position="last")
+        pdf = pdf.sort_values("g")
         quotas = pdf.quota.to_numpy(np.int64)
-        parts = np.zeros((shards, len(quotas)), np.int64)
-
-        def node(lo: int, hi: int, left: np.ndarray) -> None:
-            if hi - lo == 1:
-                parts[lo] = left
-                return
-            mid = (lo + hi) // 2
-            rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-            take = int(left.sum()) * (mid - lo) // (hi - lo)
-            drawn = np.zeros_like(left)
-            rest = left.copy()
-            for i in range(len(left)):  # one colour after the other: sums may pass the library's limit for all at once
-                others = int(rest[i + 1 :].sum())
-                drawn[i] = rng.hypergeometric(int(rest[i]), others, take) if take and rest[i] else 0
-                take -= int(drawn[i])
-            node(lo, mid, drawn)
-            node(mid, hi, left - drawn)
-
-        node(0, shards, quotas)
-        ends = parts.cumsum(axis=0)
-        return pd.DataFrame({"source": pdf.source, "ends": [ends[:, i].tolist() for i in range(len(quotas))]})
+        totals = np.diff(quotas.sum() * np.arange(shards + 1) // shards)
+        return pd.DataFrame({"g": pdf.g, "totals": _drawn(quotas, totals, [seed]).T.tolist()})
+
+    return run
+
+
+def _split_sources(seed: int):
+    def run(key, pdf: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"source": [], "ends": []})
+        pdf = pdf.sort_values(["source"], na_position="last")
+        parts = _drawn(pdf.quota.to_numpy(np.int64), np.array(totals.totals.iloc[0], np.int64), [seed, int(key[0]) + 1])
+        return pd.DataFrame({"source": pdf.source, "ends": parts.cumsum(axis=0).T.tolist()})
 
     return run
 
 
+def splits(quota: DataFrame, shards: int, seed: int) -> DataFrame:
+    """source and ends (running sums over shards) of the blocks that each shard gets of each source's quota (source, quota)."""
+    q = quota.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(GROUPS)).cast("int"))
+    groups = q.groupBy("g").agg(F.sum("quota").alias("quota"))  # GROUPS rows at most
+    totals = groups.groupBy(F.lit(0).alias("tree")).applyInPandas(_split_groups(shards, seed), "g int, totals array<bigint>")
+    return q.select("g", "source", "quota").groupBy("g").cogroup(totals.groupBy("g")).applyInPandas(_split_sources(seed), "source string, ends array<bigint>")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (base, id, ...) with h, a hash of base and of the row's number among those of equal base.
+
+    Numbers are given within the parts of the table (the upper bits of id) and shifted by the counts of the parts before, so a base that many rows
+    have is never in one task.  Rows of equal base are interchangeable, so which of them gets which number does not matter.
+    """
+    rows = rows.withColumn("part", F.shiftright("id", 33))
+    counts = rows.groupBy("base", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("base").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    shift = counts.select("base", "part", F.sum("n").over(before).alias("shift")).where("shift is not null")
+    own = F.row_number().over(Window.partitionBy("base", "part").orderBy("id")) - 1
+    out = rows.withColumn("number", own).join(shift, ["base", "part"], "left")
+    return out.withColumn("h", F.xxhash64("base", F.col("number") + F.coalesce("shift", F.lit(0)))).drop("part", "number", "shift", "id")
+
+
 def _with_ahead(block: DataFrame) -> DataFrame:
     """block (source, place, words, ...) with the words of a source's blocks before each; sums go over strata first, then within one."""
     block = block.withColumn("stratum", F.floor(F.col("place") / STRATUM))
@@ -98,7 +140,7 @@ def _filling(dealt: DataFrame, state: DataFrame) -> list[DataFrame]:
     (the document taken first is longer than what is left), so the rounds are few.
     """
     same = F.col("source").eqNullSafe(F.col("of"))
-    units = dealt.where("size > 0").join(state, same & (F.col("place") > F.col("at"))).groupBy("source", "place", "h").agg(F.sum("size").alias("size"), F.first("room").alias("most"))
+    units = dealt.where("size > 0").join(state, same & (F.col("place") > F.col("at"))).select("source", "place", "h", "size", F.col("room").alias("most"))
     units = written(units.where("size <= most").drop("most"))
     found = []
     while not state.isEmpty():
@@ -119,16 +161,25 @@ def _filling(dealt: DataFrame, state: DataFrame) -> list[DataFrame]:
     return found
 
 
-def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 7) -> DataFrame:
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns: rows that share it are equal."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 7, keys: bool = False) -> DataFrame:
     """How often the mix takes each document, and where to.
 
     Returns a row per input row: doc_id, size (words of text; 0 for null), source, source_size, target, taken (size times
     the number of takes, 0 to 2), takes, and places: for each take the output shard and the place key by which the shard's documents are
-    shuffled.  A document is taken whole or not, rows of equal doc_id together; no document that a source's words would still have room for is left out.  An empty table gives no rows; rows without words are taken 0 words.  Equal doc_ids share a
-    block.  Reruns agree, whatever the partitioning.  Columns other than doc_id, text and source are ignored.
+    shuffled; with keys also key (`row_key`).  A document is taken whole or not; no document that a source's words would still have room for is left out.
+    Every row is a document of its own, whether it shares its doc_id with others, has none, or is repeated.  An empty table gives no rows; rows
+    without words are taken 0 words.  Documents are hashed into blocks, so that any order of the blocks is a random one.  Reruns agree, whatever
+    the partitioning.  Columns other than doc_id, text and source only serve to tell rows apart.
     """
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_key(docs).alias("base"), F.monotonically_increasing_id().alias("id")
+    )
+    rows = numbered(written(rows))
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
     goal = (
         targets(sizes, weights, share, most)
@@ -138,9 +189,10 @@ def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, most
     )
     goal = written(goal)
     same = F.col("source").eqNullSafe(F.col("of"))
-    # The permutation: a prime step around the ring of a source's blocks.
-    place = F.pmod(F.pmod("h", "blocks") * _PRIME + F.xxhash64(F.lit(seed), "source") % 1_000_003, F.col("blocks"))
-    dealt = written(rows.join(goal.withColumnRenamed("source", "of"), same).select("doc_id", "source", "size", "h", "source_size", "target", "blocks", "passes", "rest", place.alias("place")))
+    place = F.pmod(F.xxhash64(F.lit(seed), "h"), F.col("blocks"))
+    dealt = written(
+        rows.join(goal.withColumnRenamed("source", "of"), same).select("doc_id", "source", "size", "base", "h", "source_size", "target", "blocks", "passes", "rest", place.alias("place"))
+    )
     block = _with_ahead(dealt.groupBy("source", "place", "rest").agg(F.sum("size").alias("words"))).where(F.col("ahead") + F.col("words") <= F.col("rest"))
     whole = block.groupBy("source").agg(F.max("place").alias("at"), F.max(F.col("ahead") + F.col("words")).alias("words"))
     # Of each source the last block that fits whole, and the room behind it.
@@ -152,10 +204,10 @@ def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, most
     picked = dealt.select("source", "place", "h").limit(0)
     for f in found:
         picked = picked.union(f)
-    picked = picked.select(F.col("source").alias("of"), F.col("place").alias("p"), F.col("h").alias("picked"))
+    picked = written(picked.select(F.col("source").alias("of"), F.col("place").alias("p"), F.col("h").alias("picked")))
     filled = picked.groupBy("of").agg(F.lit(1).alias("filled"))
     quota = reached.join(filled, same, "left").select("source", (F.col("passes") * F.col("blocks") + F.col("at") + 1 + F.coalesce("filled", F.lit(0))).alias("quota"))
-    ends = quota.groupBy(F.lit(0).alias("tree")).applyInPandas(_split(shards, seed), "source string, ends array<bigint>")
+    ends = splits(quota, shards, seed)
     ends = reached.join(ends.withColumnRenamed("source", "of"), same).select(F.col("source").alias("of"), "at", "ends")
     taken = (
         dealt.join(ends, same).drop("of")
@@ -165,7 +217,8 @@ def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, most
     )
     slot = lambda k: F.when(F.col("picked").isNotNull() & (k == F.col("passes")), F.col("at") + 1).otherwise(F.col("place"))
     shard = lambda k: F.size(F.filter("ends", lambda e: e <= slot(k) + k * F.col("blocks")))
-    places = F.transform(F.sequence(F.lit(1), F.lit(int(most) + 1)), lambda k: F.struct(shard(k - 1).cast("int").alias("shard"), F.xxhash64(F.lit(seed), "doc_id", k).alias("key")))
+    places = F.transform(F.sequence(F.lit(1), F.lit(int(most) + 1)), lambda k: F.struct(shard(k - 1).cast("int").alias("shard"), F.xxhash64(F.lit(seed), "h", k).alias("key")))
+    key = [F.col("base").alias("key")] if keys else []
     return taken.select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("takes")).alias("taken"), "takes", F.slice(places, 1, F.col("takes")).alias("places")
+        "doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("takes")).alias("taken"), "takes", F.slice(places, 1, F.col("takes")).alias("places"), *key
     )

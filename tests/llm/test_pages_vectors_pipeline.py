@@ -158,23 +158,42 @@ def test_awkward_vectors(spark):
 
 
 def test_pipeline_stages(spark, awkward, tmp_path):
+    from collections import Counter
+
+    from test_documents import WORD, components_of, filled
+
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     docs = docs.union(awkward.select(*docs.columns).withColumn("doc_id", awkward.doc_id + 10**6))
+    # Rows without doc_id, one of them near another text, and two texts under one doc_id.
+    text = " ".join(f"only{i}" for i in range(40))
+    odd = [(None, text + " end", "en", "a", 1), (None, "quite another text", "en", "a", 1), (2_000_000, text, "en", "b", 1), (2_000_001, "first of two", "en", "b", 1), (2_000_001, "second of two", "en", "b", 1)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
     first = pipeline.language_id(spark, docs, SMALL).cache()
     # Every text with a letter stays, no other.
     want = sorted((r for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)), key=repr)
     assert sorted(first.collect(), key=repr) == want and first.columns == docs.columns
     second = pipeline.near_dedup(spark, first, SMALL).cache()
-    from test_documents import components_of
-
-    keep = {i for i, (_, c) in components_of({r.doc_id: r.text for r in want}.items(), 5, 80).items() if c == i}
-    assert sorted(r.doc_id for r in second.collect()) == sorted(keep) and second.columns == docs.columns
+    distinct = sorted(set(want), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    groups = components_of([(i, r.text) for i, r in enumerate(distinct)], 5, 80)
+    least = {}
+    for i, (_, c) in groups.items():
+        least.setdefault(c, distinct[i].doc_id)
+    assert sorted((r.doc_id for r in second.collect()), key=repr) == sorted(least.values(), key=repr) and second.columns == docs.columns
+    assert sum(r.doc_id is None for r in second.collect()) == 1 and sum(r.doc_id == 2_000_001 for r in second.collect()) == 2
     third = pipeline.source_mix(spark, second, SMALL).cache()
-    from tallystream.llm.mixing import mix
-
-    takes = {r.doc_id: r.takes for r in mix(second).collect()}
-    assert sorted(r.doc_id for r in third.collect()) == sorted(i for i, n in takes.items() for _ in range(n)) and third.columns == docs.columns
+    assert third.columns == docs.columns
+    kept, drawn = second.collect(), Counter(third.collect())
+    assert set(drawn) <= set(kept) and max(drawn.values()) <= 2
+    words = {r: len(WORD.findall(r.text)) for r in kept}
+    sizes = Counter()
+    for r, n in words.items():
+        sizes[r.source] += n
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = filled(dict(sizes), {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, 1.5 * sum(sizes.values()))
+    for s in sizes:
+        left = target[s] - sum(n * words[r] for r, n in drawn.items() if r.source == s)
+        assert -1e-6 <= left < max(words[r] for r in words if r.source == s)
     last = pipeline.encoded(spark, third, SMALL).collect()
     t = Tokenizer.from_file(word_vocabulary())
     assert len(last) == third.count() and all(r.n_tokens == len(t.encode(r.text, add_special_tokens=False).ids) for r in last)
