@@ -28,6 +28,8 @@ SAMPLE, TREES, LEAF = 16_384, 8, 48
 BUDGET = 0.7
 #: Vectors of one leaf that meet its queries in one task (salts follow from the table's size).
 BLOCK = 4096
+#: Relative error of an inner product, per component, between two orders of summation; salts of the queries with one vector.
+EXACT, SALTS = 4e-16, 16
 
 
 class Forest:
@@ -128,7 +130,9 @@ def _routed(forest, budget: float, k: int):
                     for leaf in taken:
                         met[f.member[f.start[leaf] : f.start[leaf + 1]]] = True
                     if met.sum() >= k:
-                        least[i] = np.partition(f.sample[met] @ x[i], -k)[-k] - 1e-9
+                        near = f.sample[met] @ x[i]
+                        slack = EXACT * x.shape[1] * np.linalg.norm(x[i]) * np.sqrt((f.sample[met] ** 2).sum(axis=1).max())
+                        least[i] = np.partition(near, -k)[-k] - slack
             else:
                 leaves = f.route(x).tolist()
             yield pa.RecordBatch.from_arrays(
@@ -140,21 +144,24 @@ def _routed(forest, budget: float, k: int):
 
 def _leaf_best(k: int):
     def run(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        query, cand, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        query, cand, score, slack = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
         if len(q) and len(x):
             b, ids, least = _packed(x.v), x.vec_id.to_numpy(), q.least.to_numpy()
             names = q.vec_id.to_numpy()
             a = _packed(q.v)
+            size = EXACT * b.shape[1] * np.linalg.norm(b, axis=1)
             for i in range(0, len(a), 256):
                 near = a[i : i + 256] @ b.T
-                if near.shape[1] > k:
-                    floor = np.partition(near, -k, axis=1)[:, -k]
-                    near = np.where(near >= floor[:, None], near, -np.inf)
-                r, c = np.nonzero((near >= least[i : i + 256, None]) & np.isfinite(near))
+                tol = np.linalg.norm(a[i : i + 256], axis=1)[:, None] * size
+                enough = near + tol >= least[i : i + 256, None]
+                if near.shape[1] > k:  # what may be among the k best, whatever the order of summation
+                    enough &= near + tol >= np.partition(near - tol, -k, axis=1)[:, -k][:, None]
+                r, c = np.nonzero(enough)
                 query.append(names[i : i + 256][r])
                 cand.append(ids[c])
                 score.append(near[r, c])
-        return pd.DataFrame({"query": np.concatenate(query), "cand": np.concatenate(cand), "near": np.concatenate(score)})
+                slack.append(tol[r, c])
+        return pd.DataFrame({"query": np.concatenate(query), "cand": np.concatenate(cand), "near": np.concatenate(score), "tol": np.concatenate(slack)})
 
     return run
 
@@ -164,7 +171,8 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, sample: int = S
 
     Returns query_id, rank (from 1), vec_id, score (the inner product of the original vectors, summed in double precision from the first
     component to the last); nearest first, ties to the smaller vec_id; fewer rows only if fewer candidates are found.  Vectors that are null, zero,
-    or hold null or non-finite components, and rows without vec_id, take no part, nor do vectors whose length differs from the longest.
+    or hold null or non-finite components, and rows without vec_id, take no part.  Inner products need one length: the commonest (of equally common ones the
+    longest) is searched, vectors of other lengths take no part either.  Of rows that share a vec_id one takes part, the one whose vector comes last in order.
     Equal vectors form a class that is indexed and searched once; a class offers its k + 1 smallest ids, no more can be among
     the nearest.  budget is the number of leaves a query takes, as a share of one tree's leaves.  An empty table gives no rows; other columns are ignored.
     """
@@ -174,38 +182,49 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, sample: int = S
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
         & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf"))) & F.exists("embedding", lambda c: c != 0)
     )
-    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).dropDuplicates(["vec_id"]).withColumn("h", F.xxhash64("v"))
+    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     rows = written(rows)
-    width = rows.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
-    if not width[1]:
+    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
+    if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == width[0])
+    rows = rows.where(F.size("v") == lengths.n).groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("h", F.xxhash64("v"))
+    rows = written(rows)
     # Classes of equal vectors: one row each, with the smallest ids, chosen in two salted steps.
     salted = Window.partitionBy("h", "v", F.pmod("vec_id", F.lit(64))).orderBy("vec_id")
     few = rows.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
     classes = written(
         few.groupBy("h", "v").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids")).select(F.col("ids")[0].alias("vec_id"), "ids", "v", "h")
     )
-    share = min(1.0, sample / max(1, width[1]))
+    share = min(1.0, sample / max(1, lengths.rows))
     drawn = classes.where(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1 << 30)) / float(1 << 30) < share).select("vec_id", "v").orderBy("vec_id").limit(2 * sample)
     fitted = drawn.toPandas()  # at most 2 * sample vectors
-    forest = Forest(np.array(fitted.v.tolist(), np.float64) if len(fitted) else np.zeros((0, width[0])), trees)
+    forest = Forest(np.array(fitted.v.tolist(), np.float64) if len(fitted) else np.zeros((0, lengths.n)), trees)
     sent = spark.sparkContext.broadcast(forest)  # bounded by the sample
     schema = "vec_id long, v binary, least double, leaves array<long>"
     index = classes.select("vec_id", "v").mapInArrow(_routed(sent, 0, k + 1), schema)
+    # The classes that are asked for; the queries themselves come back at the end.
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "h", "v")
-    asking = asked.join(classes.select("h", "v", F.col("vec_id").alias("class")), ["h", "v"]).select("query_id", "class", "v")
-    asking = written(asking)
-    queries = asking.select(F.col("class").alias("vec_id"), "v").dropDuplicates(["vec_id"]).mapInArrow(_routed(sent, budget, k + 1), schema)
+    asking = written(asked.select("h", "v").distinct().join(classes.select("h", "v", F.col("vec_id").alias("class")), ["h", "v"]))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = asking.select(F.col("class").alias("vec_id"), "v").repartition(width, "vec_id").mapInArrow(_routed(sent, budget, k + 1), schema)
     # A leaf's vectors are dealt over salts so that a task holds about BLOCK of them; queries go to every salt of their leaves.
-    salts = max(1, -(-int(width[1]) * trees // max(1, forest.leaves) // BLOCK))
+    salts = max(1, -(-int(lengths.rows) * trees // max(1, forest.leaves) // BLOCK))
     left = queries.select("vec_id", "v", "least", F.explode("leaves").alias("leaf")).select("vec_id", "v", "least", "leaf", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     right = index.select("vec_id", "v", F.explode("leaves").alias("leaf")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
-    found = left.groupBy("leaf", "salt").cogroup(right.groupBy("leaf", "salt")).applyInPandas(_leaf_best(k + 1), "query long, cand long, near double")
-    found = found.groupBy("query", "cand").agg(F.max("near").alias("near"))
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "cand"))).where(F.col("n") <= 2 * k + 10)
-    offered = best.join(classes.select(F.col("vec_id").alias("cand"), "ids", F.col("v").alias("x")), "cand").select("query", "ids", "x")
+    found = left.groupBy("leaf", "salt").cogroup(right.groupBy("leaf", "salt")).applyInPandas(_leaf_best(k + 1), "query long, cand long, near double, tol double")
+    found = found.groupBy("query", "cand").agg(F.max("near").alias("near"), F.max("tol").alias("tol"))
+    # All that may be among the k + 1 best go on, however many they are: those that reach the (k + 1)-th best sure value.
+    sure = Window.partitionBy("query").orderBy(F.desc(F.col("near") - F.col("tol")), "cand")
+    bar = F.min(F.when(F.col("n") <= k + 1, F.col("near") - F.col("tol"))).over(Window.partitionBy("query"))
+    best = found.withColumn("n", F.row_number().over(sure)).withColumn("bar", bar).where(F.col("near") + F.col("tol") >= F.col("bar"))
+    offered = best.select("query", "cand").join(classes.select(F.col("vec_id").alias("cand"), "ids", F.col("v").alias("x")), "cand")
     exact = F.aggregate(F.zip_with("v", "x", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
-    scored = asking.join(offered, F.col("class") == F.col("query")).select("query_id", exact.alias("score"), F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = offered.join(asking.select(F.col("class").alias("query"), "v"), "query").select("query", exact.alias("score"), F.explode("ids").alias("vec_id"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)  # a query of the class may be one of them
+    lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct(F.col("rank").alias("n"), "vec_id", "score"))).alias("list"))
+    # A vector that many queries have: its list goes to every salt.
+    of = asking.select("h", "v", F.col("class").alias("query")).join(lists, "query").select("h", "v", "list", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    got = asked.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int")).join(of, ["h", "v", "salt"])
+    others = F.slice(F.filter("list", lambda x: x.vec_id != F.col("query_id")), 1, k)
+    return got.select("query_id", F.posexplode(others).alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

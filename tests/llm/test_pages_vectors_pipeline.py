@@ -157,6 +157,43 @@ def test_awkward_vectors(spark):
     assert ann.nearest(d.limit(0)).count() == 0
 
 
+def test_a_vector_of_another_length_changes_nothing(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    schema = "vec_id long, embedding array<double>"
+    want = nearest_rows(ann.nearest(spark.createDataFrame(rows, schema)))
+    assert len(want) == 3 and nearest_rows(ann.nearest(spark.createDataFrame([*rows, (40_000, [1.0] * 9), (61, [2.0])], schema))) == want
+
+
+def test_large_norms_and_many_ties_lose_nothing(spark):
+    rng = np.random.default_rng(2)
+    # 300 vectors that the query sees alike, and lengths of 1e6.
+    ties = [(i, [1.0, *(rng.normal(size=3) * 5).tolist()]) for i in range(1, 300)] + [(0, [1.0, 0.0, 0.0, 0.0])]
+    large = [(1000 + i, (rng.normal(size=4) * 1e6).tolist()) for i in range(200)]
+    for rows in (ties, large):
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert nearest_rows(ann.nearest(d, budget=10.0)) == exact(rows, 20, 20)
+
+
+def test_one_vector_of_many_queries(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(400)] + [(1000 + i, [float(i), 1.0]) for i in range(30)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert nearest_rows(ann.nearest(d)) == exact(rows, 20, 20)
+
+
+def test_recall_where_the_sample_is_small(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in d.collect()]
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    got = nearest_rows(ann.nearest(d, sample=512))
+    hits = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        near = x @ x[i]
+        near[i] = -np.inf
+        hits.append(len(set(ids[np.argsort(-near)[:20]].tolist()) & {j for _, j, _ in got[int(ids[i])]}) / 20)
+    assert len(hits) == 100 and np.mean(hits) >= 0.9
+
+
 def test_pipeline_stages(spark, awkward, tmp_path):
     from collections import Counter
 
