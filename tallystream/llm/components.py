@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystream.llm.tables import drop, written
+from tallystream.llm.tables import drop, spread, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,6 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round joins every edge with its node's smallest neighbour, so the edges become stars around the smallest
     nodes; the rounds needed grow with the logarithm of the longest path.  Loops, repeated edges and nulls do no harm; no edges give no rows.
+    A node with many neighbours is joined in many tasks.
     """
     e = written(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -25,13 +26,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.where("n > m").select(F.col("n").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
-        small = large.join(low2, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = written(small.unionByName(low2.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct())
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        links, to = spread(both.where("v > u"), low, "u", 2 * mark[0])
+        large = links.join(to, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("u > m").select("u", F.col("m").alias("v"))).distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        links, to = spread(large, low2, "u", 2 * mark[0])
+        small = links.join(to, ["u", "salt"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nxt = written(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
         now = _mark(nxt)
         drop(e)
         e = nxt

@@ -10,7 +10,7 @@ Sketches of two sets merge by the larger register, and two registers agree about
    similarity.  Pairs five standard errors under the threshold go, all others are confirmed on full sets.
 4. Buckets whose members are still in more than one component are finished exactly: over their documents, two sets
    that reach the threshold share one of their rarest shingles at positions that leave room for the needed
-   overlap.  Such pairs are confirmed on full sets, too.  No bucket is capped and none emits all its pairs.
+   overlap.  Such pairs are confirmed on full sets, too.  No bucket is capped; sets that share only common shingles do not meet.
 5. Components by large-star and small-star steps.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallystream.llm.components import connected_components
-from tallystream.llm.tables import drop, written
+from tallystream.llm.tables import drop, spread, written
 from tallystream.llm.textkernel import shingle_hashes, slices, utf8_view, word_hashes
 
 #: Registers, and registers to a band.  Sets with a similarity of 0.8 share a band with a chance of 1 - 5e-8.
@@ -196,11 +196,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         .select("doc_id", "component", "n", "t", "at")
     )
     prefix = written(prefix)
+    # Of a pair the smaller set is found by a shorter prefix: (1 + j) of the needed overlap is at least 2 j of its own size.
     x, y = (prefix.select(F.col("t"), *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "at"))) for k in "ab")
+    y = y.where((100 + percent) * (F.col("n_b") - F.col("at_b")) >= 2 * percent * F.col("n_b"))
     room = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    smaller = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("doc_id_b") < F.col("doc_id_a")))
+    x, y = spread(x, y, "t", prefix.count())
     rest = (
-        x.join(y, (x.t == y.t) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & room)
-        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+        x.join(y, ["t", "salt"])
+        .where(smaller & (F.col("component_a") != F.col("component_b")) & room)
+        .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
         .distinct()
     )
     more = written(_confirmed(rest, sets, percent))
