@@ -2,8 +2,9 @@
 
 A merge list determines how far to the right of a token one has to read before no continuation can change it
 (`lookahead`).  The transducer buffers that many symbols and a little more, merges within the buffer, emits the tokens that
-end at least the lookahead before the buffer's end, and starts again behind them, so memory is constant for texts
-and words of any length.  Decoding is a state machine from ids to bytes to text that holds at most one unfinished character.
+end at least the lookahead before the buffer's end, and starts again behind them.  A word that fits the buffer is its one
+buffer.  Texts are encoded, decoded and hashed in pieces cut at white space, so memory is that of a piece, or of the longest run without white
+space.  Decoding is a state machine on the ids: `JoinedDecoder` for files that name no decoder, `TextDecoder` to bytes and text.
 """
 
 from __future__ import annotations
@@ -39,8 +40,11 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-_NUMBER, _IDS, _TOKENS = map(itemgetter, range(3))
+_NUMBER, _IDS, _TEXT = map(itemgetter, range(3))
 _SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
+_BLANK = regex.compile(r"[ \t\n]")
+#: Characters of a text that are encoded at once.
+PIECE = 1 << 16
 
 
 def _remembered(memory: dict, key: str, make: Callable) -> tuple[int, str, str]:
@@ -81,6 +85,8 @@ class BpeModel:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._runs: dict[str, tuple[int, str, str]] = {}
         self._words: dict[str, tuple[int, str, str]] = {}
+        # The whole texts of special tokens may lie in one cut only if none holds white space.
+        self.whole = any(c.isspace() for x in self.special for c in x)
 
     def _length(self, token: str) -> int:
         return len(token.removesuffix(self.suffix)) if self.suffix and token != self.suffix else len(token)
@@ -172,11 +178,15 @@ class BpeModel:
         return text
 
     def _word(self, word: str) -> tuple[int, str, str]:
-        tokens = self.encode_word(word)
-        return len(tokens), " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens)
+        ids = [self.vocab[t] for t in self.encode_word(word)]
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids as the file's own rule gives it (`JoinedDecoder`)."""
+        return "".join(map(JoinedDecoder(self).feed, ids))
 
     def _run(self, run: str) -> tuple[int, str, str]:
-        """Of a run without white space: number of tokens, ids and tokens, each joined by a space."""
+        """Of a run without white space: number of tokens, the ids joined by a space, and what these ids decode to."""
         if max(run) < COMMON:
             words = self.words.findall(self.normalized(run))
         else:
@@ -186,23 +196,52 @@ class BpeModel:
             return parts[0]
         return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
-    def encode_runs(self, text: str) -> list[tuple[int, str, str]]:
-        """(number, ids, tokens) of consecutive runs of a text; a special token's string is that token."""
-        out, memory = [], self._runs
-        for part in self.cut.split(text) if self.cut and any([x in text for x in self.special]) else [text]:
-            if part in self.special:
-                out.append((1, str(self.special[part]), part))
-                continue
-            # str.split takes four control characters for white space that the pattern does not.
-            runs = part.split() if not any([c in part for c in "\x1c\x1d\x1e\x1f"]) else [x for x in _SPACE.split(part) if x]
-            got = list(map(memory.get, runs))
-            if None in got:
-                got = [_remembered(memory, run, self._run) if g is None else g for run, g in zip(runs, got, strict=True)]
-            out += got
-        return out
+    def _pieces(self, text: str) -> Iterator[str]:
+        """A text in pieces of about PIECE characters, cut behind white space."""
+        at = 0
+        while len(text) - at > PIECE and not self.whole:
+            blank = _BLANK.search(text, at + PIECE)
+            if blank is None:
+                break
+            yield text[at : blank.end()]
+            at = blank.end()
+        yield text[at:] if at else text
+
+    def encode_runs(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
+        """(number, ids, decoded) of the runs of a text, piece by piece; a special token's string is that token."""
+        memory = self._runs
+        for piece in self._pieces(text):
+            out = []
+            for part in self.cut.split(piece) if self.cut and any([x in piece for x in self.special]) else [piece]:
+                if part in self.special:
+                    out.append((1, str(self.special[part]), self.decode([self.special[part]])))
+                    continue
+                # str.split takes four control characters for white space that the pattern does not.
+                runs = part.split() if not any([c in part for c in "\x1c\x1d\x1e\x1f"]) else [x for x in _SPACE.split(part) if x]
+                got = list(map(memory.get, runs))
+                if None in got:
+                    got = [_remembered(memory, run, self._run) if g is None else g for run, g in zip(runs, got, strict=True)]
+                out += got
+            if out:
+                yield out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.encode_runs(text) for i in ids.split(" ")]
+        return [int(i) for piece in self.encode_runs(text) for _, ids, _ in piece for i in ids.split(" ")]
+
+
+class JoinedDecoder:
+    """The state machine of a file that names no decoder: ids become tokens, one space before each but the first.
+
+    Its only state is whether a token came before, so texts decoded apart and joined by a space are the text decoded at once.
+    """
+
+    def __init__(self, model: BpeModel) -> None:
+        self.token, self.before = model.token, False
+
+    def feed(self, i: int) -> str:
+        out = " " + self.token[i] if self.before else self.token[i]
+        self.before = True
+        return out
 
 
 class TextDecoder:
@@ -244,13 +283,20 @@ def _digests(path, ids_too: bool):
         for batch in batches:
             number, ids, text, raw = [], [], [], []
             for x in batch.column(1):
-                parts = model.encode_runs(x.as_py() or "")
-                number.append(sum(map(_NUMBER, parts)))
-                joined = " ".join(map(_IDS, parts))
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                text.append(hashlib.sha256(" ".join(map(_TOKENS, parts)).encode("utf-8")).hexdigest())
+                n, joined, digests, gap = 0, [], (hashlib.sha256(), hashlib.sha256()), ""
+                for piece in model.encode_runs(x.as_py() or ""):
+                    n += sum(map(_NUMBER, piece))
+                    these = gap + " ".join(map(_IDS, piece))
+                    digests[0].update(these.encode())
+                    digests[1].update((gap + " ".join(map(_TEXT, piece))).encode("utf-8"))
+                    gap = " "
+                    if ids_too:
+                        joined += map(int, these.split())
+                number.append(n)
+                ids.append(digests[0].hexdigest())
+                text.append(digests[1].hexdigest())
                 if ids_too:
-                    raw.append([int(i) for i in joined.split(" ")] if joined else [])
+                    raw.append(joined)
             columns = [batch.column(0), pa.array(number, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids_too:
@@ -267,7 +313,7 @@ def encode_decode(docs: DataFrame, path: str | Callable[[], str], *, ids: bool =
     """Encode every whole text and decode it again.
 
     path: the vocabulary's file, or a function that gives it on an executor.  Returns a row per input row: doc_id,
-    n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the tokens joined by one space, as
+    n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of what the ids decode to: tokens joined by one space, as
     the file names no decoder), with ids the ids themselves, and with rows the input row as a struct.  A null text is an empty one: no tokens, the digests of nothing.  Columns other
     than doc_id and text are ignored; equal rows give equal rows.
     """

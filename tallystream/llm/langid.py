@@ -21,6 +21,8 @@ from tallystream.llm.textkernel import slices, utf8_view
 GRAM, KINDS = 4, 1 << 16
 #: Labelled documents that the model is fitted on: about so many of each language (the bound of the sample).
 SAMPLE = 4000
+#: Different labels at most.
+LANGUAGES = 512
 #: Steps of expectation-maximisation, and the log-likelihood that one more language must bring per doubling of a text.
 STEPS, PENALTY = 8, 3.0
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -113,10 +115,13 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE) -> LanguageModel | None:
     """Fit on text and non-null lang of docs (all of them may be used).
 
     At most about `sample` documents of each language are read whole: those whose hash falls under sample divided by the
-    language's count.  The counts come back as one table of languages x KINDS at most.  No labelled text gives None.
+    language's count.  The counts come back as one table of languages x KINDS at most; more than LANGUAGES different labels are an error, as
+    lang is then no language and the table would not fit.  No labelled text gives None.
     """
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = {r[0]: r[1] for r in docs.where("lang is not null").groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in docs.where("lang is not null").groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels in lang")
     if not sizes:
         return None
     part = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])

@@ -197,6 +197,25 @@ def test_transducer_with_a_small_buffer_equals_merging_at_once():
     assert "".join(map(decoder.feed, ids)) + decoder.close() == "straße über 日本 ok "
 
 
+def test_encoding_in_pieces_decodes_the_ids(spark, monkeypatch):
+    t = Tokenizer.from_file(word_vocabulary())
+    text = "One two  three\nfour\tfive<|endoftext|> six " * 40 + "x" * 700 + " end"
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    m = bpe.BpeModel(word_vocabulary())
+    ids = t.encode(text, add_special_tokens=False).ids
+    assert m.encode(text) == ids and len(list(m.encode_runs(text))) > 20
+    assert m.decode(ids) == t.decode(ids, skip_special_tokens=False) == " ".join(x for piece in m.encode_runs(text) for _, _, x in piece)
+    # A wrong id is seen: the decoded text follows from ids, not from the encoder's tokens.
+    m.token[ids[0]] = "?"
+    assert m.decode(ids) != t.decode(ids, skip_special_tokens=False)
+
+
+def test_letters_without_grams(spark):
+    model = langid.LanguageModel(["aa", "bb"], np.ones((2, langid.KINDS)))
+    got = langid.identify(spark.createDataFrame([(1, "ab"), (2, "é")], "doc_id long, text string"), model).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("aa", 0.5), ("aa", 0.5)]
+
+
 # --- Mixing and sharding --------------------------------------------------------------------------
 
 
@@ -298,6 +317,62 @@ def test_ring(spark, awkward):
     assert sharding.ring_shards(awkward.limit(0)).count() == 0
 
 
+def ring_by_hand(positions, shards, vnodes, cells, node_cells):
+    """Rows walk the ring one after the other: own arcs fill a shard in the order of arcs, the rest goes on clockwise to the room left at the nodes."""
+    arcs = sorted(node_cells)  # cell -> shard
+    arc_of = lambda c: next((a for a in arcs if a >= c), arcs[0])
+    n = len(positions)
+    room = {s: n // shards + (s < n % shards) for s in range(shards)}
+    queue = defaultdict(list)
+    for i, c in sorted(enumerate(positions), key=lambda x: x[1]):
+        queue[arc_of(c)].append(i)
+    kept, left = Counter(), dict(room)
+    for a in arcs:
+        take = min(len(queue[a]), left[node_cells[a]])
+        kept[a], left[node_cells[a]] = take, left[node_cells[a]] - take
+    over = {a: len(queue[a]) - kept[a] for a in arcs}
+    free = {}
+    for s in range(shards):
+        mine = [a for a in arcs if node_cells[a] == s]
+        for k, a in enumerate(mine):
+            free[a] = left[s] // len(mine) + (k < left[s] % len(mine))
+    # Walk two laps: rows wait and are taken by the next free room.
+    moved, waiting = Counter(), 0
+    for lap in range(2):
+        for a in arcs:
+            waiting += over.pop(a, 0)
+            take = min(waiting, free[a])
+            moved[node_cells[a]] += take
+            waiting, free[a] = waiting - take, free[a] - take
+    assert waiting == 0
+    return {a: kept[a] for a in arcs}, moved
+
+
+def test_ring_equals_a_walk_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    shards, vnodes, cells = 3, 4, 64
+    d = spark.range(301).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "cast(id % 50 as string) as text")
+    got = sharding.ring_shards(d, shards=shards, vnodes=vnodes, cells=cells).collect()
+    text = F.col("text")
+    pos = [r.c for r in d.select(F.pmod(F.xxhash64(F.lit("row"), F.col("doc_id").cast("long"), F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("long")), F.lit(cells)).alias("c")).collect()]
+    nodes = defaultdict(lambda: shards)
+    for r in spark.range(shards * vnodes).select((F.col("id") % shards).alias("s"), F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(cells)).alias("c")).collect():
+        nodes[r.c] = min(nodes[r.c], r.s)
+    kept, moved = ring_by_hand(pos, shards, vnodes, cells, dict(nodes))
+    want = Counter()
+    for a, n in kept.items():
+        want[nodes[a]] += n
+    assert Counter(r.shard for r in got) == want + moved and len(got) == 301
+
+
+def test_one_more_shard_and_hot_ids(spark):
+    d = spark.range(9000).selectExpr("if(id < 3000, null, if(id < 6000, 1, id)) as doc_id", "if(id < 1500, null, cast(id as string)) as text")
+    for n in (8, 9):
+        got = sharding.ring_shards(d, shards=n).collect()
+        assert sorted((r.shard, r.slot) for r in got) == [(g, i) for g in range(n) for i in range(9000 // n + (g < 9000 % n))]
+
+
 def test_few_rows_leave_their_own_arc(spark):
     d = spark.range(20_000).selectExpr("id as doc_id", "cast(id as string) as text")
     home = {r.doc_id: r.shard for r in sharding.ring_shards(d, vnodes=64).collect()}
