@@ -1,6 +1,6 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads, in DataFrame functions only.
 
-Every shard has virtual nodes on a ring of cells; a row's doc_id hashes to a cell and belongs to the next virtual
+Every shard has virtual nodes on a ring of cells; a row hashes (by doc_id and text) to a cell and belongs to the next virtual
 node clockwise, whose arc ends there.  A shard takes no more rows than its room (row counts at most one apart).
 It first takes rows of its own arcs; room left over lies in equal parts at its virtual nodes.  Rows that find
 their shard full continue clockwise, first come, first served, to the next virtual node with room.  As all room together
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallystream.llm.tables import written
+
 
 def _ring(docs: DataFrame, shards: int, vnodes: int, cells: int) -> DataFrame:
     """A row per cell: its arc (the cell of its virtual node), shard, rows, and the rows of its arc before it."""
@@ -88,22 +90,25 @@ def ring_shards(docs: DataFrame, *, shards: int = 8, vnodes: int = 64, cells: in
 
     Returns a row per input row: doc_id, size (UTF-8 bytes of text plus 1; a null text has none), text_crc32 (of the
     UTF-8 text; 0 for a null or empty one), law ('rows'), shard, slot (gapless from 0 in each shard) and grown_shard
-    (null: under this law room depends on all rows).  Equal texts are not kept together.  Rows with equal doc_id share a ring position, as do those
-    without doc_id; equal rows are interchangeable.  Columns other than doc_id and text are ignored; an empty table gives no rows.
+    (null: under this law room depends on all rows).  Equal texts are not kept together.  Rows equal in doc_id and text share a ring position
+    and are interchangeable; they are counted and ranked by the parts of the table, never all in one task.  Columns other than doc_id and text are ignored; an empty table gives no rows.
 
     The ring's tables have `cells` rows and 3 * shards * vnodes segments at most, whatever the input, so they are broadcast; raise cells with
     the number of rows (a cell's rows are ranked in one sort).
     """
-    at = F.xxhash64(F.lit("row"), F.col("doc_id").cast("long"))
-    # Another plan for the counts: it reads doc_id alone.
-    ring = _ring(docs.select(F.pmod(at, F.lit(cells)).alias("cell")), shards, vnodes, cells)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(at, F.lit(cells)).alias("cell"), at.alias("position"),
+        F.shiftright(F.monotonically_increasing_id(), 33).alias("part"), F.monotonically_increasing_id().alias("id"),
     )
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("position", "doc_id", "text_crc32", "size")) - 1)
-    placed = ranked.join(F.broadcast(ring.select("cell", "arc", "before")), "cell").withColumn("rank", F.col("rank") + F.col("before"))
+    at = F.xxhash64(F.lit("row"), "doc_id", "text_crc32", "size")
+    rows = written(rows.withColumn("at", at)).withColumn("cell", F.pmod("at", F.lit(cells)))
+    ring = written(_ring(rows.select("cell"), shards, vnodes, cells))
+    # A row's rank in its arc: the rows of the arc's cells before its own, those of its cell before its position and part, and those of the part before it.
+    counts = rows.groupBy("cell", "at", "part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("cell").orderBy("at", "part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(F.broadcast(ring.select("cell", "arc", "before")), "cell").select("at", "part", "arc", (F.col("before") + F.col("ahead")).alias("ahead"))
+    placed = rows.withColumn("own", F.row_number().over(Window.partitionBy("at", "part").orderBy("id")) - 1).join(counts, ["at", "part"]).withColumn("rank", F.col("ahead") + F.col("own"))
     seg = F.broadcast(_segments(ring, shards).withColumnRenamed("arc", "on_arc"))
     return placed.join(seg, (F.col("arc") == F.col("on_arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("lo")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
