@@ -27,8 +27,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata and conversion records of pages as WARC responses: their links and digests."""
-    return derivatives(responses(table(spark, sf_dir, "pages"))).drop("record")
+    """Metadata and conversion records of pages as WARC responses: their links, digests and bytes."""
+    return derivatives(responses(table(spark, sf_dir, "pages")))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

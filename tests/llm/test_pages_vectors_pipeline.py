@@ -117,6 +117,28 @@ def test_warc_links_and_digests(spark):
     assert warc.derivatives(odd).count() == 0
 
 
+def test_broken_and_encoded_records(spark):
+    def response(i, headers, body):
+        block = b"HTTP/1.1 200 OK\r\n" + headers + b"\r\n" + body
+        return warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{i}>"), ("WARC-Target-URI", "http://a/\r\nWARC-Type: request")], block)
+
+    chunks = b"4\r\n<p>a\r\n5;x=y\r\n b</p\r\n1\r\n>\r\n0\r\n\r\n"
+    good = [
+        response(1, b"Set-Cookie: a\r\nSet-Cookie: b\r\n", b"<p>one</p>"), response(2, b"Content-Encoding: gzip\r\n", gzip.compress(b"<p>two</p>")), response(3, b"Transfer-Encoding: chunked\r\n", chunks),
+        response(4, b"Content-Encoding: deflate\r\nContent-Type: text/html; Charset=latin-1\r\n", zlib.compress("<p>vièr</p>".encode("latin-1"))), response(5, b"Content-Encoding: gzip\r\n", b"<p>five</p>"),
+    ]
+    cut = gzip.compress(good[0]) + gzip.compress(good[1])[:-30]
+    broken = good[0] + b"WARC/1.1\r\nContent-Length: many\r\n\r\nx\r\n\r\n" + good[1]
+    rows = [(1, b"".join(good)), (2, cut), (3, broken), (4, b"".join(map(gzip.compress, good)))]
+    got = warc.derivatives(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "page_id long, record binary")).collect()
+    texts = {i: [next(warc.parse_records(bytes(r.record)))[1].decode() for r in got if r.page_id == i and r.warc_type == "conversion"] for i, _ in rows}
+    assert texts == {1: ["one", "two", "a b", "vièr", "five"], 2: ["one"], 3: ["one", "two"], 4: ["one", "two", "a b", "vièr", "five"]}
+    meta = next(bytes(r.record) for r in got if r.warc_type == "metadata")
+    assert b"source-set-cookie: a\r\nsource-set-cookie: b\r\n" in meta
+    assert all(r.target_uri == "http://a/ WARC-Type: request" for r in got)
+    assert warc.derivatives(spark.createDataFrame([], "page_id long, record binary")).count() == 0
+
+
 def exact(rows, every, k):
     fine = {i: np.array(v, np.float64) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
