@@ -10,7 +10,7 @@ from tallystream.llm.langid import fit, held_out, identify
 from tallystream.llm.minhash import near_duplicates
 from tallystream.llm.mixing import mix, row_key
 from tallystream.llm.queries import word_vocabulary
-from tallystream.llm.tables import table, written
+from tallystream.llm.tables import drop, settled, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents, each written and read again."""
+    """All stages applied to documents, each written and read again; what a stage wrote on its way is dropped."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not docs and hasattr(before, "_tallystream_path"):
+            drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
