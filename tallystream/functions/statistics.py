@@ -7,11 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 Z = 1.959963984540054
+
+
 def _all():
     """One frame over all rows; used on tables bounded by periods, bins, groups or options only."""
     return Window.partitionBy()
 
 
+def running_sums(rows: DataFrame, key: str, order: tuple[str, ...], sums: dict[str, Column], parts: int = 512) -> DataFrame:
+    """rows with running sums (name: value) in the order of the number key and then of order, the row itself included.
+
+    Rows are dealt into buckets at approximate quantiles of key; sums run within buckets and are shifted by the totals of the buckets
+    before.  Equal keys share a bucket.  Only the table of buckets, `parts` rows at most, is seen by one task.
+    """
+    edges = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts).alias("edges"))
+    dealt = rows.crossJoin(F.broadcast(edges)).withColumn("_bucket", F.size(F.filter(F.array_distinct(F.coalesce("edges", F.array())), lambda e: e < F.col(key)))).drop("edges")  # one row
+    totals = dealt.groupBy("_bucket").agg(*[F.sum(v).alias(f"_{k}") for k, v in sums.items()])
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select(F.col("_bucket"), *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    within = Window.partitionBy("_bucket").orderBy(key, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.join(F.broadcast(shift), "_bucket")
+    return out.select(*rows.columns, *[(F.sum(v).over(within) + F.col(f"_{k}")).alias(k) for k, v in sums.items()])
 
 def wilson(x: Column, n: Column) -> tuple[Column, Column]:
     """Wilson's 95 % interval of a proportion."""
@@ -96,10 +112,9 @@ def gamma_shrink(counts: DataFrame) -> DataFrame:
 
 def e_process(trials: DataFrame, rho: float, alpha: float = 0.05) -> DataFrame:
     """Normal-mixture e-process over trials (member_ref, at, arm, y) in the order of first exposure, halves per arm."""
-    w = Window.orderBy("at", "member_ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     psi = F.when(F.col("arm") == 1, F.col("y") / 0.5).otherwise(-F.col("y") / 0.5)
     proxy = ((1 / 0.5 + 1 / 0.5) / 2) ** 2
-    t = trials.withColumn("s", F.sum(psi).over(w)).withColumn("t", F.count(F.lit(1)).over(w)).withColumn("v", F.col("t") * proxy)
+    t = running_sums(trials.withColumn("_at", F.unix_micros(F.col("at").cast("timestamp"))), "_at", ("member_ref",), {"s": psi, "t": F.lit(1)}).withColumn("v", F.col("t") * proxy)
     e = F.sqrt(rho / (F.col("v") + rho)) * F.exp(F.least(F.lit(700.0), F.col("s") * F.col("s") / (2 * (F.col("v") + rho))))
     return t.withColumn("e", e).select("member_ref", "t", "s", "e", (F.col("e") >= 1 / alpha).alias("stop"))
 
@@ -109,15 +124,17 @@ def e_process(trials: DataFrame, rho: float, alpha: float = 0.05) -> DataFrame:
 
 def score_bins(scores: DataFrame, bins: int) -> DataFrame:
     """Per bin (equal widths over 0..1, upper edges in): n, mean score, observed rate with Wilson bounds."""
-    b = scores.withColumn("bin", F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * bins, 9))).cast("int")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.sum("y").alias("hits"))
+    b = scores.withColumn("bin", F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * bins, 9))).cast("int")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("p").cast("decimal(12,9)")).cast("double") / F.count(F.lit(1))).alias("mean_p"), F.sum("y").alias("hits"))
     lo, hi = wilson(F.col("hits"), F.col("n"))
     return b.select("bin", "n", "hits", "mean_p", (F.col("hits") / F.col("n")).alias("observed"), lo.alias("lower"), hi.alias("upper"))
 
 
 def brier_parts(scores: DataFrame, bins: int) -> DataFrame:
-    """Brier score with Murphy's reliability, resolution and uncertainty over the bins."""
+    """Brier score with Murphy's reliability, resolution and uncertainty over the bins; sums of scores are exact decimals (nine places)."""
     b = score_bins(scores, bins)
-    whole = scores.agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.avg("y").alias("base"), F.count(F.lit(1)).alias("total"))
+    miss = F.col("p").cast("decimal(12,9)") - F.col("y")
+    n = F.count(F.lit(1))
+    whole = scores.agg((F.sum(miss * miss).cast("double") / n).alias("brier"), (F.sum("y") / n).alias("base"), n.alias("total"))
     j = b.crossJoin(F.broadcast(whole))  # one row
     part = lambda d: F.sum(F.col("n") * d * d) / F.max("total")
     return j.agg(F.max("brier").alias("brier"), part(F.col("mean_p") - F.col("observed")).alias("reliability"), part(F.col("observed") - F.col("base")).alias("resolution"), (F.max("base") * (1 - F.max("base"))).alias("uncertainty"))
@@ -134,7 +151,8 @@ def auc(scores: DataFrame) -> DataFrame:
 
 def conformal_quantile(residuals: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
     """For each alpha the ceil((n + 1)(1 - alpha))-th smallest |residual|, null when it exceeds n; by counts per distinct value."""
-    c = residuals.groupBy(F.abs("residual").alias("r")).agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(Window.orderBy("r"))).withColumn("n", F.sum("m").over(_all()))
+    c = residuals.where("residual is not null").groupBy(F.abs("residual").alias("r")).agg(F.count(F.lit(1)).alias("m"))
+    c = running_sums(c, "r", (), {"upto": F.col("m")}).crossJoin(F.broadcast(c.agg(F.sum("m").alias("n"))))  # one row
     at = c.select("r", "upto", "n", F.explode(F.array(*map(F.lit, alphas))).alias("alpha")).withColumn("k", F.ceil((F.col("n") + 1) * (1 - F.col("alpha"))))
     return at.groupBy("alpha").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.min(F.when(F.col("upto") >= F.col("k"), F.col("r"))).alias("q"))
 
@@ -152,9 +170,9 @@ def psi(values: DataFrame, edges: list[float]) -> DataFrame:
 def ks(values: DataFrame) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of (side, x)."""
     c = values.groupBy("x").agg(F.count_if(F.col("side") == "ref").alias("a"), F.count_if(F.col("side") == "cur").alias("b"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = c.select(F.abs(F.sum("a").over(w) / F.sum("a").over(_all()) - F.sum("b").over(w) / F.sum("b").over(_all())).alias("d"), "a", "b")
-    return d.agg(F.max("d").alias("d"), F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
+    n = c.agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
+    d = running_sums(c, "x", (), {"sa": F.col("a"), "sb": F.col("b")}).crossJoin(F.broadcast(n))  # one row
+    return d.agg(F.max(F.abs(F.col("sa") / F.col("n_ref") - F.col("sb") / F.col("n_cur"))).alias("d"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
 
 
 def label_shift(values: DataFrame) -> DataFrame:
@@ -173,6 +191,8 @@ def label_shift(values: DataFrame) -> DataFrame:
 def pairwise_matrix(ballots: DataFrame, options: tuple[str, ...]) -> DataFrame:
     """d(a, b): ballots that rank a strictly above b; unranked options come last together."""
     last = len(options) + 1
+    known = F.when(F.col("option_ref").isin(*options), F.col("option_ref")).otherwise(F.raise_error(F.concat(F.lit("no such option: "), F.col("option_ref"))))
+    ballots = ballots.withColumn("option_ref", known)
     full = ballots.groupBy("voter_ref").agg(F.map_from_entries(F.collect_list(F.struct("option_ref", "tier"))).alias("tiers"))
     pairs = F.array(*[F.struct(F.lit(a).alias("a_ref"), F.lit(b).alias("b_ref")) for a in options for b in options if a != b])
     tier = lambda c: F.coalesce(F.element_at("tiers", c), F.lit(last))
@@ -211,10 +231,11 @@ def borda(matrix: DataFrame, voters: int | Column, other: DataFrame | None = Non
     return r.groupBy(F.col("a_ref").alias("option_ref")).agg(F.sum("points").alias("points"))
 
 
-def approval(ballots: DataFrame, voters: int) -> DataFrame:
-    r = ballots.groupBy("option_ref").agg(F.countDistinct("voter_ref").alias("approvals"))
-    lo, hi = wilson(F.col("approvals"), F.lit(voters))
-    return r.select("option_ref", "approvals", (F.col("approvals") / voters).alias("share"), lo.alias("lower"), hi.alias("upper"))
+def approval(ballots: DataFrame, voters: DataFrame) -> DataFrame:
+    """Approvals of each option and their share of the voters (a table of one row)."""
+    r = ballots.groupBy("option_ref").agg(F.countDistinct("voter_ref").alias("approvals")).crossJoin(F.broadcast(voters.select("voters")))
+    lo, hi = wilson(F.col("approvals"), F.col("voters"))
+    return r.select("option_ref", "approvals", (F.col("approvals") / F.col("voters")).alias("share"), lo.alias("lower"), hi.alias("upper"))
 
 
 # --- Surveys, segments, disclosure, audit ----------------------------------------------------------

@@ -46,10 +46,9 @@ def quantile_time(curve: DataFrame, q: float = 0.5) -> DataFrame:
 
 
 def attainment(curve: DataFrame, horizon: float) -> DataFrame:
-    """1 - survival at a horizon (right-continuous step), with its band."""
-    at = curve.where(F.col("t") <= horizon)
-    last = lambda c: F.coalesce(F.max_by(c, "t"), F.lit(1.0))
-    return at.agg((1 - last("survival")).alias("attained"), (1 - last("upper")).alias("lower"), (1 - last("lower")).alias("upper"))
+    """1 - survival at a horizon (right-continuous step), with its band; null beyond the last event time, where the curve says nothing."""
+    last = lambda c: F.when(F.max("t") >= horizon, F.coalesce(F.max_by(c, F.when(F.col("t") <= horizon, F.col("t"))), F.lit(1.0)))
+    return curve.agg((1 - last("survival")).alias("attained"), (1 - last("upper")).alias("lower"), (1 - last("lower")).alias("upper"))
 
 
 def cumulative_incidence(spells: DataFrame, causes: tuple[str, ...], outcome: str = "outcome") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Edges of all orders against a plain loop; the registered SQL reads every fiftieth order only."""
+"""Edges of all orders against a plain loop."""
 
 from collections import defaultdict
 from itertools import combinations

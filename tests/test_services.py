@@ -74,3 +74,29 @@ def test_edges_of_shared_objects(spark):
 def test_suppressed_rows_stay_but_lose_their_measures(spark):
     rows = S.suppress_small(spark.createDataFrame([("a", 3, 1.0), ("b", 12, 2.0)], "stratum string, n int, x double"), "n", ("x",), 5).orderBy("stratum").collect()
     assert (rows[0].n, rows[0].x, rows[0].suppressed) == (None, None, True) and (rows[1].n, rows[1].x) == (12, 2.0)
+
+
+def test_running_sums_over_buckets(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1.0, 2.5, rng.random() * 50]), i, rng.randint(0, 9)) for i in range(500)]
+    d = spark.createDataFrame(rows, "x double, i int, v int")
+    got = {r.i: r.s for r in S.running_sums(d, "x", ("i",), {"s": F.col("v")}, parts=7).collect()}
+    total, want = 0, {}
+    for _, i, v in sorted(rows):
+        total += v
+        want[i] = total
+    assert got == want
+    assert S.running_sums(d.limit(0), "x", ("i",), {"s": F.col("v")}).count() == 0
+
+
+def test_no_answer_beyond_the_curve(spark):
+    c = V.kaplan_meier(spark.createDataFrame([(0, 1, True), (0, 5, True)], "entry int, exit int, event boolean"), "event")
+    assert V.attainment(c, 3).first().attained == 0.5 and V.attainment(c, 6).first().attained is None
+
+
+def test_options_off_the_paper_fail(spark):
+    import pytest
+
+    b = spark.createDataFrame([(1, "a", 1), (1, "x", 2)], "voter_ref int, option_ref string, tier int")
+    with pytest.raises(Exception, match="no such option: x"):
+        S.pairwise_matrix(b, ("a", "b")).collect()
