@@ -294,3 +294,89 @@ def jaccard_candidates(queries: DataFrame, docs: DataFrame, least: float) -> Dat
     b = docs.select("d", words(F.col("text")).alias("w")).select("d", F.size("w").alias("nb"), F.explode("w").alias("token"))
     both = a.join(b, "token").groupBy("q", "d").agg(F.count(F.lit(1)).alias("both"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return both.withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("jaccard") >= least).select("q", "d", "jaccard")
+
+
+# --- More services -----------------------------------------------------------------------------------
+
+
+def autocorrelations(series: DataFrame, lags: int) -> DataFrame:
+    """Autocorrelation of (period_start, x) at lags 1 .. lags and the Ljung-Box statistic over them."""
+    w = Window.orderBy("period_start")  # a row per period
+    s = series.withColumn("u", F.col("x") - F.avg("x").over(_all())).withColumn("n", F.count(F.lit(1)).over(_all()))
+    rho = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("u") * F.lag("u", k).over(w)).alias("c")) for k in range(1, lags + 1)])
+    p = s.withColumn("p", rho).select("u", "n", F.explode("p").alias("p")).groupBy("p.lag").agg((F.sum("p.c") / F.sum(F.col("u") * F.col("u"))).alias("rho"), F.max("n").alias("n"))
+    return p.withColumn("ljung_box", F.col("n") * (F.col("n") + 2) * F.sum(F.col("rho") * F.col("rho") / (F.col("n") - F.col("lag"))).over(_all())).select("lag", "rho", "ljung_box")
+
+
+def seasonal_backtest(series: DataFrame, m: int, origins: int, horizon: int) -> DataFrame:
+    """Rolling-origin errors of the seasonal naive forecast by horizon (up to m): scaled by the in-sample seasonal error at each origin (MASE), sMAPE and RMSE."""
+    w = Window.orderBy("period_start")  # a row per period
+    s = series.withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(_all())).withColumn("point", F.lag("x", m).over(w))
+    s = s.withColumn("scale", F.avg(F.abs(F.col("x") - F.col("point"))).over(w))
+    at = s.select("scale", "n", F.col("i").alias("origin"), F.explode(F.sequence(F.lit(1), F.lit(min(m, horizon)))).alias("h"))
+    at = at.where((F.col("origin") <= F.col("n") - horizon) & (F.col("origin") > F.col("n") - horizon - origins))
+    f = at.join(s.select(F.col("i").alias("j"), "x", "point"), F.col("j") == F.col("origin") + F.col("h"))
+    off = F.abs(F.col("x") - F.col("point"))
+    size = (F.abs("x") + F.abs("point")) / 2
+    return f.groupBy("h").agg(F.count(F.lit(1)).alias("origins"), F.avg(off / F.col("scale")).alias("mase"), (100 * F.avg(F.when(size == 0, 0.0).otherwise(off / size))).alias("smape"), F.sqrt(F.avg(off * off)).alias("rmse"))
+
+
+def score_vote(scores: DataFrame) -> DataFrame:
+    """Totals of (voter_ref, option_ref, score); an option left unscored is unscored, not zero, and both means are given."""
+    voters = scores.agg(F.countDistinct("voter_ref").alias("voters"))
+    r = scores.groupBy("option_ref").agg(F.sum("score").alias("total"), F.count("score").alias("scored"), F.avg("score").alias("mean_of_scorers")).crossJoin(F.broadcast(voters))  # one row
+    rank = F.row_number().over(Window.orderBy(F.desc("total"), "option_ref"))  # a row per option
+    return r.select("option_ref", "total", "scored", "mean_of_scorers", (F.col("total") / F.col("voters")).alias("mean_of_all"), rank.alias("rank"))
+
+
+def smith_set(matrix: DataFrame, options: tuple[str, ...]) -> DataFrame:
+    """Whether each option is in the smallest set whose members beat all others: it reaches every option over ties and wins."""
+    other = matrix.select(F.col("b_ref").alias("a_ref"), F.col("a_ref").alias("b_ref"), F.col("votes").alias("against"))
+    n = range(len(options))
+    reach = matrix.join(other, ["a_ref", "b_ref"]).agg(*[
+        F.coalesce(F.bool_or((F.col("a_ref") == a) & (F.col("b_ref") == b) & (F.col("votes") >= F.col("against"))), F.lit(False)).alias(f"r{i}_{j}") for i, a in enumerate(options) for j, b in enumerate(options) if i != j
+    ])
+    for k in n:
+        reach = reach.select(*[(F.col(f"r{i}_{j}") if k in (i, j) else F.col(f"r{i}_{j}") | (F.col(f"r{i}_{k}") & F.col(f"r{k}_{j}"))).alias(f"r{i}_{j}") for i in n for j in n if i != j])
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("option_ref"), F.forall(F.array(*[F.col(f"r{i}_{j}") for j in n if j != i]), lambda x: x).alias("in_smith_set")) for i, a in enumerate(options)]))
+    return reach.select(rows.alias("r")).select("r.*")
+
+
+def psi_quantile(values: DataFrame, bins: int) -> DataFrame:
+    """Population stability over bins at the reference side's exact quantiles."""
+    edges = values.where("side = 'ref'").agg(F.percentile("x", [i / bins for i in range(1, bins)]).alias("edges"))
+    b = values.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("x"))))  # one row
+    n = b.groupBy("bin").agg(F.count_if(F.col("side") == "ref").alias("ref"), F.count_if(F.col("side") == "cur").alias("cur"))
+    share = lambda c: F.greatest(F.lit(1e-6), F.col(c) / F.sum(c).over(_all()))
+    return n.select("bin", "ref", "cur", ((share("cur") - share("ref")) * F.log(share("cur") / share("ref"))).alias("psi"))
+
+
+def lorenz(loads: DataFrame) -> DataFrame:
+    """Points of the Lorenz curve of (group_ref, load)."""
+    w = Window.orderBy("load", "group_ref")  # a row per worker
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return loads.select("group_ref", "load", (F.row_number().over(w) / F.count(F.lit(1)).over(_all())).alias("share_of_workers"), (F.sum("load").over(run) / F.sum("load").over(_all())).alias("share_of_load"))
+
+
+def adjusted_rand(labels: DataFrame) -> DataFrame:
+    """The adjusted Rand index of two labellings (a, b)."""
+    t = labels.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda d, c: d.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(c), *([F.sum("n").alias("total")] if c == "ij" else []))
+    r = pairs(t, "ij").crossJoin(F.broadcast(pairs(t.groupBy("a").agg(F.sum("n").alias("n")), "i"))).crossJoin(F.broadcast(pairs(t.groupBy("b").agg(F.sum("n").alias("n")), "j")))  # one row each
+    chance = F.col("i") * F.col("j") / (F.col("total") * (F.col("total") - 1) / 2)
+    return r.select(F.try_divide(F.col("ij") - chance, (F.col("i") + F.col("j")) / 2 - chance).alias("adjusted_rand"))
+
+
+def robust_scale(values: DataFrame, by: str) -> DataFrame:
+    """(x - median) / interquartile range within each group."""
+    q = values.groupBy(F.col(by).alias("_g")).agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("_q"))
+    return values.join(q, F.col(by) == F.col("_g")).withColumn("scaled", F.try_divide(F.col("x") - F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0])).drop("_g", "_q")
+
+
+def benford_digits(amounts: DataFrame, k: int) -> DataFrame:
+    """Counts of the first k digits of amounts of at least k digits against Benford's law."""
+    n = amounts.where(F.col("amount") >= 10 ** (k - 1)).select(F.substring(F.col("amount").cast("string"), 1, k).cast("int").alias("digits")).groupBy("digits").agg(F.count(F.lit(1)).alias("n"))
+    every = amounts.sparkSession.range(10 ** (k - 1), 10**k).select(F.col("id").cast("int").alias("digits"))
+    r = every.join(n, "digits", "left").select("digits", F.coalesce("n", F.lit(0)).alias("n")).withColumn("t", F.sum("n").over(_all())).withColumn("expected", F.log10(1 + 1 / F.col("digits")))
+    e = F.col("expected") * F.col("t")
+    return r.select("digits", "n", (F.col("n") / F.col("t")).alias("share"), "expected", ((F.col("n") - e) ** 2 / e).alias("chi2_part"))

@@ -80,7 +80,22 @@ def logrank_parts(spells: DataFrame, group: str, levels: tuple[str, ...], event:
     points = grid.select(group, "t", "d_all", "n_all").unionByName(marks, allowMissingColumns=True).groupBy(group, "t").agg(*[F.max(c).alias(c) for c in ("d_all", "n_all", "enter", "leave")])
     before = Window.partitionBy(group).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     n = F.coalesce(F.sum("enter").over(before), F.lit(0)) + F.when(F.col("t") <= 0, F.coalesce("enter", F.lit(0))).otherwise(0) - F.coalesce(F.sum("leave").over(before), F.lit(0))
-    at = points.withColumn("n", n).where("d_all is not null").join(own.withColumnRenamed(group, "g"), (F.col(group) == F.col("g")) & (F.col("t") == F.col("t_own")), "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    at = points.withColumn("n", n).where("d_all is not null").join(own.withColumnRenamed(group, "_own"), (F.col(group) == F.col("_own")) & (F.col("t") == F.col("t_own")), "left").withColumn("d", F.coalesce("d", F.lit(0)))
     share = F.col("n") / F.col("n_all")
     var = F.when(F.col("n_all") > 1, F.col("d_all") * (F.col("n_all") - F.col("d_all")) / (F.col("n_all") - 1) * share * (1 - share)).otherwise(0.0)
     return at.groupBy(group).agg(F.sum("d").alias("observed"), F.sum(F.col("d_all") * share).alias("expected"), F.sum(var).alias("variance"))
+
+
+def mondrian_bounds(spells: DataFrame, by: str, event: str, alpha: float = 0.1) -> DataFrame:
+    """A lower bound on the duration in each class that holds for 1 - alpha of its spells, and the time by which 1 - alpha are expected to be over.
+
+    The class-conditional correction of any fitted lower quantile by its conformal score is an order statistic of the class's durations: of n
+    durations the one of rank n + 1 - ceil((n + 1)(1 - alpha)), and 0 if there is none.  Durations are counted first.
+    """
+    c = spells.groupBy(by, "exit").agg(F.count(F.lit(1)).alias("m"))
+    w = Window.partitionBy(by).orderBy("exit")  # a row per distinct duration
+    c = c.withColumn("upto", F.sum("m").over(w)).withColumn("n", F.sum("m").over(Window.partitionBy(by)))
+    rank = F.col("n") + 1 - F.ceil((F.col("n") + 1) * (1 - alpha))
+    low = c.groupBy(by).agg(F.max("n").alias("n"), F.min(F.when((F.col("upto") >= rank) & (rank >= 1), F.col("exit"))).alias("low"), F.max("exit").alias("most"))
+    up = kaplan_meier(spells, event, (by,)).groupBy(by).agg(F.min(F.when(F.col("survival") <= alpha, F.col("t"))).alias("up"))
+    return low.join(up, by, "left").select(by, "n", F.coalesce("low", F.lit(0)).alias("lower_days"), F.coalesce("up", "most").alias("upper_days"))

@@ -82,3 +82,13 @@ def pairwise_results(ballots: DataFrame) -> DataFrame:
     p = a.join(b, "voter_ref").where("a_ref < b_ref")
     first = F.col("a_tier") <= F.col("b_tier")
     return p.select("voter_ref", F.when(first, F.col("a_ref")).otherwise(F.col("b_ref")).alias("winner_ref"), F.when(first, F.col("b_ref")).otherwise(F.col("a_ref")).alias("loser_ref"), (F.col("a_tier") == F.col("b_tier")).alias("drawn"))
+
+
+def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """Degree, inner weight and part of Newman's modularity of each community over (a_ref, b_ref, weight) and (member_ref, community)."""
+    of = lambda k: communities.select(F.col("member_ref").alias(f"{k}_ref"), F.col("community").alias(f"c{k}"))
+    e = edges.join(of("a"), "a_ref").join(of("b"), "b_ref").groupBy("ca", "cb").agg(F.sum("weight").alias("w"))
+    ends = F.array(F.struct(F.col("ca").alias("community"), F.col("w").alias("d"), F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0).alias("i")), F.struct(F.col("cb").alias("community"), F.col("w").alias("d"), F.lit(0.0).alias("i")))
+    c = e.select(F.explode(ends).alias("x")).groupBy("x.community").agg(F.sum("x.d").alias("degree"), F.sum("x.i").alias("inside"))
+    m2 = F.sum("degree").over(Window.partitionBy())  # a row per community
+    return c.withColumn("modularity", F.col("inside") / (m2 / 2) - (F.col("degree") / m2) ** 2)

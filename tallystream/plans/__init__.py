@@ -1 +1,3 @@
-"""The catalogue of registered queries and the SQL they are held against."""
+"""The registered queries; importing the package registers all of them."""
+
+from tallystream.plans import catalogue, relational, services  # noqa: F401
