@@ -14,6 +14,16 @@ def _all():
     return Window.partitionBy()
 
 
+def position(edges: Column, value: Column, most: int) -> Column:
+    """How many of the sorted edges (most at most) are below a value, by halving."""
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s.lo + s.hi) / 2).cast("int")
+        return F.when(s.lo >= s.hi, s).when(F.get(edges, middle) < value, F.struct((middle + 1).alias("lo"), s.hi.alias("hi"))).otherwise(F.struct(s.lo.alias("lo"), middle.alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(edges), F.lit(0)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), start, step).lo
+
+
 def running_sums(rows: DataFrame, key: str, order: tuple[str, ...], sums: dict[str, Column], parts: int = 512) -> DataFrame:
     """rows with running sums (name: value) in the order of the number key and then of order, the row itself included.
 
@@ -21,7 +31,7 @@ def running_sums(rows: DataFrame, key: str, order: tuple[str, ...], sums: dict[s
     before.  Equal keys share a bucket.  Only the table of buckets, `parts` rows at most, is seen by one task.
     """
     edges = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts).alias("edges"))
-    dealt = rows.crossJoin(F.broadcast(edges)).withColumn("_bucket", F.size(F.filter(F.array_distinct(F.coalesce("edges", F.array())), lambda e: e < F.col(key)))).drop("edges")  # one row
+    dealt = rows.crossJoin(F.broadcast(edges)).withColumn("_bucket", position(F.col("edges"), F.col(key), parts)).drop("edges")  # one row
     totals = dealt.groupBy("_bucket").agg(*[F.sum(v).alias(f"_{k}") for k, v in sums.items()])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = totals.select(F.col("_bucket"), *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
