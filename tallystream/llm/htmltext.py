@@ -338,7 +338,12 @@ def main_text(pages: DataFrame, *, copies: float = 0.7) -> DataFrame:
     drawn = t.select("k").where(F.pmod(F.xxhash64(F.lit("split"), "k"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("k").limit(4 * SAMPLED * PARTS).collect() if parts > 1 else []
     splits = list(dict.fromkeys(r.k for r in drawn[len(drawn) // parts :: max(1, len(drawn) // parts)]))
     at = pages.sparkSession.createDataFrame([(splits,)], f"splits array<{t.schema['k'].dataType.simpleString()}>")
-    part = F.size(F.filter("splits", lambda s: s <= F.col("k"))).alias("part")
+
+    def halved(s, _):
+        middle = F.floor((s.lo + s.hi) / 2).cast("int")
+        return F.when(s.lo >= s.hi, s).when(F.get("splits", middle) <= F.col("k"), F.struct((middle + 1).alias("lo"), s.hi.alias("hi"))).otherwise(F.struct(s.lo.alias("lo"), middle.alias("hi")))
+
+    part = F.aggregate(F.sequence(F.lit(0), F.lit(PARTS.bit_length())), F.struct(F.lit(0).alias("lo"), F.size("splits").alias("hi")), halved).lo.alias("part")
     columns = ["k", "url", "packed", "bytes", "kinds", "slots", "counts"]
     placed = t.crossJoin(F.broadcast(at)).select(part, *columns, "row", F.lit(False).alias("ghost"))  # one row, PARTS split points at most
     ends = placed.groupBy("part").agg(F.min_by("row", "k").alias("first"), F.max_by("row", "k").alias("last"))
