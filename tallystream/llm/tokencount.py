@@ -250,6 +250,9 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 total = sums.setdefault(c, np.zeros(CHUNK, np.int64))
                 total[batch.column(1)[k].values.to_numpy()] += batch.column(2)[k].values.to_numpy()
+    # A task that ran again on other rows has named its chunks anew; sums under the old names must not be lost in silence.
+    if lost := sums.keys() - held.keys():
+        raise RuntimeError(f"{len(lost)} chunks of token counts have no documents: the input changed between attempts of a task")
     for c, (ids, sizes) in held.items():
         n = sums.get(c, np.zeros(CHUNK, np.int64))[: len(ids)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
@@ -260,7 +263,8 @@ def token_counts(docs: DataFrame, path: str | Callable[[], str], *, limit: int =
 
     Counts are those of the tokenizers library with the vocabulary at path (or at what path() gives on an executor), without added special tokens;
     a special token's string inside a text is that token.  A null text is an empty one and has no tokens.  Repeated rows
-    are counted each; columns other than doc_id and text are ignored; an empty table gives no rows.
+    are counted each; columns other than doc_id and text are ignored; an empty table gives no rows.  docs must give a task the same rows whenever it
+    runs, as a table or a scan does; where it does not, the job fails rather than count wrongly.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _frequencies(path), "bucket int, chunk long, tokens array<string>, sizes array<int>, posts binary, ids array<long>, bytes array<long>"

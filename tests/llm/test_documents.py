@@ -174,6 +174,15 @@ def test_token_counts_equal_the_library(spark, awkward):
     assert tokencount.token_counts(d.limit(0), byte_vocabulary).count() == 0
 
 
+def test_sums_without_documents_fail():
+    batch = tokencount._partial(5, [0, 1], [3, 4])
+    owner = tokencount._partial(5, [], [], [10, 11], [1, 2])
+    got = next(iter(tokencount._documents(iter([batch, owner]))))
+    assert got.column(2).to_pylist() == [3, 4]
+    with pytest.raises(RuntimeError, match="no documents"):
+        list(tokencount._documents(iter([tokencount._partial(6, [0], [1]), owner])))
+
+
 def test_encoding_equals_the_library(spark, awkward):
     t = Tokenizer.from_file(word_vocabulary())
     d = small(spark).select("doc_id", "text").union(awkward.select("doc_id", "text"))
