@@ -24,13 +24,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     mark = _mark(e)
+    # Always true; it keeps both columns of the aggregates below, so that their two readers share one shuffle.
+    whole = "n > 0 and m is not null"
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        links, to = spread(both.where("v > u"), low, "u", 2 * mark[0])
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where(whole)
+        low = least.select("u", F.least("u", "m").alias("m"))
+        links, to = spread(both.where("v > u"), low, "u", 2 * mark[0], least)
         large = links.join(to, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("u > m").select("u", F.col("m").alias("v"))).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        links, to = spread(large, low2, "u", 2 * mark[0])
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where(whole)
+        low2 = least.select("u", "m")
+        links, to = spread(large, low2, "u", 2 * mark[0], least)
         small = links.join(to, ["u", "salt"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = written(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
         now = _mark(nxt)
