@@ -297,13 +297,45 @@ def seasonal_naive(series: DataFrame, m: int, horizon: int) -> DataFrame:
     return out.select(F.col("h").cast("int").alias("h"), F.col("x").alias("point"), (F.col("rmse") * F.sqrt(1 + F.floor((F.col("h") - 1) / m))).alias("sd"))
 
 
-def jaccard_candidates(queries: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Jaccard similarity of distinct lower-cased tokens of a stated query set (q, text) against all documents (d, text)."""
+#: Rows of a query set's tokens that are broadcast at once; longer sets are taken in blocks of about so many.
+BLOCK = 500_000
+
+
+def query_blocks(tokens: DataFrame, rows: int = BLOCK) -> list[DataFrame]:
+    """A query set's tokens (q, token, ...) in blocks of whole queries, of about `rows` rows each, marked for broadcast."""
+    blocks = max(1, -(-tokens.count() // rows))
+    return [F.broadcast(tokens if blocks == 1 else tokens.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)) for b in range(blocks)]
+
+
+def spread(left: DataFrame, right: DataFrame, key: str, heaviest: int = 2048, salts: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+    """left, right and the keys of their join on key: rows of left with a key that holds more than 1/heaviest of them are dealt over salts.
+
+    right has a row per key and the number of left's rows with it as df; so no more than heaviest keys are broadcast.
+    """
+    total = right.agg(F.sum("df").alias("total"))
+    heavy = F.broadcast(right.crossJoin(F.broadcast(total)).where(F.col("df") * heaviest > F.col("total")).select(F.col(key).alias("heavy")))  # total is one row
+    own = F.when(F.col("heavy").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(F.col("heavy").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    mark = lambda x: x.join(heavy, F.col(key) == F.col("heavy"), "left")
+    return mark(left).withColumn("salt", own).drop("heavy"), mark(right).withColumn("salt", F.explode(every)).drop("heavy"), [key, "salt"]
+
+
+def jaccard_candidates(queries: DataFrame, docs: DataFrame, least: float, rows: int = BLOCK) -> DataFrame:
+    """Jaccard similarity of distinct lower-cased tokens of a stated query set (q, text) against all documents (d, text).
+
+    Blocks of the query set go to the documents, so no token is a shuffle key and a document's hits are counted where it is read.
+    Documents that are too long or too short for every query of a block, as an overlap is no more than the smaller set, meet none of it.
+    """
     words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda x: x != ""))
     a = queries.select("q", words(F.col("text")).alias("w")).select("q", F.size("w").alias("na"), F.explode("w").alias("token"))
     b = docs.select("d", words(F.col("text")).alias("w")).select("d", F.size("w").alias("nb"), F.explode("w").alias("token"))
-    both = a.join(b, "token").groupBy("q", "d").agg(F.count(F.lit(1)).alias("both"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return both.withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("jaccard") >= least).select("q", "d", "jaccard")
+    fits = F.least("na", "nb") >= least * F.greatest("na", "nb")
+    out = None
+    for block in query_blocks(a, rows):
+        both = b.join(block, "token").where(fits).groupBy("q", "d").agg(F.count(F.lit(1)).alias("both"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+        r = both.withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("jaccard") >= least).select("q", "d", "jaccard")
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 # --- More services -----------------------------------------------------------------------------------

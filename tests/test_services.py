@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallystream.functions import kernels as K
 from tallystream.functions import statistics as S
 from tallystream.functions import survival as V
 from tallystream.operators import reducers as R
@@ -100,3 +101,25 @@ def test_options_off_the_paper_fail(spark):
     b = spark.createDataFrame([(1, "a", 1), (1, "x", 2)], "voter_ref int, option_ref string, tier int")
     with pytest.raises(Exception, match="no such option: x"):
         S.pairwise_matrix(b, ("a", "b")).collect()
+
+
+def test_text_joins_in_blocks_with_common_words(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(["the", "of", *(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 9)))])
+    q = [(i, text()) for i in range(12)] + [(12, ""), (13, None)]
+    d = [(i, text()) for i in range(200)] + [(200, q[0][1]), (201, ""), (202, None)]
+    qs, ds = spark.createDataFrame(q, "q int, text string"), spark.createDataFrame(d, "d int, text string")
+    sets = lambda rows: [(k, set(t.split())) for k, t in rows if t]
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets(q) for b, y in sets(d) if len(x & y) >= 0.5 * len(x | y)}
+    for rows in (20, 10_000):
+        got = {(r.q, r.d): r.jaccard for r in S.jaccard_candidates(qs, ds, 0.5, rows).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    one, many = (sorted(map(tuple, K.tfidf_similarity(qs, ds, 4, rows).collect())) for rows in (10_000, 20))
+    assert one == many and len(one) == 12 * 4 and [r[3] for r in one if r[0] == 0 and r[2] == 200] == [1.0]
+
+
+def test_spread_splits_heavy_keys_only(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(3000)] + [(f"k{i}", i) for i in range(3000)], "token string, i int")
+    right = left.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    a, b, on = S.spread(left, right, "token")
+    assert a.join(b, on).count() == 6000 and a.where("token = 'hot'").select("salt").distinct().count() == 64 and a.where("token <> 'hot' and salt > 0").isEmpty()
