@@ -11,6 +11,7 @@ from tallystream.functions import special as P
 from tallystream.functions import statistics as S
 from tallystream.functions import survival as V
 from tallystream.operators import reducers as R
+from tallystream.operators import spells as L
 from tallystream.plans.catalogue import (
     _ARMS, _BALLOTS, _FLOW, _LEDGER, _LIKERT, _MATRIX, _RATES, _SERIES, _SIDES, _SPELLS, _VERDICT, PRIORITIES, _arrivals, _flow, _matrix, _pairs, _responses, _spells, _trials, _two_years, query,
 )
@@ -304,3 +305,26 @@ def _(spark, d):
 --select SELECT digits, n, n / t AS share, log10(1 + 1.0 / digits) AS expected, (n - t * log10(1 + 1.0 / digits)) ^ 2 / (t * log10(1 + 1.0 / digits)) AS chi2_part FROM n, t""", "share expected chi2_part")
 def _(spark, d):
     return S.benford_digits(A.table(spark, d, "lineitem").select(F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount")), 2)
+
+
+# --- Logs with reopening ------------------------------------------------------------------------------
+
+_LOG = """WITH ds AS (SELECT o_orderkey AS k, list_sort(list(DISTINCT l_shipdate::DATE)) AS ds FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate::DATE >= o_orderdate::DATE GROUP BY 1),
+o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS od, o_custkey % 20 AS who, o_orderpriority AS cat, ds, min(o_orderkey) OVER (PARTITION BY o_custkey) AS survivor FROM orders LEFT JOIN ds ON k = o_orderkey),
+m AS (SELECT *, ds[4] IS NOT NULL AND k % 7 = 3 AND k <> survivor AS merged FROM o)"""
+_REOPEN = _LOG + """,
+e AS (SELECT k, 0 AS i, od AS opened, ds[4] AS term, CASE WHEN merged THEN 'merged' ELSE 'resolved' END AS kind, coalesce(ds[5], DATE '2000-01-01') AS until, ds[1] AS answer, ds[2] AS p, coalesce(ds[3], DATE '2099-01-01') AS r, CASE WHEN merged THEN survivor END AS parent, who, cat FROM m
+  UNION ALL SELECT k, 1, ds[5], ds[6], 'withdrawn', DATE '2000-01-01', ds[7], NULL, NULL, k, NULL, NULL FROM m WHERE ds[5] IS NOT NULL),
+f AS (SELECT *, greatest(opened, DATE '1996-01-01') AS s, coalesce(term < DATE '2000-01-01', false) AS done FROM e WHERE opened < DATE '2000-01-01' AND NOT coalesce(term < DATE '1996-01-01', false)),
+g AS (SELECT *, CASE WHEN done THEN greatest(s, term) ELSE DATE '2000-01-01' END AS z FROM f),
+h AS (SELECT *, CASE WHEN p IS NULL THEN 0 ELSE greatest(0, least(r, z) - greatest(p, s)) END * 24.0 AS paused FROM g)
+--select SELECT CASE WHEN i > 0 THEN k || '#2' ELSE k::VARCHAR END AS spell_ref, CASE WHEN i > 0 OR done THEN parent::VARCHAR END AS parent_ref, opened::TIMESTAMP::VARCHAR AS opened_at, opened < DATE '1996-01-01' AS left_truncated,
+  (z - s) * 24.0::DOUBLE AS duration_hours, greatest(0.0, (z - s) * 24.0 - paused)::DOUBLE AS active_hours, paused::DOUBLE AS paused_hours, CASE WHEN done THEN kind END AS outcome, CASE WHEN done THEN 'none' ELSE 'administrative' END AS censoring,
+  CASE WHEN answer < DATE '2000-01-01' THEN (answer - opened) * 24.0::DOUBLE END AS first_response_hours, (SELECT count(*) FROM m WHERE merged AND survivor = h.k AND ds[4] >= h.opened AND ds[4] < h.until) AS duplicate_count,
+  coalesce(cat, 'other') AS category, CASE WHEN answer <= z THEN who END AS assignee_ref FROM h"""
+
+
+@query("reducer_request_spells_reopened", _REOPEN, "duration_hours active_hours paused_hours first_response_hours")
+def _(spark, d):
+    s = L.spells_from_log(A.request_log(spark, d), A.START, A.END, sla_clock="active")
+    return s.withColumn("opened_at", F.date_format("opened_at", "yyyy-MM-dd HH:mm:ss")).drop("at_risk_from", "terminal_at", "interval_lo_hours", "interval_hi_hours", "reopened_count")

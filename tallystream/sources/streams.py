@@ -102,3 +102,26 @@ def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A predicted probability and an outcome per line."""
     return table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log of every request: opened by the customer, then a step for each further day with a shipment.
+
+    Steps, in order: acknowledged by staff, paused, resumed, resolved (every seventh request: merged into its customer's first one), reopened, withdrawn, comment of staff.
+    """
+    steps = F.array(*[F.lit(k) for k in ("acknowledged", "paused", "resumed", "resolved", "reopened", "withdrawn", "comment")])
+    days = request_events(spark, sf_dir).groupBy("request_ref").agg(F.sort_array(F.collect_set("day")).alias("days"))  # a few lines an order
+    orders = table(spark, sf_dir, "orders")
+    firsts = orders.groupBy(F.col("o_custkey").alias("c")).agg(F.min("o_orderkey").alias("survivor"))
+    o = orders.select("o_orderkey", "o_custkey", "o_orderpriority", day("o_orderdate").alias("opened")).join(firsts, F.col("o_custkey") == F.col("c"))
+    o = o.join(days, F.col("o_orderkey") == F.col("request_ref"), "left").drop("request_ref")
+    opened = F.array(F.struct(F.col("opened").alias("day"), F.lit("opened").alias("kind")))
+    later = F.transform(F.coalesce("days", F.array().cast("array<int>")), lambda d, i: F.struct(d.alias("day"), F.get(steps, i).alias("kind")))
+    o = o.withColumn("s", F.explode(F.concat(opened, later))).where("s.kind is not null")
+    merged = (F.col("s.kind") == "resolved") & (F.col("o_orderkey") % 7 == 3) & (F.col("o_orderkey") != F.col("survivor"))
+    staff = F.col("s.kind").isin("acknowledged", "comment")
+    return o.select(
+        F.col("o_orderkey").alias("request_ref"), F.timestamp_seconds(F.col("s.day").cast("long") * 86400).alias("at"), F.when(merged, "merged").otherwise(F.col("s.kind")).alias("kind"),
+        F.when(staff, F.lit("staff")).otherwise(F.col("o_custkey").cast("string")).alias("actor_ref"), F.when(F.col("s.kind") == "acknowledged", F.col("o_custkey") % 20).alias("assignee_ref"),
+        F.when(F.col("s.kind") == "opened", F.col("o_orderpriority")).alias("category"), F.when(merged, F.col("survivor")).alias("parent_ref"), F.lit(None).cast("timestamp").alias("at_upper"),
+    )
