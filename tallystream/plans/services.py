@@ -328,3 +328,28 @@ h AS (SELECT *, CASE WHEN p IS NULL THEN 0 ELSE greatest(0, least(r, z) - greate
 def _(spark, d):
     s = L.spells_from_log(A.request_log(spark, d), A.START, A.END, sla_clock="active")
     return s.withColumn("opened_at", F.date_format("opened_at", "yyyy-MM-dd HH:mm:ss")).drop("at_risk_from", "terminal_at", "interval_lo_hours", "interval_hi_hours", "reopened_count")
+
+
+# --- Raking -------------------------------------------------------------------------------------------
+
+
+def _sweeps(k: int) -> str:
+    """Proportional fitting to two margins, written out step by step."""
+    fit = lambda i, c: f"r{i} AS (SELECT survey, segment, region, n, ps, pr, w * p{c[0]} * sum(n) OVER (PARTITION BY survey) / sum(n * w) OVER (PARTITION BY survey, {c}) AS w FROM r{i - 1})"
+    return ",\n".join(fit(i, "segment" if i % 2 else "region") for i in range(1, 2 * k + 1))
+
+
+_RAKED = """WITH c AS (SELECT c_custkey, c_mktsegment AS segment, n_regionkey AS region FROM customer JOIN nation ON n_nationkey = c_nationkey),
+a AS (SELECT segment, count(*) / (SELECT count(*) FROM c) AS ps FROM c GROUP BY 1), b AS (SELECT region, count(*) / (SELECT count(*) FROM c) AS pr FROM c GROUP BY 1),
+r0 AS (SELECT year(o_orderdate) AS survey, segment, region, count(*) AS n, any_value(ps) AS ps, any_value(pr) AS pr, 1.0::DOUBLE AS w FROM orders JOIN c ON c_custkey = o_custkey JOIN a USING (segment) JOIN b USING (region) GROUP BY 1, 2, 3),
+"""
+
+
+@query("survey_raking_weights", _RAKED + _sweeps(25) + """
+--select SELECT survey, segment, region, n, w AS weight, sum(n) OVER v * sum(n * w * w) OVER v / (sum(n * w) OVER v) ** 2 AS design_effect FROM r50 WINDOW v AS (PARTITION BY survey)""", "weight design_effect")
+def _(spark, d):
+    n = A.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
+    c = A.table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    o = A.table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").cast("long").alias("survey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    share = lambda k: c.groupBy(k).agg(F.count(F.lit(1)).alias("m")).select(k, (F.col("m") / F.sum("m").over(Window.partitionBy())).alias("share"))  # noqa: E731  a row per level
+    return K.rake(o, "survey", {k: share(k) for k in ("segment", "region")}, tolerance=1e-12).drop("missing_share", "converged")
