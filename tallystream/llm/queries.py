@@ -15,9 +15,12 @@ from tallystream.llm.jpeg import media_digests
 from tallystream.llm.langid import fit, held_out, identify
 from tallystream.llm.minhash import near_duplicates
 from tallystream.llm.mixing import mix
+from tallystream.llm.oracles import TRIE_SQL, lloyd_sql
+from tallystream.llm.prefixtrie import conversation_trie
 from tallystream.llm.sharding import ring_shards
-from tallystream.llm.tables import table
+from tallystream.llm.tables import settled, table
 from tallystream.llm.tokencount import token_counts
+from tallystream.llm.vectorcodes import compress
 from tallystream.llm.warc import derivatives, responses
 
 
@@ -82,6 +85,16 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), word_vocabulary)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of embeddings: 8 parts, 16 entries, 6 rounds."""
+    return settled(lambda: compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations that share heads, with subtree sums."""
+    return conversation_trie(table(spark, sf_dir, "conversations"), family=20, heads=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_mixture": op2_language_mixture,
@@ -93,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_projection_forest_search": op9_projection_forest_search,
     "op10_consistent_hash_sharding": op10_consistent_hash_sharding,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +127,6 @@ r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT b.y, r.c FROM r JOI
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
 """,
+    "op11_vector_codes": lloyd_sql(),
+    "op12_conversation_prefix_trie": TRIE_SQL,
 }
