@@ -16,6 +16,7 @@ from tallystream.llm.langid import fit, held_out, identify
 from tallystream.llm.minhash import near_duplicates
 from tallystream.llm.mixing import mix
 from tallystream.llm.oracles import TRIE_SQL, lloyd_sql
+from tallystream.llm.pii import spans_report
 from tallystream.llm.prefixtrie import conversation_trie
 from tallystream.llm.sharding import ring_shards
 from tallystream.llm.tables import settled, table
@@ -95,6 +96,11 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return conversation_trie(table(spark, sf_dir, "conversations"), family=20, heads=4)
 
 
+def op13_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents: base patterns, and what their contexts lead to."""
+    return spans_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_mixture": op2_language_mixture,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_consistent_hash_sharding": op10_consistent_hash_sharding,
     "op11_vector_codes": op11_vector_codes,
     "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+    "op13_bootstrapped_pii": op13_bootstrapped_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
