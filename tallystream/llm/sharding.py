@@ -24,7 +24,8 @@ def _ring(docs: DataFrame, shards: int, vnodes: int, cells: int) -> DataFrame:
     spark = docs.sparkSession
     nodes = (
         spark.range(shards * vnodes, numPartitions=1)
-        .select((F.col("id") % shards).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(cells)).alias("cell"))
+        .select(F.expr(f"id div {vnodes}").cast("int").alias("shard"), (F.col("id") % vnodes).alias("number"))
+        .select("shard", F.pmod(F.xxhash64(F.lit("node"), "shard", "number"), F.lit(cells)).alias("cell"))
         .groupBy("cell").agg(F.min("shard").alias("shard"))
     )
     counts = docs.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))

@@ -326,35 +326,40 @@ def test_ring(spark, awkward):
     assert sharding.ring_shards(awkward.limit(0)).count() == 0
 
 
-def ring_by_hand(positions, shards, vnodes, cells, node_cells):
-    """Rows walk the ring one after the other: own arcs fill a shard in the order of arcs, the rest goes on clockwise to the room left at the nodes."""
+def ring_by_hand(positions, shards, cells, node_cells):
+    """The shard of each row; rows are (cell, place) and walk the ring one after the other: own arcs fill a shard in the order of arcs, the rest goes on clockwise to the room left at the nodes."""
     arcs = sorted(node_cells)  # cell -> shard
     arc_of = lambda c: next((a for a in arcs if a >= c), arcs[0])
     n = len(positions)
-    room = {s: n // shards + (s < n % shards) for s in range(shards)}
+    left = {s: n // shards + (s < n % shards) for s in range(shards)}
     queue = defaultdict(list)
-    for i, c in sorted(enumerate(positions), key=lambda x: x[1]):
-        queue[arc_of(c)].append(i)
-    kept, left = Counter(), dict(room)
+    for i, (c, at) in enumerate(positions):
+        queue[arc_of(c)].append((c <= arc_of(c), c, at, i))
+    shard_of, over = {}, {}
     for a in arcs:
-        take = min(len(queue[a]), left[node_cells[a]])
-        kept[a], left[node_cells[a]] = take, left[node_cells[a]] - take
-    over = {a: len(queue[a]) - kept[a] for a in arcs}
+        rows = [x[-1] for x in sorted(queue[a])]
+        take = min(len(rows), left[node_cells[a]])
+        left[node_cells[a]] -= take
+        shard_of |= {i: node_cells[a] for i in rows[:take]}
+        over[a] = rows[take:]
     free = {}
     for s in range(shards):
         mine = [a for a in arcs if node_cells[a] == s]
         for k, a in enumerate(mine):
             free[a] = left[s] // len(mine) + (k < left[s] % len(mine))
-    # Walk two laps: rows wait and are taken by the next free room.
-    moved, waiting = Counter(), 0
-    for lap in range(2):
-        for a in arcs:
-            waiting += over.pop(a, 0)
-            take = min(waiting, free[a])
-            moved[node_cells[a]] += take
-            waiting, free[a] = waiting - take, free[a] - take
-    assert waiting == 0
-    return {a: kept[a] for a in arcs}, moved
+    # Behind the arc where the fewest rows wait nobody is left over from the lap before.
+    waits, so_far = {}, 0
+    for a in arcs:
+        so_far += len(over[a]) - free[a]
+        waits[a] = so_far
+    k = arcs.index(min(arcs, key=lambda a: (waits[a], a))) + 1
+    line = []
+    for a in arcs[k:] + arcs[:k]:
+        line += over[a]
+        served, line = line[: free[a]], line[free[a] :]
+        shard_of |= {i: node_cells[a] for i in served}
+    assert not line
+    return [shard_of[i] for i in range(n)]
 
 
 def test_ring_equals_a_walk_by_hand(spark):
@@ -362,17 +367,28 @@ def test_ring_equals_a_walk_by_hand(spark):
 
     shards, vnodes, cells = 3, 4, 64
     d = spark.range(301).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "cast(id % 50 as string) as text")
-    got = sharding.ring_shards(d, shards=shards, vnodes=vnodes, cells=cells).collect()
-    text = F.col("text")
-    pos = [r.c for r in d.select(F.pmod(F.xxhash64(F.lit("row"), F.col("doc_id").cast("long"), F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("long")), F.lit(cells)).alias("c")).collect()]
-    nodes = defaultdict(lambda: shards)
-    for r in spark.range(shards * vnodes).select((F.col("id") % shards).alias("s"), F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(cells)).alias("c")).collect():
-        nodes[r.c] = min(nodes[r.c], r.s)
-    kept, moved = ring_by_hand(pos, shards, vnodes, cells, dict(nodes))
-    want = Counter()
-    for a, n in kept.items():
-        want[nodes[a]] += n
-    assert Counter(r.shard for r in got) == want + moved and len(got) == 301
+    at = F.xxhash64(F.lit("row"), F.col("doc_id").cast("long"), F.crc32(F.col("text").cast("binary")), (F.octet_length("text") + 1).cast("long"))
+    rows = d.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), at.alias("at"), F.pmod(at, F.lit(cells)).alias("c")).collect()
+    nodes = {}
+    for r in spark.range(shards).selectExpr("cast(id as int) as s", f"explode(sequence(0L, {vnodes - 1}L)) as i").select("s", F.pmod(F.xxhash64(F.lit("node"), "s", "i"), F.lit(cells)).alias("c")).collect():
+        nodes[r.c] = min(nodes.get(r.c, shards), r.s)
+    placed = ring_by_hand([(r.c, r["at"]) for r in rows], shards, cells, nodes)
+    # Rows equal in doc_id and text are interchangeable.
+    want = Counter((r.doc_id, r.crc, s) for r, s in zip(rows, placed))
+    assert Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.ring_shards(d, shards=shards, vnodes=vnodes, cells=cells).collect()) == want
+
+
+def test_one_more_shard_takes_its_share_and_moves_little_else(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.range(20_000).selectExpr("id as doc_id", "cast(id as string) as text")
+    cells = d.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 14)).alias("cell"))
+    before, after = ({r.cell: r.shard for r in sharding._ring(cells, n, 64, 1 << 14).collect()} for n in (8, 9))
+    moved = [c for c in before if before[c] != after[c]]
+    assert all(after[c] == 8 for c in moved) and 0.05 < len(moved) / len(before) < 0.2  # of the arcs alone: only to the new shard
+    home, grown = ({r.doc_id: r.shard for r in sharding.ring_shards(d, shards=n).collect()} for n in (8, 9))
+    moved = [i for i in home if home[i] != grown[i]]
+    assert len(moved) < 0.16 * len(home) and sum(grown[i] != 8 for i in moved) < 0.04 * len(home)  # with bounded loads
 
 
 def test_one_more_shard_and_hot_ids(spark):
