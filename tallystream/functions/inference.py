@@ -11,12 +11,13 @@ import math
 from collections.abc import Mapping
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallystream.functions import special as P
-from tallystream.functions.statistics import wilson
+from tallystream.functions.statistics import running_sums, wilson
 from tallystream.functions.survival import logrank_parts
 
 
@@ -142,9 +143,8 @@ def holm(tests: DataFrame) -> DataFrame:
 def mann_whitney(values: DataFrame) -> DataFrame:
     """U of side a against side b over (side, value), by counts per distinct value; normal p-value with the correction for ties."""
     c = values.groupBy("value").agg(F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per distinct value
     t = F.col("a") + F.col("b")
-    r = c.withColumn("below", below).agg(F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum((t * t * t - t).cast("double")).alias("ties"))
+    r = running_sums(c, "value", (), {"upto": F.col("b")}).withColumn("below", F.col("upto") - F.col("b")).agg(F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum((t * t * t - t).cast("double")).alias("ties"))
     n = F.col("n_a") + F.col("n_b")
     sd = F.sqrt(F.col("n_a") * F.col("n_b") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1.0))))
     return r.withColumn("z", (F.col("u") - F.col("n_a") * F.col("n_b") / 2.0) / sd).select("u", "n_a", "n_b", "z", (2 * P.norm_sf(F.abs("z"))).alias("p_value"))
@@ -190,47 +190,108 @@ def platt(scores: DataFrame, steps: int = 25) -> tuple[float, float]:
     return slope, intercept
 
 
-def cox(spells: DataFrame, covariates: tuple[str, ...], event: str, steps: int = 20) -> DataFrame:
-    """Cox hazard ratios with delayed entry and Breslow ties: covariate, coefficient, se, hazard_ratio, lower, upper.
+#: Tied deaths that are summed in one row; more are dealt over several.
+TIES = 4096
 
-    A Newton step sums risk sets by running sums over distinct times: the sums of weights, of covariates and of their products enter at entry and
-    leave at exit.  One row of gradient and information comes back per step.  Rows are grouped by time and covariates first.
+
+def _efron(cells: DataFrame, k: int, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood, gradient and information at beta: one row of sums comes back.
+
+    cells has x0 .. x(k-1), entry, exit, n spells and d events.  Sums over risk sets enter at entry and leave at exit, in the order of distinct times.
     """
-    k = len(covariates)
-    s = spells.where("exit > entry or entry <= 0").select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)], "entry", "exit", F.expr(event).cast("int").alias("d"))
     xs = [f"x{i}" for i in range(k)]
-    s = s.groupBy(*xs, "entry", "exit").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d")).persist()
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    risk = F.exp(sum((F.col(x) * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0)))
     names = ["s", *[f"s{i}" for i in range(k)], *[f"s{i}_{j}" for i, j in pairs]]
-    beta = [0.0] * k
-    info = [[0.0] * k for _ in range(k)]
-    for step in range(steps + 1):
-        w = F.col("n") * F.exp(sum((F.col(x) * b for x, b in zip(xs, beta, strict=True)), F.lit(0.0)))
-        moments = [w, *[w * F.col(x) for x in xs], *[w * F.col(xs[i]) * F.col(xs[j]) for i, j in pairs]]
-        zero = F.lit(0.0)
-        ends = lambda t, sign, at: F.struct(F.col(t).cast("double").alias("t"), *[(m * sign).alias(n) for n, m in zip(names, moments, strict=True)], *[(F.col("d") * F.col(x) if at else zero).alias(f"d{x}") for x in xs], (F.col("d") if at else F.lit(0)).cast("double").alias("d"))  # noqa: E731, B023
-        moves = s.select(F.explode(F.array(ends("entry", 1.0, False), ends("exit", -1.0, True))).alias("m")).select("m.*").groupBy("t").agg(*[F.sum(c).alias(c) for c in (*names, *[f"d{x}" for x in xs], "d")])
-        # At a time, those who left before are gone and those who enter at it are not yet there (but at time zero they are).
-        before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct time
-        at_zero = s.where("entry <= 0").agg(*[F.sum(m).alias(f"z{n}") for n, m in zip(names, moments, strict=True)])
-        late = moves.crossJoin(F.broadcast(at_zero))  # one row
-        risk = late.select("d", *[f"d{x}" for x in xs], *[(F.coalesce(F.sum(n).over(before), zero) + F.when(F.col("t") <= 0, F.col(f"z{n}")).otherwise(0.0)).alias(n) for n in names]).where("d > 0")
-        grad = [F.sum(F.col(f"dx{i}") - F.col("d") * F.col(f"s{i}") / F.col("s")) for i in range(k)]
-        hess = [F.sum(F.col("d") * (F.col(f"s{i}_{j}") / F.col("s") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("s") * F.col("s")))) for i, j in pairs]
-        row = risk.agg(*grad, *hess).first()
-        if row[0] is None:
+    moments = lambda n: [n * risk, *[n * risk * F.col(x) for x in xs], *[n * risk * F.col(xs[i]) * F.col(xs[j]) for i, j in pairs]]
+    zero = F.lit(0.0)
+
+    def ends(t: str, sign: float, dying: bool) -> Column:
+        died = [m.alias(f"d{c}") for c, m in zip(names, moments(F.col("d")), strict=True)] if dying else [zero.alias(f"d{c}") for c in names]
+        plain = [(F.col("d") * F.col(x) if dying else zero).alias(f"e{x}") for x in xs]
+        return F.struct(F.col(t).cast("double").alias("t"), *[(m * sign).alias(c) for c, m in zip(names, moments(F.col("n")), strict=True)], *died, *plain, (F.col("d").cast("double") if dying else zero).alias("d"))
+
+    summed = [*names, *[f"d{c}" for c in names], *[f"e{x}" for x in xs], "d"]
+    moves = cells.select(F.explode(F.array(ends("entry", 1.0, False), ends("exit", -1.0, True))).alias("m")).select("m.*").groupBy("t").agg(*[F.sum(c).alias(c) for c in summed])
+    # At a time, those who left before are gone and those who enter at it are not yet there (but at time zero they are).
+    before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct time
+    at_zero = cells.where("entry <= 0").agg(*[F.sum(m).alias(f"z{c}") for c, m in zip(names, moments(F.col("n")), strict=True)])
+    late = moves.crossJoin(F.broadcast(at_zero))  # one row
+    here = late.select(*[c for c in summed if c not in names], *[(F.coalesce(F.sum(c).over(before), zero) + F.when(F.col("t") <= 0, F.col(f"z{c}")).otherwise(0.0)).alias(c) for c in names]).where("d > 0")
+    # Of d tied deaths the l-th leaves a risk set without l / d of them.
+    last = (F.col("d") - 1).cast("long")
+    dealt = here.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(TIES).cast("long"))))
+    ls = F.sequence(F.col("first"), F.least(last, F.col("first") + TIES - 1))
+    over = lambda f: F.aggregate(ls, F.lit(0.0), lambda acc, l: acc + f(l / F.col("d")))
+    less = lambda c, q: F.col(c) - q * F.col(f"d{c}")
+    own = F.col("first") == 0
+    parts = [F.when(own, sum((F.col(f"e{x}") * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0))).otherwise(0.0) - over(lambda q: F.log(less("s", q)))]
+    parts += [F.when(own, F.col(f"e{xs[i]}")).otherwise(0.0) - over(lambda q, i=f"s{i}": less(i, q) / less("s", q)) for i in range(k)]
+    parts += [over(lambda q, i=i, j=j: less(f"s{i}_{j}", q) / less("s", q) - less(f"s{i}", q) * less(f"s{j}", q) / (less("s", q) * less("s", q))) for i, j in pairs]
+    row = dealt.agg(*[F.sum(p) for p in parts]).first()
+    info = np.zeros((k, k))
+    for (i, j), h in zip(pairs, row[1 + k :], strict=True):
+        info[i, j] = info[j, i] = h or 0.0
+    return float(row[0] or 0.0), np.array([x or 0.0 for x in row[1 : 1 + k]]), info
+
+
+def cox(spells: DataFrame, covariates: tuple[str, ...], event: str, steps: int = 25) -> DataFrame:
+    """Cox hazard ratios with delayed entry and Efron's ties: covariate, coefficient, se, hazard_ratio, lower, upper, z, p_value, n, events, converged.
+
+    Covariates are centred at their means, so that weights stay in range; a Newton step that doesn't raise the likelihood is halved.  The fit is a loop of at most `steps` jobs (and
+    halvings), each of which brings back one row of covariates^2 numbers; spells are grouped by time and covariates first.  Spells with a null covariate take no part.  Without events
+    coefficients are 0 and their errors null; so are errors of covariates that don't vary.
+    """
+    k = len(covariates)
+    s = spells.where("exit > entry or entry <= 0").select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)], "entry", "exit", F.coalesce(F.expr(event), F.lit(False)).cast("int").alias("d")).dropna(subset=[f"x{i}" for i in range(k)])
+    whole = s.agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(k)]).first()
+    cells = s.select(*[(F.col(f"x{i}") - (whole[f"m{i}"] or 0.0)).alias(f"x{i}") for i in range(k)], "entry", "exit", "d")
+    cells = cells.groupBy(*[f"x{i}" for i in range(k)], "entry", "exit").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d")).persist()
+    beta, done = np.zeros(k), False
+    ll, grad, info = _efron(cells, k, beta)
+    for _ in range(steps if whole.d else 0):
+        move = np.linalg.pinv(info, hermitian=True) @ grad
+        if np.abs(move * np.sqrt(np.diag(info))).max() < 1e-8:  # in units of the standard error
+            done = True
             break
-        for (i, j), h in zip(pairs, row[k:], strict=True):
-            info[i][j] = info[j][i] = h
-        import numpy as np
+        for _ in range(20):
+            got = _efron(cells, k, beta + move)
+            if np.isfinite(got[0]) and got[0] >= ll - 1e-10 * abs(ll):
+                break
+            move = move / 2
+        beta, (ll, grad, info) = beta + move, got
+    cells.unpersist()
+    inverse = np.linalg.pinv(info, hermitian=True)
+    rows = []
+    for i, c in enumerate(covariates):
+        se = math.sqrt(inverse[i, i]) if inverse[i, i] > 0 else None
+        b, half = float(beta[i]), None if se is None else 1.959963984540054 * se
+        rows.append((c, b, se, math.exp(b), *((None, None, None) if se is None else (math.exp(b - half), math.exp(b + half), b / se)), whole.n, whole.d or 0, done))
+    out = spells.sparkSession.createDataFrame(rows, "covariate string, coefficient double, se double, hazard_ratio double, lower double, upper double, z double, n long, events long, converged boolean")
+    return out.withColumn("p_value", 2 * P.norm_sf(F.abs("z")))
 
-        inverse = np.linalg.pinv(np.array(info))  # covariates squared
-        move = inverse @ np.array(row[:k])
-        if step == steps or np.abs(move).max() < 1e-9:
-            break
-        beta = [b + float(m) for b, m in zip(beta, move, strict=True)]
-    s.unpersist()
-    se = [math.sqrt(max(0.0, float(inverse[i][i]))) for i in range(k)] if row[0] is not None else [float("nan")] * k
-    z = 1.959963984540054
-    rows = [(c, b, e, math.exp(b), math.exp(b - z * e), math.exp(b + z * e)) for c, b, e in zip(covariates, beta, se, strict=True)]
-    return spells.sparkSession.createDataFrame(rows, "covariate string, coefficient double, se double, hazard_ratio double, lower double, upper double")
+
+def schoenfeld(spells: DataFrame, covariates: tuple[str, ...], event: str, beta: tuple[float, ...]) -> DataFrame:
+    """Whether hazards stay proportional: per covariate the correlation of its Schoenfeld residuals with time, weighted by events, and its p-value.
+
+    A residual is the mean covariate of those who have the event at a time less its mean over the risk set there, weighted by their hazards.  The p-value takes events * correlation^2 as chi square.
+    """
+    k = len(covariates)
+    xs = [f"x{i}" for i in range(k)]
+    s = spells.where("exit > entry or entry <= 0").select(*[F.col(c).cast("double").alias(x) for c, x in zip(covariates, xs, strict=True)], "entry", "exit", F.coalesce(F.expr(event), F.lit(False)).cast("int").alias("d")).dropna(subset=xs)
+    means = s.agg(*[F.avg(x) for x in xs]).first()
+    risk = F.exp(sum(((F.col(x) - (m or 0.0)) * float(b) for x, m, b in zip(xs, means, beta, strict=True)), F.lit(0.0)))
+    zero = F.lit(0.0)
+    ends = lambda t, sign, dying: F.struct(F.col(t).cast("double").alias("t"), (risk * sign).alias("s"), *[(risk * F.col(x) * sign).alias(f"s{x}") for x in xs], *[(F.col("d") * F.col(x) if dying else zero).alias(f"e{x}") for x in xs], (F.col("d").cast("double") if dying else zero).alias("d"), ((risk if not dying else zero) * (F.col("entry") <= 0).cast("int")).alias("z"), *[((risk * F.col(x) if not dying else zero) * (F.col("entry") <= 0).cast("int")).alias(f"z{x}") for x in xs])
+    names = ["s", *[f"s{x}" for x in xs]]
+    moves = s.select(F.explode(F.array(ends("entry", 1.0, False), ends("exit", -1.0, True))).alias("m")).select("m.*").groupBy("t").agg(*[F.sum(c).alias(c) for c in (*names, *[f"e{x}" for x in xs], "d", "z", *[f"z{x}" for x in xs])])
+    before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct time
+    at = moves.select("t", "d", *[f"e{x}" for x in xs], *[(F.coalesce(F.sum(c).over(before), zero) + F.when(F.col("t") <= 0, F.col("z" + c[1:])).otherwise(0.0)).alias(c) for c in names]).where("d > 0")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), (F.col(f"e{x}") / F.col("d") - F.col(f"s{x}") / F.col("s")).alias("r")) for c, x in zip(covariates, xs, strict=True)])).alias("c")
+    rows = at.select("t", "d", each).select("t", "d", "c.*")
+    w = lambda c: F.sum(F.col("d") * c)
+    m = rows.groupBy("covariate").agg(F.sum("d").alias("events"), w(F.col("t")).alias("t1"), w(F.col("r")).alias("r1"), w(F.col("t") * F.col("t")).alias("t2"), w(F.col("r") * F.col("r")).alias("r2"), w(F.col("t") * F.col("r")).alias("tr"))
+    cov = F.col("tr") - F.col("t1") * F.col("r1") / F.col("events")
+    var = (F.col("t2") - F.col("t1") * F.col("t1") / F.col("events")) * (F.col("r2") - F.col("r1") * F.col("r1") / F.col("events"))
+    m = m.withColumn("correlation", F.when(var > 0, cov / F.sqrt(var)).otherwise(0.0))
+    return m.select("covariate", "events", "correlation", P.chi2_sf(F.col("events") * F.col("correlation") * F.col("correlation"), 1).alias("p_value"))

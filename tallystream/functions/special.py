@@ -178,9 +178,8 @@ def expected_losses(aa: Column, ba: Column, ab: Column, bb: Column) -> tuple[Col
 
 
 def ks_p_value(d: Column, n: Column, m: Column) -> Column:
-    """The asymptotic two-sample p-value with the small-sample correction of the statistic."""
-    size = F.sqrt(n * m / (n + m))
-    lam = (size + 0.12 + 0.11 / size) * d
+    """The asymptotic two-sample p-value: Kolmogorov's series at d times the root of the effective size n * m / (n + m)."""
+    lam = F.sqrt(n * m / (n + m)) * d
     terms = _fold(F.lit(100), F.lit(0.0), lambda s, j: s + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * lam * lam))
     return F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms)))
 

@@ -39,6 +39,29 @@ def running_sums(rows: DataFrame, key: str, order: tuple[str, ...], sums: dict[s
     out = dealt.join(F.broadcast(shift), "_bucket")
     return out.select(*rows.columns, *[(F.sum(v).over(within) + F.col(f"_{k}")).alias(k) for k, v in sums.items()])
 
+
+def order_statistics(values: DataFrame, by: str, probs: tuple[float, ...], parts: int = 256) -> DataFrame:
+    """(by, n, quantiles): exact quantiles of x in each group, with linear interpolation between neighbours; a null x takes no part.
+
+    Distinct values are counted and dealt into buckets at approximate quantiles of their group; only the buckets that hold a wanted rank are put in order, each in its own task.
+    """
+    counts = values.where("x is not null").groupBy(by, "x").agg(F.count(F.lit(1)).alias("m"))
+    whole = values.where("x is not null").groupBy(by).agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 20 * parts).alias("edges"), F.count(F.lit(1)).alias("n"))
+    dealt = counts.join(whole, by).withColumn("bucket", position(F.col("edges"), F.col("x"), parts)).select(by, "x", "m", "n", "bucket")
+    totals = dealt.groupBy(by, "bucket").agg(F.sum("m").alias("held"), F.max("n").alias("n"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # parts rows a group
+    place = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), place(p).alias("at"), e(place(p)).cast("long").alias("rank")) for i, p in enumerate(probs) for e in (F.floor, F.ceil)])
+    wanted = totals.withColumn("before", before).select(by, "bucket", "before", "held", F.explode(ranks).alias("r")).where((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("held")))
+    wanted = wanted.groupBy(by, "bucket", "before").agg(F.collect_list("r").alias("rs"))
+    run = Window.partitionBy(by, "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = dealt.join(wanted, [by, "bucket"]).withColumn("upto", F.col("before") + F.sum("m").over(run))
+    hit = held.select(by, "n", "x", F.explode(F.filter("rs", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("m")))).alias("r"))
+    mixed = hit.groupBy(by, "r.i").agg(F.max("n").alias("n"), F.max("r.at").alias("at"), F.min_by("x", "r.rank").alias("lo"), F.max_by("x", "r.rank").alias("hi"), F.min("r.rank").alias("rank"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.col("rank"))
+    return mixed.groupBy(by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda q: q["v"]).alias("quantiles"))
+
+
 def wilson(x: Column, n: Column) -> tuple[Column, Column]:
     """Wilson's 95 % interval of a proportion."""
     p, z2 = x / n, Z * Z
@@ -153,8 +176,7 @@ def brier_parts(scores: DataFrame, bins: int) -> DataFrame:
 def auc(scores: DataFrame) -> DataFrame:
     """Area under the ROC curve by average ranks; counts per distinct score come first, so the running sum is over distinct scores."""
     c = scores.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    c = running_sums(c, "p", (), {"upto": F.col("n")}).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     np_, nn = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return c.agg(F.try_divide(F.sum(F.col("pos") * F.col("rank")) - np_ * (np_ + 1) / 2, np_ * nn).alias("auc"), np_.alias("positives"), nn.alias("negatives"))
 
@@ -386,8 +408,8 @@ def smith_set(matrix: DataFrame, options: tuple[str, ...]) -> DataFrame:
 
 def psi_quantile(values: DataFrame, bins: int) -> DataFrame:
     """Population stability over bins at the reference side's exact quantiles."""
-    edges = values.where("side = 'ref'").agg(F.percentile("x", [i / bins for i in range(1, bins)]).alias("edges"))
-    b = values.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("x"))))  # one row
+    edges = order_statistics(values.where("side = 'ref'"), "side", tuple(i / bins for i in range(1, bins))).select(F.col("quantiles").alias("edges"))
+    b = values.crossJoin(F.broadcast(edges)).withColumn("bin", position(F.col("edges"), F.col("x"), bins))  # one row
     n = b.groupBy("bin").agg(F.count_if(F.col("side") == "ref").alias("ref"), F.count_if(F.col("side") == "cur").alias("cur"))
     share = lambda c: F.greatest(F.lit(1e-6), F.col(c) / F.sum(c).over(_all()))
     return n.select("bin", "ref", "cur", ((share("cur") - share("ref")) * F.log(share("cur") / share("ref"))).alias("psi"))
@@ -411,7 +433,7 @@ def adjusted_rand(labels: DataFrame) -> DataFrame:
 
 def robust_scale(values: DataFrame, by: str) -> DataFrame:
     """(x - median) / interquartile range within each group."""
-    q = values.groupBy(F.col(by).alias("_g")).agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("_q"))
+    q = order_statistics(values, by, (0.25, 0.5, 0.75)).select(F.col(by).alias("_g"), F.col("quantiles").alias("_q"))
     return values.join(q, F.col(by) == F.col("_g")).withColumn("scaled", F.try_divide(F.col("x") - F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0])).drop("_g", "_q")
 
 

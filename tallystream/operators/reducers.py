@@ -67,13 +67,30 @@ def count_observations(spells: DataFrame, by: str, end_day: int) -> DataFrame:
     return spells.groupBy(F.col(by).alias("group_ref")).agg(F.count(F.lit(1)).alias("events"), (end_day - F.min("opened")).alias("exposure_days"))
 
 
-def interaction_edges(pairs: DataFrame, normalise: bool = True) -> DataFrame:
-    """Co-attendance edges of (object, member) pairs: a < b, 1/(m-1) for each shared object of m members (or 1)."""
-    seen = pairs.select("object_ref", "member_ref").distinct()
-    sized = seen.join(seen.groupBy("object_ref").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "object_ref")
-    a, b = sized.select("object_ref", F.col("member_ref").alias("a_ref"), "m"), sized.select("object_ref", F.col("member_ref").alias("b_ref"))
+#: Members of a hot object that meet the others in one task, about.
+MEMBERS = 1024
+
+
+def interaction_edges(pairs: DataFrame, normalise: bool = True, members: int = MEMBERS) -> DataFrame:
+    """Co-attendance edges of (object, member) pairs: a < b, 1/(m-1) for each shared object of m members (or 1).
+
+    An object's members are dealt by hash into blocks of about `members`; pairs of blocks meet in tasks of their own, so that one object with many members is not one task.
+    """
+    seen = pairs.where("object_ref is not null and member_ref is not null").select("object_ref", "member_ref").distinct()
+    sized = seen.join(seen.groupBy("object_ref").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "object_ref").withColumn("blocks", F.ceil(F.col("m") / members).cast("int"))
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("member_ref"), F.col("blocks")).cast("int"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = dealt.select("object_ref", F.col("member_ref").alias("a_ref"), "m", F.col("own").alias("block_a"), all_blocks.alias("block_b"))
+    b = dealt.select("object_ref", F.col("member_ref").alias("b_ref"), F.col("own").alias("block_b"), all_blocks.alias("block_a"))
     w = 1.0 / (F.col("m") - 1) if normalise else F.lit(1.0)
-    return a.join(b, "object_ref").where("a_ref < b_ref").groupBy("a_ref", "b_ref").agg(F.sum(w).alias("weight"), F.count(F.lit(1)).alias("objects"))
+    return a.join(b, ["object_ref", "block_a", "block_b"]).where("a_ref < b_ref").groupBy("a_ref", "b_ref").agg(F.sum(w).alias("weight"), F.count(F.lit(1)).alias("objects"))
+
+
+def tied_members(pairs: DataFrame) -> DataFrame:
+    """member_ref of the members who share an object with another one; no pair is formed."""
+    seen = pairs.where("object_ref is not null and member_ref is not null").select("object_ref", "member_ref")
+    shared = seen.groupBy("object_ref").agg(F.min("member_ref").alias("low"), F.max("member_ref").alias("high")).where("low < high").select("object_ref")
+    return seen.join(shared, "object_ref", "left_semi").select("member_ref").distinct()
 
 
 def pairwise_results(ballots: DataFrame) -> DataFrame:

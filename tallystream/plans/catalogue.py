@@ -271,8 +271,7 @@ def _(spark, d):
 
 @query("network_isolation_report", _EDGES + " --select SELECT n_name AS stratum, count(*) AS members, count(*) FILTER (s_suppkey NOT IN (SELECT a_ref FROM g UNION SELECT b_ref FROM g)) AS isolated FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
 def _(spark, d):
-    e = R.interaction_edges(_pairs(spark, d))
-    tied = e.select(F.explode(F.array("a_ref", "b_ref")).alias("s_suppkey")).distinct().withColumn("tied", F.lit(True))
+    tied = R.tied_members(_pairs(spark, d)).select(F.col("member_ref").alias("s_suppkey"), F.lit(True).alias("tied"))
     n = A.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("stratum"))
     s = A.table(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(tied, "s_suppkey", "left").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     return s.groupBy("stratum").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("tied").isNull()).alias("isolated"))
@@ -533,7 +532,7 @@ def _(spark, d):
 m AS (SELECT a.model, a.p AS i, b.p AS j, c.p AS k, sum(d.hits) / sum(d.n) AS v FROM s a JOIN s b ON b.model = a.model AND b.p <= a.p JOIN s c ON c.model = a.model AND c.p >= a.p JOIN s d ON d.model = a.model AND d.p BETWEEN b.p AND c.p GROUP BY 1, 2, 3, 4), lo AS (SELECT model, i, j, min(v) AS v FROM m GROUP BY 1, 2, 3)
 --select SELECT model, p, n, hits, (SELECT max(v) FROM lo WHERE lo.model = s.model AND i = p) AS fitted FROM s""", "p fitted")
 def _(spark, d):
-    x = A.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("model"), (F.col("l_discount") * 10).alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    x = A.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("model"), F.round(F.col("l_discount") * 10, 6).alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
     return K.isotonic(x, "model")
 
 
@@ -549,7 +548,7 @@ def elo_update(spark, d):
 @query("text_tfidf_similarity", r"""WITH qw AS (SELECT item_id AS q, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS t FROM benchmark), dw AS (SELECT doc_id AS d, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS t FROM documents),
 qc AS (SELECT q, t, count(*) AS c FROM qw GROUP BY 1, 2), dc AS (SELECT d, t, count(*) AS c FROM dw GROUP BY 1, 2), f AS (SELECT t, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM dc GROUP BY t),
 qv AS (SELECT q, t, (1 + ln(c)) * idf AS w FROM qc JOIN f USING (t)), dv AS (SELECT d, t, (1 + ln(c)) * idf AS w FROM dc JOIN f USING (t)), qn AS (SELECT q, sqrt(sum(w * w)) AS n FROM qv GROUP BY 1), dn AS (SELECT d, sqrt(sum(w * w)) AS n FROM dv GROUP BY 1),
-s AS (SELECT qv.q, dv.d, round(sum(qv.w * dv.w) / (any_value(qn.n) * any_value(dn.n)), 6) AS score FROM qv JOIN dv USING (t) JOIN qn ON qn.q = qv.q JOIN dn ON dn.d = dv.d GROUP BY 1, 2), r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank, d, score FROM s)
+s AS (SELECT qv.q, dv.d, sum(qv.w * dv.w) / (any_value(qn.n) * any_value(dn.n)) AS score FROM qv JOIN dv USING (t) JOIN qn ON qn.q = qv.q JOIN dn ON dn.d = dv.d GROUP BY 1, 2), r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, d) AS rank, d, score FROM s)
 --select SELECT * FROM r WHERE rank <= 5""", "score")
 def _(spark, d):
     return K.tfidf_similarity(A.table(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text"), A.table(spark, d, "documents").select(F.col("doc_id").alias("d"), "text"), 5)

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tallystream.functions import inference as I  # noqa: E741
 from tallystream.functions import kernels as K
+from tallystream.functions import networks as N
 from tallystream.functions import special as P
 from tallystream.functions import statistics as S
 from tallystream.functions import survival as V
@@ -61,7 +62,15 @@ def _(spark, d):
 @query("survival_cox_hazard_ratios")
 def cox_hazard_ratios(spark, d):
     s = _spells(spark, d).withColumn("priority", F.substring("category", 1, 1).cast("double")).withColumn("opened_year", (F.col("opened") / 365.25 - 26).cast("double"))
-    return I.cox(s, ("priority",), "outcome = 'resolved'")
+    return I.cox(s, ("priority", "opened_year"), "outcome = 'resolved'")
+
+
+@query("survival_proportional_hazards")
+def _(spark, d):
+    s = _spells(spark, d).withColumn("priority", F.substring("category", 1, 1).cast("double")).withColumn("opened_year", (F.col("opened") / 365.25 - 26).cast("double"))
+    x = ("priority", "opened_year")
+    beta = {r.covariate: r.coefficient for r in I.cox(s, x, "outcome = 'resolved'").collect()}  # a row per covariate
+    return I.schoenfeld(s, x, "outcome = 'resolved'", tuple(beta[c] for c in x))
 
 
 _MEDIAN = {"window": "1996-2000", "event": "resolved", "quantile": 0.5}
@@ -242,7 +251,7 @@ def _(spark, d):
 _KS = """WITH v AS (SELECT CASE year(l_shipdate) WHEN 1997 THEN 'ref' WHEN 1999 THEN 'cur' END AS side, l_quantity AS l_quantity, l_extendedprice, l_discount FROM lineitem WHERE year(l_shipdate) IN (1997, 1999)),
 f AS (SELECT side, 'price' AS feature, l_extendedprice AS x FROM v UNION ALL SELECT side, 'quantity', l_quantity FROM v UNION ALL SELECT side, 'discount', l_discount FROM v),
 c AS (SELECT DISTINCT feature, x, count(*) FILTER (side = 'ref') OVER w / (count(*) FILTER (side = 'ref') OVER (PARTITION BY feature)) AS a, count(*) FILTER (side = 'cur') OVER w / (count(*) FILTER (side = 'cur') OVER (PARTITION BY feature)) AS b FROM f WINDOW w AS (PARTITION BY feature ORDER BY x)),
-k AS (SELECT feature, max(abs(a - b)) AS d FROM c GROUP BY 1), n AS (SELECT sqrt(count(*) FILTER (side = 'ref') * count(*) FILTER (side = 'cur') / count(*)) AS s FROM v), l AS (SELECT feature, d, (s + 0.12 + 0.11 / s) * d AS l FROM k, n),
+k AS (SELECT feature, max(abs(a - b)) AS d FROM c GROUP BY 1), n AS (SELECT sqrt(count(*) FILTER (side = 'ref') * count(*) FILTER (side = 'cur') / count(*)) AS s FROM v), l AS (SELECT feature, d, s * d AS l FROM k, n),
 p AS (SELECT feature, d, CASE WHEN l < 0.2 THEN 1 ELSE greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * j * j * l * l))))) END::DOUBLE AS p_value FROM l),
 h AS (SELECT *, least(1, p_value * (count(*) OVER () - row_number() OVER (ORDER BY p_value, feature) + 1)) AS s FROM p)"""
 
@@ -290,6 +299,29 @@ def _(spark, d):
     return R.modularity(R.interaction_edges(_pairs(spark, d)), of)
 
 
+def _ties(spark, d):
+    """Suppliers who share an order, by how often they do."""
+    return R.interaction_edges(_pairs(spark, d))
+
+
+@query("network_louvain_communities")
+def louvain_communities(spark, d):
+    return N.communities(_ties(spark, d), sweeps=15, levels=6)
+
+
+#: Sources of the shortest paths; with fewer members than that betweenness is exact.
+PIVOTS = 128
+
+
+@query("network_betweenness_centrality", """WITH s AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS m FROM lineitem), t AS MATERIALIZED (SELECT DISTINCT a.m AS a, b.m AS b FROM s a JOIN s b ON a.o = b.o AND a.m <> b.m),
+w1 AS MATERIALIZED (SELECT a AS s, b AS v, 1 AS d, 1::DOUBLE AS k FROM t), x2 AS MATERIALIZED (SELECT s, b AS v, 2 AS d, sum(k) AS k FROM w1 JOIN t ON a = v WHERE b <> s GROUP BY s, b), w2 AS MATERIALIZED (SELECT * FROM x2 ANTI JOIN w1 USING (s, v)),
+x3 AS MATERIALIZED (SELECT s, b AS v, 3 AS d, sum(k) AS k FROM w2 JOIN t ON a = v WHERE b <> s GROUP BY s, b), w3 AS MATERIALIZED (SELECT * FROM x3 ANTI JOIN w1 USING (s, v) ANTI JOIN w2 USING (s, v)),
+p AS MATERIALIZED (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3), c AS (SELECT sv.v, sum(sv.k * vt.k / st.k) / 2 AS x FROM p st JOIN p sv ON sv.s = st.s AND sv.d < st.d JOIN p vt ON vt.s = sv.v AND vt.v = st.v AND vt.d = st.d - sv.d GROUP BY 1),
+n AS (SELECT a AS member_ref, count(*) AS degree FROM t GROUP BY 1) --select SELECT member_ref, coalesce(x, 0) / greatest((count(*) OVER () - 1) * (count(*) OVER () - 2) / 2, 1) AS betweenness, degree FROM n LEFT JOIN c ON v = member_ref""", "betweenness")
+def betweenness_centrality(spark, d):
+    return N.betweenness(_ties(spark, d), pivots=PIVOTS)
+
+
 @query("segmentation_adjusted_rand", """WITH t AS (SELECT c_mktsegment AS a, c_nationkey AS b, count(*) AS n FROM customer GROUP BY 1, 2), s AS (SELECT sum(n * (n - 1) / 2) AS ij, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM t GROUP BY a)) AS i, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM t GROUP BY b)) AS j, sum(n) * (sum(n) - 1) / 2 AS al FROM t)
 --select SELECT ((ij - i * j / al) / ((i + j) / 2 - i * j / al))::DOUBLE AS adjusted_rand FROM s""", "adjusted_rand")
 def _(spark, d):

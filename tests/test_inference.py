@@ -10,27 +10,60 @@ from tallystream.functions import statistics as S
 from tallystream.sources import adapters as D
 
 
-def test_cox_equals_newton_by_hand(spark):
+def efron(x, entry, out, event):
+    beta = np.zeros(x.shape[1])
+    for _ in range(25):
+        g, h = np.zeros(len(beta)), np.zeros((len(beta), len(beta)))
+        for t in np.unique(out[event]):
+            r = ((entry < t) | ((t <= 0) & (entry <= 0))) & (out >= t)
+            d = event & (out == t)
+            for part in range(d.sum()):
+                w = np.exp(x @ beta) * (r - d * (part / d.sum()))
+                s, s1, s2 = w.sum(), w @ x, (x.T * w) @ x
+                g -= s1 / s
+                h += s2 / s - np.outer(s1, s1) / s**2
+            g += x[d].sum(0)
+        beta = beta + np.linalg.solve(h, g)
+    return beta, np.sqrt(np.diag(np.linalg.inv(h)))
+
+
+def test_cox_equals_newton_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(I, "TIES", 7)
     rng = np.random.default_rng(0)
     x = rng.integers(0, 3, (250, 2)).astype(float)
     out = np.ceil(rng.exponential(10 / np.exp(0.5 * x[:, 0] - 0.3 * x[:, 1]))).astype(int)
     event, entry = rng.random(250) < 0.7, np.where(rng.random(250) < 0.3, rng.integers(0, 4, 250), 0)
     keep = out > entry
     x, out, event, entry = x[keep], out[keep], event[keep], entry[keep]
-    beta = np.zeros(2)
-    for _ in range(20):
-        g, h = np.zeros(2), np.zeros((2, 2))
-        for t in np.unique(out[event]):
-            r = ((entry < t) | ((t <= 0) & (entry <= 0))) & (out >= t)
-            w = np.exp(x[r] @ beta)
-            s, s1, s2 = w.sum(), w @ x[r], (x[r].T * w) @ x[r]
-            d = event & (out == t)
-            g += x[d].sum(0) - d.sum() * s1 / s
-            h += d.sum() * (s2 / s - np.outer(s1, s1) / s**2)
-        beta = beta + np.linalg.solve(h, g)
-    rows = [(float(a), float(b), int(i), int(o), bool(e)) for (a, b), i, o, e in zip(x, entry, out, event, strict=True)]
-    got = I.cox(spark.createDataFrame(rows, "a double, b double, entry int, exit int, ev boolean"), ("a", "b"), "ev").collect()
-    assert np.allclose([r.coefficient for r in got], beta, atol=1e-7) and np.allclose([r.se for r in got], np.sqrt(np.diag(np.linalg.inv(h))), atol=1e-5)
+    beta, se = efron(x, entry, out, event)
+    # Years stand for a covariate far from zero; a null covariate and a spell that is never at risk take no part.
+    rows = [(float(a), float(b) + 2000, int(i), int(o), bool(e)) for (a, b), i, o, e in zip(x, entry, out, event, strict=True)] + [(None, 2000.0, 0, 3, True), (1.0, 2000.0, 5, 5, True)]
+    d = spark.createDataFrame(rows, "a double, b double, entry int, exit int, ev boolean")
+    got = I.cox(d, ("a", "b"), "ev").collect()
+    assert np.allclose([r.coefficient for r in got], beta, atol=1e-6) and np.allclose([r.se for r in got], se, atol=1e-6)
+    assert all(r.converged and r.n == len(x) and r.events == event.sum() and r.lower < r.hazard_ratio < r.upper for r in got)
+    zph = {r.covariate: r for r in I.schoenfeld(d, ("a", "b"), "ev", tuple(beta)).collect()}
+    assert all(r.p_value > 0.01 and r.events == event.sum() for r in zph.values())
+
+
+def test_cox_without_events_or_variation(spark):
+    schema = "a double, entry int, exit int, ev boolean"
+    none = I.cox(spark.createDataFrame([(1.0, 0, 3, False), (2.0, 0, 4, False)], schema), ("a",), "ev").first()
+    assert (none.coefficient, none.se, none.events, none.converged) == (0.0, None, 0, False)
+    flat = I.cox(spark.createDataFrame([(5.0, 0, 3, True), (5.0, 0, 4, True)], schema), ("a",), "ev").first()
+    assert flat.coefficient == 0.0 and flat.se is None
+    assert I.cox(spark.createDataFrame([], schema), ("a",), "ev").first().n == 0
+
+
+def test_an_effect_that_fades_fails_the_schoenfeld_check(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, 800)
+    # The hazard of x = 1 is four times that of the others before day 10 and a fourth after it.
+    early = rng.exponential(np.where(x == 1, 5, 20))
+    out = np.ceil(np.where(early < 10, early, 10 + rng.exponential(np.where(x == 1, 80, 20)))).astype(int)
+    d = spark.createDataFrame([(float(a), 0, int(t), True) for a, t in zip(x, out, strict=True)], "a double, entry int, exit int, ev boolean")
+    beta = I.cox(d, ("a",), "ev").first().coefficient
+    assert I.schoenfeld(d, ("a",), "ev", (beta,)).first().p_value < 1e-4
 
 
 def test_platt_solves_its_score_equations(spark):

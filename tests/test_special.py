@@ -70,6 +70,7 @@ def test_arms_and_passages(spark):
     assert abs(value(spark, P.prob_b_beats_a(*lit(30, 70, 40, 60))) - (b > a).mean()) < 2e-3
     la, lb = P.expected_losses(*lit(30, 70, 40, 60))
     assert abs(value(spark, la) - np.maximum(b - a, 0).mean()) < 5e-4 and abs(value(spark, lb) - np.maximum(a - b, 0).mean()) < 5e-4
-    assert abs(value(spark, P.ks_p_value(*lit(0.2, 100, 100))) - 0.0314) < 5e-3
+    assert abs(value(spark, P.ks_p_value(*lit(0.1358, 200, 200))) - 0.050) < 1e-3  # the published critical value 1.358 / sqrt(100)
+    assert value(spark, P.ks_p_value(*lit(0.0, 5, 5))) == 1.0
     assert abs(value(spark, P.first_passage(*lit(0, 1, 1, 1))) - 2 * 0.5 * math.erfc(1 / math.sqrt(2))) < 1e-9
     assert value(spark, P.laplace_cdf(*lit(0, 2))) == 0.5 and value(spark, P.kl_bernoulli(*lit(0.3, 0.3))) == 0.0
