@@ -155,16 +155,36 @@ def e_process(trials: DataFrame, rho: float, alpha: float = 0.05) -> DataFrame:
 # --- Calibration, conformal, drift ----------------------------------------------------------------
 
 
-def score_bins(scores: DataFrame, bins: int) -> DataFrame:
-    """Per bin (equal widths over 0..1, upper edges in): n, mean score, observed rate with Wilson bounds."""
-    b = scores.withColumn("bin", F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * bins, 9))).cast("int")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("p").cast("decimal(12,9)")).cast("double") / F.count(F.lit(1))).alias("mean_p"), F.sum("y").alias("hits"))
+def equal_count_edges(scores: DataFrame, bins: int) -> DataFrame:
+    """One row (edges): the upper edges of bins with equally many scores, the last one 1: of n scores in order, those at place round(i * n / bins) from 0, equal ones once.
+
+    Counts per distinct score come first, in buckets.
+    """
+    c = running_sums(scores.groupBy("p").agg(F.count(F.lit(1)).alias("m")), "p", (), {"upto": F.col("m")})
+    c = c.crossJoin(F.broadcast(scores.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    place = lambda i: F.least(F.col("n") - 1, F.bround(F.col("n") * i / bins))
+    at = c.agg(F.array(*[F.min(F.when(F.col("upto") > place(i), F.col("p"))) for i in range(1, bins)]).alias("edges"))
+    inner = F.filter(F.array_distinct("edges"), lambda e: (e > 1e-12) & (e < 1 - 1e-12))
+    return at.select(F.concat(inner, F.array(F.lit(1.0))).alias("edges"))
+
+
+def score_bins(scores: DataFrame, bins: int, binning: str = "equal_width") -> DataFrame:
+    """Per bin over 0..1 (upper edges in; equal_width, or equal_count with edges from equal_count_edges): n, mean score, observed rate with Wilson bounds."""
+    if binning == "equal_count":
+        edges = equal_count_edges(scores, bins)
+        dealt = scores.crossJoin(F.broadcast(edges)).withColumn("bin", F.least(position(F.col("edges"), F.col("p"), bins) + 1, F.size("edges")).cast("int"))  # one row
+    elif binning == "equal_width":
+        dealt = scores.withColumn("bin", F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * bins, 9))).cast("int"))
+    else:
+        raise ValueError("binning is equal_width or equal_count")
+    b = dealt.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("p").cast("decimal(12,9)")).cast("double") / F.count(F.lit(1))).alias("mean_p"), F.sum("y").alias("hits"))
     lo, hi = wilson(F.col("hits"), F.col("n"))
     return b.select("bin", "n", "hits", "mean_p", (F.col("hits") / F.col("n")).alias("observed"), lo.alias("lower"), hi.alias("upper"))
 
 
-def brier_parts(scores: DataFrame, bins: int) -> DataFrame:
+def brier_parts(scores: DataFrame, bins: int, binning: str = "equal_width") -> DataFrame:
     """Brier score with Murphy's reliability, resolution and uncertainty over the bins; sums of scores are exact decimals (nine places)."""
-    b = score_bins(scores, bins)
+    b = score_bins(scores, bins, binning)
     miss = F.col("p").cast("decimal(12,9)") - F.col("y")
     n = F.count(F.lit(1))
     whole = scores.agg((F.sum(miss * miss).cast("double") / n).alias("brier"), (F.sum("y") / n).alias("base"), n.alias("total"))

@@ -344,6 +344,23 @@ def _(spark, d):
     return S.brier_parts(A.scores(spark, d), 10)
 
 
+_EQUAL = """WITH s AS (SELECT l_discount * 10 AS p, (l_returnflag = 'R')::INT AS y FROM lineitem), o AS (SELECT list(p ORDER BY p) AS ps FROM s),
+e AS (SELECT list_append(list_sort(list_distinct(list_filter(list_transform(range(1, 10), lambda i: ps[1 + least(len(ps) - 1, round_even(i * len(ps) / 10, 0)::BIGINT)]), lambda x: x > 1e-12 AND x < 1 - 1e-12))), 1.0) AS es FROM (SELECT ps FROM o)),
+b AS (SELECT least(len(list_filter(es, lambda x: x < p)) + 1, len(es))::INT AS bin, count(*) AS n, sum(p)::DOUBLE / count(*) AS mean_p, sum(y)::BIGINT AS hits, sum(y) / count(*) AS observed FROM s, e GROUP BY 1)"""
+
+
+@query("calibration_reliability_equal_count", _EQUAL + f""" --select SELECT bin, n, hits, mean_p, observed, (observed + {Z} * {Z} / (2 * n)) / (1 + {Z} * {Z} / n) - {Z} * sqrt(observed * (1 - observed) / n + {Z} * {Z} / (4.0 * n * n)) / (1 + {Z} * {Z} / n) AS lower,
+  (observed + {Z} * {Z} / (2 * n)) / (1 + {Z} * {Z} / n) + {Z} * sqrt(observed * (1 - observed) / n + {Z} * {Z} / (4.0 * n * n)) / (1 + {Z} * {Z} / n) AS upper FROM b""", "mean_p observed lower upper")
+def _(spark, d):
+    return S.score_bins(A.scores(spark, d), 10, "equal_count")
+
+
+@query("calibration_brier_equal_count", _EQUAL + """, w AS (SELECT sum((p - y) * (p - y))::DOUBLE / count(*) AS brier, sum(y)::DOUBLE / count(*) AS base, count(*) AS total FROM s)
+--select SELECT max(brier) AS brier, sum(n * (mean_p - observed) ^ 2) / max(total) AS reliability, sum(n * (observed - base) ^ 2) / max(total) AS resolution, max(base) * (1 - max(base)) AS uncertainty FROM b, w""", "brier reliability resolution uncertainty")
+def _(spark, d):
+    return S.brier_parts(A.scores(spark, d), 10, "equal_count")
+
+
 @query("calibration_auc", """WITH s AS (SELECT l_discount * 10 AS p, (l_returnflag = 'R')::INT AS y FROM lineitem), r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM s)
 --select SELECT ((sum(r) FILTER (y = 1)) - sum(y)::DOUBLE * (sum(y) + 1) / 2) / (sum(y)::DOUBLE * sum(1 - y)) AS auc, sum(y)::BIGINT AS positives, sum(1 - y)::BIGINT AS negatives FROM r""", "auc")
 def _(spark, d):

@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 from tallystream.functions import inference as I  # noqa: E741
 from tallystream.functions import kernels as K
 from tallystream.functions import networks as N
+from tallystream.functions import risk as Q
 from tallystream.functions import special as P
 from tallystream.functions import statistics as S
 from tallystream.functions import survival as V
+from tallystream.functions import topics as T
 from tallystream.operators import reducers as R
 from tallystream.operators import spells as L
 from tallystream.plans.catalogue import (
@@ -385,3 +387,98 @@ def _(spark, d):
     o = A.table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").cast("long").alias("survey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     share = lambda k: c.groupBy(k).agg(F.count(F.lit(1)).alias("m")).select(k, (F.col("m") / F.sum("m").over(Window.partitionBy())).alias("share"))  # noqa: E731  a row per level
     return K.rake(o, "survey", {k: share(k) for k in ("segment", "region")}, tolerance=1e-12).drop("missing_share", "converged")
+
+
+# --- Risk ---------------------------------------------------------------------------------------------
+
+
+#: Days after which an order that has not shipped counts as late, and the end of what is known.
+LATE, KNOWN = 60, 10957
+
+
+def _dues(spark, d):
+    """Orders as dues: ref, member, day, amount, and whether they were settled late (null if neither is known yet)."""
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("ref"), F.col("o_custkey").alias("member_ref"), A.day("o_orderdate").alias("day"), F.col("o_totalprice").alias("amount"), F.col("o_orderpriority").alias("stratum")).where(F.col("day") < KNOWN)
+    paid = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("ref")).agg(F.min(A.day("l_shipdate")).alias("paid"))
+    known = o.join(paid, "ref", "left").withColumn("paid", F.when(F.col("paid") < KNOWN, F.col("paid")))
+    late = F.when(F.col("paid") <= F.col("day") + LATE, 0).when(F.col("day") + LATE < KNOWN, 1)
+    return known.withColumn("label", late).withColumn("verdict_day", F.least(F.col("paid"), F.col("day") + LATE + 1))
+
+
+_DUES = f"""WITH p AS (SELECT l_orderkey AS ref, min(l_shipdate::DATE - DATE '1970-01-01') AS paid FROM lineitem GROUP BY 1),
+d0 AS (SELECT o_orderkey AS ref, o_custkey AS member_ref, o_orderdate::DATE - DATE '1970-01-01' AS day, o_totalprice AS amount, CASE WHEN paid < {KNOWN} THEN paid END AS paid FROM orders LEFT JOIN p ON ref = o_orderkey WHERE o_orderdate::DATE - DATE '1970-01-01' < {KNOWN}),
+d AS (SELECT *, CASE WHEN paid <= day + {LATE} THEN 0 WHEN day + {LATE} < {KNOWN} THEN 1 END AS label, CASE WHEN paid IS NULL THEN day + {LATE} + 1 ELSE least(paid, day + {LATE} + 1) END AS verdict FROM d0)"""
+
+
+def _due_features(spark, d):
+    """What was known of each due's member the day before: earlier dues, and earlier verdicts on them."""
+    dues = _dues(spark, d)
+    opened = Q.as_of(dues, dues.select("member_ref", "day", F.col("amount").alias("weight")))
+    verdicts = dues.where("label is not null").select("member_ref", F.col("verdict_day").alias("day"), F.col("label").cast("double").alias("weight"))
+    judged = Q.as_of(dues.select("ref", "member_ref", "day"), verdicts, recent=36500).select("ref", F.col("total").alias("judged"), F.col("volume").alias("late_before"))
+    return opened.join(judged, "ref").withColumn("late_rate", F.try_divide("late_before", "judged"))
+
+
+@query("risk_late_payment_features", _DUES + """ --select SELECT ref, label, count(e.ref) FILTER (e.day < d.day) AS total, count(e.ref) FILTER (e.day < d.day AND e.day >= d.day - 90) AS frequency, d.day - max(e.day) FILTER (e.day < d.day) AS recency_days, d.day - min(e.day) FILTER (e.day < d.day) AS tenure_days,
+  coalesce(sum(e.amount) FILTER (e.day < d.day AND e.day >= d.day - 90), 0) AS volume, count(e.label) FILTER (e.verdict < d.day) AS judged, coalesce(sum(e.label) FILTER (e.verdict < d.day), 0)::DOUBLE AS late_before FROM (SELECT ref, label, member_ref AS m, day FROM d) d JOIN (SELECT ref AS ref_, member_ref AS m, day, amount, label, verdict FROM d) e USING (m) GROUP BY ref, label, d.day""".replace("e.ref)", "e.ref_)").replace("SELECT ref, label, count", "SELECT ref, d.label AS label, count").replace("GROUP BY ref, label, d.day", "GROUP BY ref, d.label, d.day"), "volume")
+def late_payment_features(spark, d):
+    return _due_features(spark, d).select("ref", F.col("label").cast("int").alias("label"), "total", "frequency", "recency_days", "tenure_days", "volume", "judged", "late_before")
+
+
+_DUE_FEATURES = ("recency_days", "frequency", "volume", "tenure_days", "late_rate", "amount")
+
+
+@query("risk_late_payment")
+def late_payment_risk(spark, d):
+    rows = _due_features(spark, d).withColumn("feature_day", F.col("day") - 1).withColumn("horizon_day", F.col("day"))
+    return Q.risk(rows, _DUE_FEATURES, ref="ref", stratum="stratum")[0]
+
+
+def _quarters(spark, d):
+    """Members who were active in the year before a quarter's first day, what was known of them then, and whether they stayed away for the 180 days from it (null if that is not known yet)."""
+    o = A.table(spark, d, "orders").select(F.col("o_custkey").alias("member_ref"), A.day("o_orderdate").alias("day"), F.col("o_totalprice").alias("weight")).where(F.col("day") < KNOWN)
+    starts = spark.sql(f"select unix_date(s) as start from (select explode(sequence(date'1995-01-01', date_from_unix_date({KNOWN}), interval 3 month)) as s)")  # a row per quarter
+    days = o.groupBy("member_ref", "day").agg(F.count(F.lit(1)).alias("n"))
+    near = days.join(F.broadcast(starts), (F.col("start") > F.col("day") - 180) & (F.col("start") <= F.col("day") + 365))
+    seen = near.groupBy("member_ref", F.col("start").alias("q")).agg(F.max((F.col("day") < F.col("start")).cast("int")).alias("before"), F.max((F.col("day") >= F.col("start")).cast("int")).alias("after")).where("before = 1")
+    label = F.when(F.col("after") == 1, 0).when(F.col("q") + 180 < KNOWN, 1)
+    anchors = seen.select("member_ref", F.col("q").alias("day"), label.cast("int").alias("label"))
+    return Q.as_of(anchors, o)
+
+
+@query("risk_disengagement_features", f"""WITH o AS (SELECT o_custkey AS m, o_orderdate::DATE - DATE '1970-01-01' AS day, o_totalprice AS w FROM orders WHERE o_orderdate::DATE - DATE '1970-01-01' < {KNOWN}),
+q AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1970-01-01' + {KNOWN}, INTERVAL 3 MONTH))::DATE - DATE '1970-01-01' AS q), x AS (SELECT m, q, day, w FROM o, q WHERE day < q + 180)
+--select SELECT m AS member_ref, q AS day, CASE WHEN max(day) >= q THEN 0 WHEN q + 180 < {KNOWN} THEN 1 END AS label, q - max(day) FILTER (day < q) AS recency_days, count(*) FILTER (day < q AND day >= q - 90) AS frequency, coalesce(sum(w) FILTER (day < q AND day >= q - 90), 0) AS volume,
+  count(*) FILTER (day < q) AS total, q - min(day) FILTER (day < q) AS tenure_days FROM x GROUP BY m, q HAVING count(*) FILTER (day < q AND day >= q - 365) > 0""", "volume")
+def disengagement_features(spark, d):
+    return _quarters(spark, d)
+
+
+@query("risk_member_disengagement")
+def member_disengagement_risk(spark, d):
+    rows = _quarters(spark, d).select("*", F.concat_ws(":", "member_ref", "day").alias("ref"), (F.col("member_ref") % 5).alias("stratum"), (F.col("day") - 1).alias("feature_day"), F.col("day").alias("horizon_day"))
+    return Q.risk(rows, ("recency_days", "frequency", "volume", "total", "tenure_days"), ref="ref", stratum="stratum")[0]
+
+
+# --- Topics -------------------------------------------------------------------------------------------
+
+
+def _texts(spark, d):
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("d"), "text")
+
+
+@query("text_nmf_topics")
+def nmf_topics(spark, d):
+    return T.nmf_topics(_texts(spark, d), topics=(4,), max_features=2000, iterations=20)
+
+
+@query("text_npmi_coherence", r"""WITH w AS (SELECT DISTINCT doc_id AS d, lang, unnest(regexp_split_to_array(lower(text), '\s+')) AS t FROM documents), f AS (SELECT lang, t, count(*) AS n FROM w WHERE lang IS NOT NULL AND t <> '' GROUP BY 1, 2),
+tp AS (SELECT lang AS topic, t FROM (SELECT lang, t, row_number() OVER (PARTITION BY lang ORDER BY n DESC, t) AS i FROM f) WHERE i <= 8), n AS (SELECT count(*) AS n FROM documents), x AS (SELECT DISTINCT d, t FROM w),
+s AS (SELECT t, count(*) AS n FROM x GROUP BY 1), p AS (SELECT topic, a.t AS a, b.t AS b FROM tp a JOIN tp b USING (topic) WHERE a.t < b.t), c AS (SELECT topic, p.a, p.b, (SELECT count(*) FROM x y JOIN x z USING (d) WHERE y.t = p.a AND z.t = p.b) AS k FROM p),
+r AS (SELECT topic, CASE WHEN k = 0 THEN -1 WHEN k = n.n THEN 1 ELSE ln(k / n.n * n.n * n.n / (sa.n * sb.n)) / -ln(k / n.n) END AS v FROM c JOIN s sa ON sa.t = a JOIN s sb ON sb.t = b, n) --select SELECT topic, count(*) AS pairs, avg(v) AS coherence FROM r GROUP BY 1""", "coherence")
+def npmi_coherence(spark, d):
+    words = A.table(spark, d, "documents").where("lang is not null").select("doc_id", "lang", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("term")).where("term <> ''")
+    n = words.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "term"))
+    first = n.withColumn("i", best("lang", F.pmod(F.xxhash64("term"), F.lit(64)))).where("i <= 8").withColumn("i", best("lang")).where("i <= 8")
+    return T.npmi_coherence(_texts(spark, d), first.select(F.col("lang").alias("topic"), "term"))
