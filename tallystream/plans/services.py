@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallystream.functions import budgeting as G
 from tallystream.functions import inference as I  # noqa: E741
 from tallystream.functions import kernels as K
 from tallystream.functions import networks as N
@@ -482,3 +483,48 @@ def npmi_coherence(spark, d):
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "term"))
     first = n.withColumn("i", best("lang", F.pmod(F.xxhash64("term"), F.lit(64)))).where("i <= 8").withColumn("i", best("lang")).where("i <= 8")
     return T.npmi_coherence(_texts(spark, d), first.select(F.col("lang").alias("topic"), "term"))
+
+
+# --- Budgets ------------------------------------------------------------------------------------------
+
+
+def _budget(spark, d):
+    """Each nation decides on the order priorities: a customer approves those it orders most and second most often; an option costs a thousandth of its orders' worth, half of all costs can be spent."""
+    c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("v"), F.col("c_nationkey").cast("string").alias("decision_ref"), F.col("c_mktsegment").alias("stratum"))
+    votes = A.ballots(spark, d).where("tier <= 2").groupBy(F.col("voter_ref").alias("v")).agg(F.collect_set("option_ref").alias("approvals"))
+    ballots = votes.join(c, "v").select("decision_ref", "stratum", "approvals")
+    worth = A.table(spark, d, "orders").select(F.col("o_custkey").alias("v"), F.col("o_orderpriority").alias("option_ref"), "o_totalprice").join(c, "v").groupBy("decision_ref", "option_ref").agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")) / 1000).cast("double").alias("cost"))
+    half = worth.groupBy("decision_ref").agg((F.sum("cost") / 2).alias("budget"))
+    return ballots, worth.join(half, "decision_ref")
+
+
+@query("budgeting_method_of_equal_shares")
+def method_of_equal_shares(spark, d):
+    return G.equal_shares(*_budget(spark, d))
+
+
+@query("budgeting_greedy_knapsack")
+def greedy_knapsack(spark, d):
+    return G.greedy_knapsack(*_budget(spark, d))
+
+
+@query("budgeting_ejr_violations", _BALLOTS + """, a AS (SELECT c_nationkey::VARCHAR AS g, v, o FROM bal JOIN customer ON c_custkey = v WHERE tier <= 2), nv AS (SELECT g, count(DISTINCT v) AS n FROM a GROUP BY 1),
+k AS (SELECT c_nationkey::VARCHAR AS g, o_orderpriority AS o, round(sum(o_totalprice::DECIMAL(18, 2)) / 1000)::DOUBLE AS cost FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), b AS (SELECT g, sum(cost) / 2 AS budget FROM k GROUP BY 1),
+f AS (SELECT g, o FROM k WHERE false), u AS (SELECT v, count(f.o) AS got FROM a LEFT JOIN f USING (g, o) GROUP BY 1), os AS (SELECT g, list(o ORDER BY o) AS os, list(cost ORDER BY o) AS cs FROM k GROUP BY 1),
+t AS (SELECT g, list_filter(range(0, len(os)), lambda i: (m >> i) % 2 = 1) AS ix, os, cs FROM os, range(1, 4096) r(m) WHERE m < 2 ^ len(os)), w AS (SELECT g, list_transform(ix, lambda i: os[i + 1]) AS s, list_sum(list_transform(ix, lambda i: cs[i + 1])) AS cost FROM t),
+l AS (SELECT g, v, list(o) AS likes FROM a GROUP BY 1, 2), gr AS (SELECT w.g, s, w.cost, count(*) AS voters, max(got) AS best FROM w JOIN l ON l.g = w.g AND len(list_intersect(s, likes)) = len(s) JOIN u USING (v) GROUP BY 1, 2, 3)
+--select SELECT g AS decision_ref, array_to_string(s, ',') AS options, cost, voters::DOUBLE AS voters, best::INT AS best, len(s)::INT AS required, true AS exhaustive FROM gr JOIN nv USING (g) JOIN b USING (g) WHERE voters * budget >= cost * n AND best < len(s)""", "cost voters")
+def ejr_violations(spark, d):
+    ballots, paper = _budget(spark, d)
+    return G.ejr_violations(ballots, paper, paper.where("false"))  # with nothing funded: all that groups are entitled to
+
+
+@query("budgeting_fairness_report", _BALLOTS + """, a AS (SELECT c_nationkey::VARCHAR AS g, c_mktsegment AS s, v, o FROM bal JOIN customer ON c_custkey = v WHERE tier <= 2),
+k AS (SELECT c_nationkey::VARCHAR AS g, o_orderpriority AS o, round(sum(o_totalprice::DECIMAL(18, 2)) / 1000)::DOUBLE AS cost FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), f AS (SELECT g, arg_min(o, (cost, o)) AS o FROM k GROUP BY 1),
+z AS (SELECT g, s, count(DISTINCT v) AS n FROM a GROUP BY 1, 2), y AS (SELECT a.g, a.s, k.cost / count(*) OVER (PARTITION BY a.g) AS part FROM a JOIN f USING (g, o) JOIN k USING (g, o)), p AS (SELECT g, s, sum(part) AS won FROM y GROUP BY 1, 2),
+r AS (SELECT g, CASE WHEN n < 5 THEN 'other' ELSE s END AS s, sum(n)::BIGINT AS voters, sum(coalesce(won, 0)) AS won FROM z LEFT JOIN p USING (g, s) GROUP BY 1, 2), e AS (SELECT *, voters / sum(voters) OVER (PARTITION BY g) AS electorate, coalesce(won / nullif(sum(won) OVER (PARTITION BY g), 0), 0) AS share_won FROM r)
+--select SELECT g AS decision_ref, s AS stratum, voters, electorate, won, share_won, share_won / electorate AS utilisation FROM e""", "electorate won share_won utilisation")
+def budget_fairness(spark, d):
+    ballots, paper = _budget(spark, d)
+    cheapest = paper.groupBy("decision_ref").agg(F.min(F.struct("cost", "option_ref")).alias("m")).select("decision_ref", F.col("m.option_ref").alias("option_ref"))
+    return G.fairness_report(ballots, paper, cheapest)
