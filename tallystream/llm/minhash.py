@@ -70,18 +70,16 @@ def _sketch(width: int):
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "regs"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())],
+                names=["doc_id", "id", "n_shingles", "digest", "regs"],
             )
 
     return run
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, and its registers (two bytes each); the last two null for an empty set."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sketch(width), "doc_id long, n_shingles long, digest binary, regs binary"
-    )
+    """doc_id, id, n_shingles, digest of the shingle set, and its registers (two bytes each); the last two null for an empty set."""
+    return docs.select("doc_id", "text", "id").mapInArrow(_sketch(width), "doc_id long, id long, n_shingles long, digest binary, regs binary")
 
 
 def _sets(width: int):
@@ -144,11 +142,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
     Returns a row per input row: doc_id, n_shingles (size of its set), component_id (the smallest doc_id reachable over
     links, its own included) and kept (doc_id = component_id).  Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased.
-    A null text, and one without words, has an empty set and is linked with nothing.  Repeated rows get equal rows; a
-    row without doc_id has component_id null, unless it equals a text with one, and kept false.  Columns other than doc_id and text are ignored.
+    A null text, and one without words, has an empty set and is linked with nothing.  Repeated rows get equal rows; rows that share a doc_id with different
+    texts are linked each by its own text.  A row without doc_id is linked like any other; it is not kept, and component_id is null if nothing that it reaches has one.  Columns
+    other than doc_id and text are ignored.
     """
+    # Inside, a row goes by a hash of doc_id and text, so that every text is one node; doc_ids come back at the end.
+    docs = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("id"))
     sk = written(sketches(docs, width))
-    classes = sk.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    classes = sk.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("id").alias("id"))
     reps = written(
         sk.join(classes, (sk.digest == classes.digest) & (sk.doc_id == classes.rep), "left_semi").select("doc_id", "n_shingles", "regs").dropDuplicates(["doc_id"])
     )
@@ -161,7 +162,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     members = written(bands.join(hubs.select("bucket", "hub"), "bucket"))
     wanted = members.select("doc_id").distinct()
     sets = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+        docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
         .mapInArrow(_sets(width), "doc_id long, shingles array<long>")
         .dropDuplicates(["doc_id"])
     )
@@ -211,12 +212,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     more = written(_confirmed(rest, sets, percent))
     across = label(label(more, "u").select(F.col("component").alias("u"), "v"), "v").select("u", F.col("component").alias("v"))
     second = connected_components(across).select(F.col("node").alias("component"), F.col("component").alias("final"))
-    labels = written(
-        label(classes.select("digest", F.col("rep").alias("doc_id")), "doc_id").join(second, "component", "left").select("digest", F.coalesce("final", "component").alias("component_id"))
-    )
+    of_class = label(classes.select("digest", "id", F.col("rep").alias("doc_id")), "doc_id").join(second, "component", "left").select("digest", "id", F.coalesce("final", "component").alias("component"))
+    least_id = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
+    labels = written(of_class.select("digest", "component").join(least_id, "component").select("digest", "component_id"))
     drop(reps, members, sets, edges, first, tokens, prefix, more)
-    own = F.coalesce("component_id", "doc_id")
+    own = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return (
-        sk.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
-        .select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+        sk.select("id", "n_shingles", "digest").join(labels, "digest", "left")
+        .select(F.col("id").alias("doc_id"), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
     )
