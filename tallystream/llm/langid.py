@@ -114,7 +114,7 @@ class LanguageModel:
 def fit(docs: DataFrame, *, sample: int = SAMPLE) -> LanguageModel | None:
     """Fit on text and non-null lang of docs (all of them may be used).
 
-    At most about `sample` documents of each language are read whole: those whose hash falls under sample divided by the
+    At most about `sample` documents of each language are read whole: those whose hash (of doc_id and text) falls under sample divided by the
     language's count.  The counts come back as one table of languages x KINDS at most; more than LANGUAGES different labels are an error, as
     lang is then no language and the table would not fit.  No labelled text gives None.
     """
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE) -> LanguageModel | None:
     if not sizes:
         return None
     part = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
-    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     counts = labelled.where(draw < part[F.col("lang")]).select("text", "lang").mapInArrow(_counted, "lang string, kind int, n long")
     rows = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("kind").alias("kind"), F.collect_list("n").alias("n")).orderBy("lang").collect()
     if not rows:
