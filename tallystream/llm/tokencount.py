@@ -264,7 +264,7 @@ def token_counts(docs: DataFrame, path: str | Callable[[], str], *, limit: int =
     Counts are those of the tokenizers library with the vocabulary at path (or at what path() gives on an executor), without added special tokens;
     a special token's string inside a text is that token.  A null text is an empty one and has no tokens.  Repeated rows
     are counted each; columns other than doc_id and text are ignored; an empty table gives no rows.  docs must give a task the same rows whenever it
-    runs, as a table or a scan does; where it does not, the job fails rather than count wrongly.
+    runs, as a table or a scan does.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _frequencies(path), "bucket int, chunk long, tokens array<string>, sizes array<int>, posts binary, ids array<long>, bytes array<long>"

@@ -140,7 +140,7 @@ def response_of(page_id: int | None, url: str | None, page: str | None, date: st
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
     return record_bytes(
         [
-            ("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {url}')}>"), ("WARC-Date", date), ("WARC-Target-URI", url or ""),
+            ("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {url} {digest(body)}')}>"), ("WARC-Date", date), ("WARC-Target-URI", url or ""),
             ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(body)), ("Content-Type", "application/http; msgtype=response"),
         ],
         block,

@@ -72,6 +72,20 @@ def test_near_duplicates_find_every_link_of_a_spread_out_group(spark):
     assert got == want
 
 
+def test_texts_that_share_a_doc_id_or_have_none_are_linked(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (None, b + " else"), (None, "other words that nobody shares at all"), (None, None), (9, None)]
+    got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()))
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (0, 1, False), (0, 0, False), (0, 0, False), (9, 9, True)])
+
+
+def test_the_sample_does_not_hang_on_doc_ids(spark):
+    words = {"en": "the house and the garden of", "de": "das Haus und der Garten von"}
+    rows = [(None, f"{words[lang]} {lang}{i} {lang}{i * 7}", lang) for lang in words for i in range(200)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
+    assert model is not None and sorted(model.langs) == ["de", "en"]
+
+
 def test_near_duplicates_of_awkward_rows(spark, awkward):
     got = defaultdict(list)
     for r in minhash.near_duplicates(awkward, width=4).collect():

@@ -261,3 +261,9 @@ def test_pipeline_stages(spark, awkward, tmp_path):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SMALL)
         assert empty.count() == 0
+
+
+def test_record_ids_tell_pages_with_one_url_apart():
+    one, two = (warc.response_of(1, "http://h.org/", page, "2024-01-01T00:00:00Z") for page in ("<p>a", "<p>b"))
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", r).group(1) for r in (one, two)]
+    assert ids[0] != ids[1]
