@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallystream.functions.statistics import order_statistics, running_sums
+from tallystream.sources.stages import Stages
+
 Z = 1.959963984540054
 
 
@@ -99,3 +102,60 @@ def mondrian_bounds(spells: DataFrame, by: str, event: str, alpha: float = 0.1)
     low = c.groupBy(by).agg(F.max("n").alias("n"), F.min(F.when((F.col("upto") >= rank) & (rank >= 1), F.col("exit"))).alias("low"), F.max("exit").alias("most"))
     up = kaplan_meier(spells, event, (by,)).groupBy(by).agg(F.min(F.when(F.col("survival") <= alpha, F.col("t"))).alias("up"))
     return low.join(up, by, "left").select(by, "n", F.coalesce("low", F.lit(0)).alias("lower_days"), F.coalesce("up", "most").alias("upper_days"))
+
+
+def weighted_conformal_quantile(scores: DataFrame, alpha: float) -> DataFrame:
+    """One row (q, n): the smallest score at which the weights of (score, weight) reach 1 - alpha of all, the new point's own (the largest weight) included; null if they never do.
+
+    With equal weights it is the conformal quantile.  Weights are summed by distinct score first; sums run in buckets.
+    """
+    c = scores.where("score is not null").groupBy("score").agg(F.sum("weight").alias("w"))
+    whole = scores.where("score is not null").agg((F.sum("weight") + F.max("weight")).alias("total"), F.count(F.lit(1)).alias("n"))
+    run = running_sums(c, "score", (), {"upto": F.col("w")}).crossJoin(F.broadcast(whole))  # one row
+    reached = F.min(F.when(F.col("upto") / F.col("total") >= 1 - alpha - 1e-12, F.col("score")))
+    return run.agg(reached.alias("q"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+
+
+def survival_eta_bound(spells: DataFrame, event: str, train: str, alpha: float = 0.1) -> DataFrame:
+    """A lower bound on durations that 1 - alpha of new spells exceed, under censoring: one row.
+
+    spells has exit (a duration); event and train are SQL conditions: what ends a spell, and which half fits the curves; the rest calibrates.  The bound is the time by which alpha of
+    the training spells are over, corrected by the weighted conformal quantile of how far it lies beyond the calibration durations, cut at a horizon (the 60th percentile of training durations) that censoring
+    still supports.  A spell censored before the horizon can't be scored (dropped counts them); others weigh the inverse of their chance of not being censored till then, at least 0.001.
+    point_days and upper_days are the times by which half, and 1 - alpha, of all are over (the longest duration where the curve doesn't get there): they follow from the model, only the lower bound is guaranteed.
+    blocked says that censoring leaves no support (0.05) at the horizon, or that the bound held for less than 1 - alpha - 0.05 of the calibration spells that ended: no number should be shown then.
+    """
+    st = Stages(spells.sparkSession)
+    s = st.step(spells.select(F.col("exit").cast("double").alias("exit"), F.lit(0.0).alias("entry"), F.coalesce(F.expr(event), F.lit(False)).alias("over"), F.expr(train).alias("train")))
+    fit, rest = s.where("train"), s.where("not train")
+    horizon = order_statistics(fit.select(F.lit(0).alias("g"), F.col("exit").alias("x")), "g", (0.6,)).select(F.col("quantiles")[0].alias("horizon"))
+    reach = lambda curve, q, name: curve.agg(F.min(F.when(F.col("survival") <= q, F.col("t"))).alias(name))
+    start = reach(kaplan_meier(fit, "over"), 1 - alpha, "low").crossJoin(F.broadcast(fit.agg(F.min("exit").alias("least")))).select(F.coalesce("low", "least").alias("start"))  # one row each
+    # The chance of not being censored by a time: the curve of censoring, a step function on distinct times.
+    censor = kaplan_meier(fit, "not over").select("t", F.col("survival").alias("open"))
+    cut = rest.crossJoin(F.broadcast(horizon)).crossJoin(F.broadcast(start))  # one row each
+    scored = cut.withColumn("t", F.least("exit", "horizon")).withColumn("usable", F.col("over") | (F.col("exit") >= F.col("horizon")))
+    times = scored.select("t").distinct().unionByName(horizon.select(F.col("horizon").alias("t"))).distinct()
+    steps = times.withColumn("asked", F.lit(1)).unionByName(censor, allowMissingColumns=True).groupBy("t").agg(F.max("asked").alias("asked"), F.max("open").alias("open"))
+    last = F.last("open", True).over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a row per distinct time
+    chance = steps.withColumn("open", F.coalesce(last, F.lit(1.0))).where("asked = 1").select("t", "open")
+    weighed = scored.where("usable").groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("start").alias("start")).join(chance, "t")
+    scores = weighed.select((F.col("start") - F.col("t")).alias("score"), (F.col("n") / F.greatest("open", F.lit(1e-3))).alias("weight"), (1 / F.greatest("open", F.lit(1e-3))).alias("one"), "n")
+    whole = scores.agg((F.sum("weight") + F.max("one")).alias("total"), F.sum("n").alias("calibration_n"))
+    run = running_sums(scores.groupBy("score").agg(F.sum("weight").alias("w")), "score", (), {"upto": F.col("w")}).crossJoin(F.broadcast(whole))  # one row
+    q = run.agg(F.min(F.when(F.col("upto") / F.col("total") >= 1 - alpha - 1e-12, F.col("score"))).alias("q"), F.max("calibration_n").alias("calibration_n"))
+    every = kaplan_meier(s, "over")
+    ends = reach(every, 0.5, "point").crossJoin(F.broadcast(reach(every, alpha, "up"))).crossJoin(F.broadcast(s.agg(F.max("exit").alias("most"))))  # one row each
+    bound = q.crossJoin(F.broadcast(start)).crossJoin(F.broadcast(horizon)).select(F.greatest(F.lit(0.0), F.coalesce(F.col("start") - F.col("q"), F.lit(0.0))).alias("lower_days"), "calibration_n", F.col("horizon").alias("horizon_days"))
+    held = rest.crossJoin(F.broadcast(bound)).agg(
+        F.max("lower_days").alias("lower_days"), F.max("calibration_n").alias("calibration_n"), F.max("horizon_days").alias("horizon_days"),
+        F.try_divide(F.count_if(F.col("over") & (F.col("exit") >= F.col("lower_days"))), F.count_if("over")).alias("coverage"), F.count_if(~F.col("over") & (F.col("exit") < F.col("horizon_days"))).alias("dropped"),
+    )
+    support = chance.join(F.broadcast(horizon), F.col("t") == F.col("horizon")).select(F.col("open").alias("support"))
+    out = held.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(support))  # one row each
+    out = st.step(out.select(
+        "lower_days", F.coalesce("point", "most").alias("point_days"), F.coalesce("up", "most").alias("upper_days"), "horizon_days", "calibration_n", "dropped", "support", "coverage",
+        ((F.col("support") <= 0.05) | (F.coalesce("coverage", F.lit(0.0)) < 1 - alpha - 0.05)).alias("blocked"),
+    ))
+    st.close(out)
+    return out

@@ -9,6 +9,8 @@ from tallystream.functions import budgeting as G
 from tallystream.functions import inference as I  # noqa: E741
 from tallystream.functions import kernels as K
 from tallystream.functions import networks as N
+from tallystream.functions import ordinal as O  # noqa: E741
+from tallystream.functions import pooling as H
 from tallystream.functions import risk as Q
 from tallystream.functions import special as P
 from tallystream.functions import statistics as S
@@ -528,3 +530,47 @@ def budget_fairness(spark, d):
     ballots, paper = _budget(spark, d)
     cheapest = paper.groupBy("decision_ref").agg(F.min(F.struct("cost", "option_ref")).alias("m")).select("decision_ref", F.col("m.option_ref").alias("option_ref"))
     return G.fairness_report(ballots, paper, cheapest)
+
+
+# --- Bounds, pools and models -------------------------------------------------------------------------
+
+
+def _curve(name: str, where: str, event: str) -> str:
+    return f"""{name}n AS (SELECT t, count(*) AS n, count(*) FILTER (x = t AND {event}) AS d FROM (SELECT DISTINCT x AS t FROM s WHERE {where} AND {event}) JOIN s ON {where} AND x >= t GROUP BY t), {name} AS MATERIALIZED (SELECT t, product(1 - d / n) OVER (ORDER BY t) AS o FROM {name}n)"""
+
+
+@query("conformal_survival_eta_bound", _SPELLS + f""", s AS MATERIALIZED (SELECT leave::DOUBLE AS x, outcome = 'resolved' AS e, request_ref % 2 = 0 AS tr FROM sp), {_curve("ck", "tr", "NOT e")}, {_curve("ek", "tr", "e")}, {_curve("ak", "true", "e")},
+h AS (SELECT quantile_cont(x, 0.6) AS h FROM s WHERE tr), st AS (SELECT coalesce((SELECT min(t) FROM ek WHERE o <= 0.9), (SELECT min(x) FROM s WHERE tr)) AS st), c AS (SELECT x, e, least(x, h) AS t FROM s, h WHERE NOT tr AND (e OR x >= h)),
+u AS (SELECT st - c.t AS score, 1 / greatest(coalesce(o, 1), 0.001) AS w FROM (SELECT c.t, ck.o FROM c ASOF LEFT JOIN ck ON c.t >= ck.t) c, st), r AS (SELECT score, sum(sum(w)) OVER (ORDER BY score) AS upto FROM u GROUP BY score), z AS (SELECT sum(w) + max(w) AS tot, count(*) AS n FROM u),
+b AS (SELECT greatest(0, coalesce(st - (SELECT min(score) FROM r, z WHERE upto / tot >= 0.9 - 1e-12), 0)) AS low FROM st), f AS (SELECT low, h, n, coalesce((SELECT min(t) FROM ak WHERE o <= 0.5), (SELECT max(x) FROM s)) AS mid, coalesce((SELECT min(t) FROM ak WHERE o <= 0.1), (SELECT max(x) FROM s)) AS up,
+  (SELECT count(*) FROM s WHERE NOT tr AND NOT e AND x < h) AS dropped, coalesce((SELECT arg_max(o, t) FROM ck WHERE t <= h), 1) AS support, (SELECT count(*) FILTER (x >= low) / count(*) FROM s WHERE NOT tr AND e) AS coverage FROM b, h, z)
+--select SELECT low AS lower_days, mid AS point_days, up AS upper_days, h AS horizon_days, n AS calibration_n, dropped, support, coverage, support <= 0.05 OR coalesce(coverage, 0) < 0.85 AS blocked FROM f""", "lower_days point_days upper_days horizon_days support coverage")
+def survival_eta_bound(spark, d):
+    return V.survival_eta_bound(_spells(spark, d), "outcome = 'resolved'", "request_ref % 2 = 0")
+
+
+@query("bayes_hierarchical_pool", """WITH u AS (SELECT l_suppkey AS unit_ref, avg(l_quantity) AS y, stddev_samp(l_quantity) / sqrt(count(*)) AS s FROM lineitem GROUP BY 1), v AS (SELECT * FROM u WHERE s > 0), k AS (SELECT greatest(4 * max(s), 4 * stddev_samp(y), 1e-6) / 400 AS step FROM v),
+g0 AS (SELECT (i + 0.5) * step AS tau FROM k, range(400) t(i)), g1 AS (SELECT tau, 1 / sum(1 / (s * s + tau * tau)) AS v_mu, sum(y / (s * s + tau * tau)) / sum(1 / (s * s + tau * tau)) AS mu, sum(ln(1 / (s * s + tau * tau))) / 2 AS lp FROM g0, v GROUP BY tau),
+g2 AS (SELECT tau, any_value(v_mu) AS v_mu, any_value(mu) AS mu, ln(any_value(v_mu)) / 2 + any_value(lp) - sum((y - mu) ^ 2 / (s * s + tau * tau)) / 2 AS l FROM g1, v GROUP BY tau), g AS MATERIALIZED (SELECT tau, mu, v_mu, exp(l - max(l) OVER ()) / sum(exp(l - m)) OVER () AS w FROM g2, (SELECT max(l) AS m FROM g2)),
+a AS (SELECT sum(tau * w) AS tau, (SELECT min(tau) FROM (SELECT tau, sum(w) OVER (ORDER BY tau) AS c FROM g) WHERE c >= 0.025) AS tau_lower, (SELECT min(tau) FROM (SELECT tau, sum(w) OVER (ORDER BY tau) AS c FROM g) WHERE c >= 0.975) AS tau_upper FROM g),
+p AS (SELECT unit_ref, y, s, sum(w * (y * g.tau ^ 2 + mu * s ^ 2) / (s ^ 2 + g.tau ^ 2)) AS pooled, sum(w * (g.tau ^ 2 * s ^ 2 / (s ^ 2 + g.tau ^ 2) + (s ^ 2 / (s ^ 2 + g.tau ^ 2)) ^ 2 * v_mu)) AS inner_, sum(w * ((y * g.tau ^ 2 + mu * s ^ 2) / (s ^ 2 + g.tau ^ 2) - y) ^ 2) AS gap FROM v, g GROUP BY 1, 2, 3),
+f AS (SELECT *, sqrt(inner_ + gap - (pooled - y) ^ 2) AS sd FROM p)
+--select SELECT unit_ref, y AS effect, s AS se, pooled, sd, pooled - 1.959963984540054 * sd AS lower, pooled + 1.959963984540054 * sd AS upper, s * s / (s * s + tau * tau) AS pooling_factor, tau, tau_lower, tau_upper FROM f, a""", "effect se pooled sd lower upper pooling_factor tau tau_lower tau_upper")
+def hierarchical_pool(spark, d):
+    u = A.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("unit_ref")).agg(F.avg("l_quantity").alias("effect"), (F.stddev_samp("l_quantity") / F.sqrt(F.count(F.lit(1)))).alias("se"))
+    return H.hierarchical_pool(u)
+
+
+@query("numeric_bootstrap_bca")
+def bootstrap_bca(spark, d):
+    """The share of discounts in the worth of all lines."""
+    l = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")  # noqa: E741
+    return H.bootstrap_bca(l, ["l_orderkey", "l_linenumber"], {"off": F.col("l_extendedprice") * F.col("l_discount"), "worth": F.col("l_extendedprice")}, lambda off, worth: off / worth, replicates=200)
+
+
+@query("survey_ordinal_logistic")
+def ordinal_logistic(spark, d):
+    """How order priority goes with the month and with being still open, in each market segment."""
+    c = A.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("survey"))
+    o = A.table(spark, d, "orders").select("o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), F.month("o_orderdate").alias("month"), (F.col("o_orderstatus") == "O").cast("int").alias("is_open"))
+    return O.ordinal_logistic(o.join(c, F.col("o_custkey") == F.col("c_custkey")), ("month", "is_open"))
