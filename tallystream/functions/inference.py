@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 
 from tallystream.functions import special as P
 from tallystream.functions.statistics import running_sums, wilson
-from tallystream.functions.survival import logrank_parts
+from tallystream.functions.survival import logrank_parts, logrank_times
+from tallystream.sources.stages import Stages
 
 
 def _one(rows: DataFrame, row: DataFrame) -> DataFrame:
@@ -66,6 +67,38 @@ def logrank_test(spells: DataFrame, group: str, levels: tuple[str, str], event:
     return r.withColumn("chi2", chi2).withColumn("p_value", P.chi2_sf(F.col("chi2"), 1))
 
 
+def logrank_groups(spells: DataFrame, group: str, event: str, most: int = 64) -> DataFrame:
+    """Log-rank test of any number of groups: one row with chi2, df, p_value, groups, n and events.
+
+    Groups are those that occur (`most` at most, else an error; a null one is a group of its own).  Observed less expected events and their hypergeometric covariance are sums over event times, at
+    each of which a row a group is joined with the others'; groups^2 numbers come back.  df is the rank of the covariance; fewer than two groups, or no events, give chi2 0 on 0 degrees and a null p_value.
+    """
+    s = spells.withColumn("_g", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))).withColumn("_e", F.coalesce(F.expr(event), F.lit(False)))
+    sizes = sorted(s.where("exit > entry or entry <= 0").groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.count_if("_e").alias("d")).limit(most + 1).collect())
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} groups")
+    names = tuple(r["_g"] for r in sizes)
+    k, total, events = len(names), sum(r.n for r in sizes), sum(r.d for r in sizes)
+    chi2, df = 0.0, 0
+    if k > 1 and events:
+        st = Stages(spells.sparkSession)
+        at = st.step(logrank_times(s, "_g", names, "_e").select("_g", "t", "d", "d_all", "n_all", (F.col("n") / F.col("n_all")).alias("share")))
+        gap = {r["_g"]: r.u for r in at.groupBy("_g").agg(F.sum(F.col("d") - F.col("d_all") * F.col("share")).alias("u")).collect()}
+        other = at.select(F.col("_g").alias("h"), "t", F.col("share").alias("share_h"))
+        f = F.when(F.col("n_all") > 1, F.col("d_all") * (F.col("n_all") - F.col("d_all")) / (F.col("n_all") - 1)).otherwise(0.0)
+        both = at.join(other, "t").groupBy("_g", "h").agg(F.sum(f * (F.when(F.col("_g") == F.col("h"), F.col("share")).otherwise(0.0) - F.col("share") * F.col("share_h"))).alias("v")).collect()
+        st.close()
+        place = {g: i for i, g in enumerate(names)}
+        cov = np.zeros((k, k))
+        for r in both:
+            cov[place[r["_g"]], place[r.h]] = r.v
+        u = np.array([gap.get(g, 0.0) for g in names])
+        df = int(np.linalg.matrix_rank(cov, tol=1e-9 * max(1.0, np.abs(cov).max()), hermitian=True))
+        chi2 = float(u @ np.linalg.pinv(cov, rcond=1e-9, hermitian=True) @ u)
+    out = spells.sparkSession.createDataFrame([(chi2, df, k, total, events)], "chi2 double, df int, groups int, n long, events long")
+    return out.withColumn("p_value", F.when(F.col("df") > 0, P.chi2_sf(F.col("chi2"), F.col("df"))))
+
+
 def poisson_rate_chart(series: DataFrame, tail: float = 0.00135, most: float = 1.5) -> DataFrame:
     """A u-chart of (period_start, x, exposure): exact quantile limits for each period's exposure, negative binomial ones if the variance passes `most` times the mean."""
     whole = series.agg((F.sum("x") / F.sum("exposure")).alias("centre"), (F.var_samp("x") / F.avg("x")).alias("ratio"))

@@ -70,8 +70,8 @@ def cumulative_incidence(spells: DataFrame, causes: tuple[str, ...], outcome: st
     return t.select("t", "at_risk", F.col("s").alias("still_open"), long.alias("x")).select("t", "at_risk", "x.cause", "x.incidence", "still_open")
 
 
-def logrank_parts(spells: DataFrame, group: str, levels: tuple[str, ...], event: str) -> DataFrame:
-    """Observed, expected and variance of events per declared level of group (hypergeometric, ties allowed)."""
+def logrank_times(spells: DataFrame, group: str, levels: tuple[str, ...], event: str) -> DataFrame:
+    """A row per event time and declared level of group: n at risk and d events in it, n_all and d_all in all."""
     times = risk_table(spells, {"d": event}).where("d > 0").select("t", F.col("d").alias("d_all"), F.col("at_risk").alias("n_all"))
     own = risk_table(spells, {"d": event}, (group,)).select(group, F.col("t").alias("t_own"), "d")
     # The group's risk set at every event time: entries before it less exits before it.
@@ -83,7 +83,12 @@ def logrank_parts(spells: DataFrame, group: str, levels: tuple[str, ...], event:
     points = grid.select(group, "t", "d_all", "n_all").unionByName(marks, allowMissingColumns=True).groupBy(group, "t").agg(*[F.max(c).alias(c) for c in ("d_all", "n_all", "enter", "leave")])
     before = Window.partitionBy(group).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     n = F.coalesce(F.sum("enter").over(before), F.lit(0)) + F.when(F.col("t") <= 0, F.coalesce("enter", F.lit(0))).otherwise(0) - F.coalesce(F.sum("leave").over(before), F.lit(0))
-    at = points.withColumn("n", n).where("d_all is not null").join(own.withColumnRenamed(group, "_own"), (F.col(group) == F.col("_own")) & (F.col("t") == F.col("t_own")), "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    return points.withColumn("n", n).where("d_all is not null").join(own.withColumnRenamed(group, "_own"), (F.col(group) == F.col("_own")) & (F.col("t") == F.col("t_own")), "left").withColumn("d", F.coalesce("d", F.lit(0)))
+
+
+def logrank_parts(spells: DataFrame, group: str, levels: tuple[str, ...], event: str) -> DataFrame:
+    """Observed, expected and variance of events per declared level of group (hypergeometric, ties allowed)."""
+    at = logrank_times(spells, group, levels, event)
     share = F.col("n") / F.col("n_all")
     var = F.when(F.col("n_all") > 1, F.col("d_all") * (F.col("n_all") - F.col("d_all")) / (F.col("n_all") - 1) * share * (1 - share)).otherwise(0.0)
     return at.groupBy(group).agg(F.sum("d").alias("observed"), F.sum(F.col("d_all") * share).alias("expected"), F.sum(var).alias("variance"))

@@ -64,6 +64,18 @@ def _(spark, d):
     return I.logrank_test(s, "g", ("fast", "slow"), "outcome = 'resolved'")
 
 
+@query("survival_logrank_compare", _SPELLS + """,
+ar AS (SELECT *, CASE WHEN category < '2' THEN 'a' WHEN category < '4' THEN 'b' ELSE 'c' END AS g FROM sp WHERE leave > entry OR entry <= 0), tt AS (SELECT DISTINCT leave AS t FROM ar WHERE outcome = 'resolved'),
+nn AS (SELECT t, count(*) AS n, count(*) FILTER (leave = t AND outcome = 'resolved') AS dd, count(*) FILTER (g = 'a') / count(*) AS sa, count(*) FILTER (g = 'b') / count(*) AS sb, count(*) FILTER (g = 'a' AND leave = t AND outcome = 'resolved') AS da, count(*) FILTER (g = 'b' AND leave = t AND outcome = 'resolved') AS db
+  FROM tt JOIN ar ON leave >= t AND (entry < t OR (t <= 0 AND entry <= 0)) GROUP BY t),
+ff AS (SELECT *, CASE WHEN n > 1 THEN dd * (n - dd) / (n - 1) ELSE 0 END AS f FROM nn), uu AS (SELECT sum(da - dd * sa) AS ua, sum(db - dd * sb) AS ub, sum(f * sa * (1 - sa)) AS vaa, sum(f * sb * (1 - sb)) AS vbb, -sum(f * sa * sb) AS vab, sum(dd)::BIGINT AS events FROM ff),
+cc AS (SELECT events, (ua * ua * vbb - 2 * ua * ub * vab + ub * ub * vaa) / (vaa * vbb - vab * vab) AS chi2 FROM uu)
+--select SELECT chi2, 2 AS df, 3 AS groups, (SELECT count(*) FROM ar) AS n, events, exp(-chi2 / 2) AS p_value FROM cc""", "chi2 p_value")
+def logrank_compare(spark, d):
+    s = _spells(spark, d).withColumn("g", F.when(F.col("category") < "2", "a").when(F.col("category") < "4", "b").otherwise("c"))
+    return I.logrank_groups(s, "g", "outcome = 'resolved'")
+
+
 @query("survival_cox_hazard_ratios")
 def cox_hazard_ratios(spark, d):
     s = _spells(spark, d).withColumn("priority", F.substring("category", 1, 1).cast("double")).withColumn("opened_year", (F.col("opened") / 365.25 - 26).cast("double"))

@@ -122,3 +122,26 @@ def test_adapters_count_what_they_do_not_know(spark, tmp_path):
     assert D.manifest(spark, f"file://{tmp_path}/m.json", "name string, packs array<string>").first().packs == ["a", "b"]
     a, b = spark.range(1).select(D.pseudonym(F.lit(5), "member", "k"), D.pseudonym(F.lit(5), "asset", "k")).first()
     assert a[0] == "m" and a[2:] != b[2:] and len(a) == 18
+
+
+def test_logrank_of_groups_equals_plain_sums(spark):
+    rng = np.random.default_rng(11)
+    g, entry = rng.integers(0, 4, 400), np.where(rng.random(400) < 0.2, rng.integers(1, 4, 400), 0)
+    out = entry + 1 + rng.exponential(6 + g, 400).astype(int)
+    event = rng.random(400) < 0.7
+    u, v = np.zeros(4), np.zeros((4, 4))
+    for t in np.unique(out[event]):
+        risk = ((entry < t) | ((t <= 0) & (entry <= 0))) & (out >= t)
+        n, d = risk.sum(), (event & (out == t)).sum()
+        share = np.array([(risk & (g == i)).sum() / n for i in range(4)])
+        u += [(event & (out == t) & (g == i)).sum() - d * share[i] for i in range(4)]
+        v += (d * (n - d) / (n - 1) if n > 1 else 0) * (np.diag(share) - np.outer(share, share))
+    want = u[:3] @ np.linalg.solve(v[:3, :3], u[:3])
+    rows = [(None if i == 3 else str(i), int(a), int(b), bool(e)) for i, a, b, e in zip(g, entry, out, event, strict=True)]
+    d = spark.createDataFrame(rows, "g string, entry int, exit int, ev boolean")
+    r = I.logrank_groups(d, "g", "ev").first()
+    assert abs(r.chi2 - want) < 1e-8 and (r.df, r.groups, r.n, r.events) == (3, 4, 400, event.sum()) and 0 < r.p_value < 1
+    two = I.logrank_groups(d.where("g in ('0', '1')"), "g", "ev").first()
+    assert abs(two.chi2 - I.logrank_test(d.where("g in ('0', '1')"), "g", ("0", "1"), "ev").first().chi2) < 1e-8
+    one = I.logrank_groups(d.where("g = '0'"), "g", "ev").first()
+    assert (one.chi2, one.df, one.p_value) == (0.0, 0, None) and I.logrank_groups(d.limit(0), "g", "ev").first().groups == 0
