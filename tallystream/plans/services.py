@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallystream.functions import budgeting as G
+from tallystream.functions import forecast as D
 from tallystream.functions import inference as I  # noqa: E741
 from tallystream.functions import kernels as K
 from tallystream.functions import networks as N
@@ -586,3 +587,13 @@ def ordinal_logistic(spark, d):
     c = A.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("survey"))
     o = A.table(spark, d, "orders").select("o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), F.month("o_orderdate").alias("month"), (F.col("o_orderstatus") == "O").cast("int").alias("is_open"))
     return O.ordinal_logistic(o.join(c, F.col("o_custkey") == F.col("c_custkey")), ("month", "is_open"))
+
+
+@query("forecast_stl_decompose")
+def stl_decompose(spark, d):
+    """Monthly arrivals of each category, months without any filled with 0."""
+    month = F.trunc(F.date_from_unix_date(F.col("opened").cast("int")), "month")
+    n = _spells(spark, d).groupBy(F.col("category").alias("series"), month.alias("period_start")).agg(F.count(F.lit(1)).alias("n"))
+    span = n.groupBy("series").agg(F.explode(F.sequence(F.min("period_start"), F.max("period_start"), F.expr("interval 1 month"))).alias("period_start"))
+    full = span.join(n, ["series", "period_start"], "left").select("series", "period_start", F.coalesce("n", F.lit(0)).cast("double").alias("x"))
+    return D.stl_decompose(full, "series", season=12)
