@@ -17,6 +17,7 @@ from tallystream.functions import special as P
 from tallystream.functions import statistics as S
 from tallystream.functions import survival as V
 from tallystream.functions import topics as T
+from tallystream.operators import periods as W
 from tallystream.operators import reducers as R
 from tallystream.operators import spells as L
 from tallystream.plans.catalogue import (
@@ -597,3 +598,26 @@ def stl_decompose(spark, d):
     span = n.groupBy("series").agg(F.explode(F.sequence(F.min("period_start"), F.max("period_start"), F.expr("interval 1 month"))).alias("period_start"))
     full = span.join(n, ["series", "period_start"], "left").select("series", "period_start", F.coalesce("n", F.lit(0)).cast("double").alias("x"))
     return D.stl_decompose(full, "series", season=12)
+
+
+# --- Local time ---------------------------------------------------------------------------------------
+
+
+def _local(period: str, step: str) -> str:
+    return f"""WITH e AS (SELECT o_orderdate::TIMESTAMP AS t FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1999-01-01'), n AS (SELECT date_trunc('{period}', (t AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')::DATE AS p, count(*) AS n FROM e GROUP BY 1),
+w AS (SELECT unnest(generate_series(date_trunc('{period}', (TIMESTAMP '1996-01-01' AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York'), TIMESTAMP '1998-12-31 18:00:00', INTERVAL {step})) AS p), b AS (SELECT p, ((p AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC') AS a, (((p + INTERVAL {step}) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC') AS z FROM w)
+--select SELECT b.p::DATE AS period_start, coalesce(n, 0) AS events, coalesce(n, 0) / (epoch(z - a) / 86400) AS per_day, epoch(z - a) / 86400 AS days, a >= TIMESTAMP '1996-01-01' AND z <= TIMESTAMP '1999-01-01' AS complete FROM b LEFT JOIN n ON n.p = b.p::DATE"""
+
+
+def _order_times(spark, d):
+    return A.table(spark, d, "orders").select(F.col("o_orderdate").alias("at"))
+
+
+@query("reducer_local_weeks", _local("week", "7 DAY"), "per_day days")
+def local_weeks(spark, d):
+    return W.counts_by_period(_order_times(spark, d), "1996-01-01", "1999-01-01", "week", "America/New_York")
+
+
+@query("reducer_local_quarters", _local("quarter", "3 MONTH"), "per_day days")
+def local_quarters(spark, d):
+    return W.counts_by_period(_order_times(spark, d), "1996-01-01", "1999-01-01", "quarter", "America/New_York")
