@@ -135,12 +135,14 @@ def beta_shrink(rates: DataFrame) -> DataFrame:
     return j.select("group_ref", "successes", "trials", "raw", ((F.col("successes") + F.col("mu") * F.col("strength")) / (F.col("trials") + F.col("strength"))).alias("shrunk"), (F.col("trials") / (F.col("trials") + F.col("strength"))).alias("weight"))
 
 
-def gamma_shrink(counts: DataFrame) -> DataFrame:
-    """Gamma-Poisson shrinkage of (group_ref, events, exposure_days) towards the moments prior."""
+def gamma_shrink(counts: DataFrame, posterior: bool = False) -> DataFrame:
+    """Gamma-Poisson shrinkage of (group_ref, events, exposure_days) towards the moments prior; with posterior also its parameters shape and rate."""
     r = counts.where("exposure_days > 0").withColumn("raw", F.col("events") / F.col("exposure_days"))
     prior = r.agg((F.sum("events") / F.sum("exposure_days")).alias("mu"), F.var_samp("raw").alias("v"), F.avg(1 / F.col("exposure_days")).alias("inv"))
     prior = prior.withColumn("rate", F.col("mu") / F.greatest(F.lit(1e-9), F.col("v") - F.col("mu") * F.col("inv"))).withColumn("shape", F.col("mu") * F.col("rate"))
-    return r.crossJoin(F.broadcast(prior)).select("group_ref", "events", "exposure_days", "raw", ((F.col("shape") + F.col("events")) / (F.col("rate") + F.col("exposure_days"))).alias("shrunk"))
+    shape, rate = F.col("shape") + F.col("events"), F.col("rate") + F.col("exposure_days")
+    more = [shape.alias("shape"), rate.alias("rate")] if posterior else []
+    return r.crossJoin(F.broadcast(prior)).select("group_ref", "events", "exposure_days", "raw", (shape / rate).alias("shrunk"), *more)  # one row
 
 
 def e_process(trials: DataFrame, rho: float, alpha: float = 0.05) -> DataFrame:

@@ -21,7 +21,7 @@ from tallystream.operators import periods as W
 from tallystream.operators import reducers as R
 from tallystream.operators import spells as L
 from tallystream.plans.catalogue import (
-    _ARMS, _BALLOTS, _FLOW, _LEDGER, _LIKERT, _MATRIX, _RATES, _SERIES, _SIDES, _SPELLS, _VERDICT, PRIORITIES, _arrivals, _flow, _matrix, _pairs, _responses, _spells, _trials, _two_years, query,
+    _ARMS, _BALLOTS, _FLOW, _LEDGER, _LIKERT, _MATRIX, _RATES, _SERIES, _SIDES, _SPELLS, _VERDICT, PRIORITIES, _arrivals, _count_observations, _flow, _matrix, _pairs, _responses, _spells, _trials, _two_years, query,
 )
 from tallystream.sources import streams as A
 
@@ -621,3 +621,16 @@ def local_weeks(spark, d):
 @query("reducer_local_quarters", _local("quarter", "3 MONTH"), "per_day days")
 def local_quarters(spark, d):
     return W.counts_by_period(_order_times(spark, d), "1996-01-01", "1999-01-01", "quarter", "America/New_York")
+
+
+# --- Credible intervals -------------------------------------------------------------------------------
+
+
+@query("bayes_beta_binomial_intervals")
+def beta_intervals(spark, d):
+    return I.beta_credible(R.rate_observations(_spells(spark, d), "assignee_ref", _VERDICT))
+
+
+@query("bayes_gamma_poisson_intervals")
+def gamma_intervals(spark, d):
+    return I.gamma_credible(_count_observations(spark, d))

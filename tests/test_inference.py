@@ -145,3 +145,34 @@ def test_logrank_of_groups_equals_plain_sums(spark):
     assert abs(two.chi2 - I.logrank_test(d.where("g in ('0', '1')"), "g", ("0", "1"), "ev").first().chi2) < 1e-8
     one = I.logrank_groups(d.where("g = '0'"), "g", "ev").first()
     assert (one.chi2, one.df, one.p_value) == (0.0, 0, None) and I.logrank_groups(d.limit(0), "g", "ev").first().groups == 0
+
+
+def test_credible_intervals_hold_their_mass(spark):
+    rng = np.random.default_rng(2)
+    rates = [(str(i), int(rng.binomial(n, p)), int(n)) for i, (n, p) in enumerate(zip(rng.integers(5, 80, 12), rng.beta(3, 7, 12), strict=True))]
+    x = np.linspace(0, 1, 400_001)[1:-1]
+    for r in I.beta_credible(spark.createDataFrame(rates, "group_ref string, successes long, trials long")).collect():
+        size = r.trials / r.weight
+        log = (r.shrunk * size - 1) * np.log(x) + ((1 - r.shrunk) * size - 1) * np.log(1 - x)
+        w = np.exp(log - log.max())
+        w /= w.sum()
+        assert abs(w[x < r.lower].sum() - 0.025) < 1e-4 and abs(w[x > r.upper].sum() - 0.025) < 1e-4 and r.lower < r.shrunk < r.upper
+    counts = [(str(i), int(rng.poisson(t * lam)), float(t)) for i, (t, lam) in enumerate(zip(rng.integers(20, 400, 10), rng.gamma(4, 0.05, 10), strict=True))]
+    d = spark.createDataFrame(counts, "group_ref string, events long, exposure_days double")
+    full = {r.group_ref: r for r in S.gamma_shrink(d, posterior=True).collect()}
+    for r in I.gamma_credible(d).collect():
+        f = full[r.group_ref]
+        y = np.linspace(0, f['shape'] / f.rate * 6, 400_001)[1:]
+        log = (f["shape"] - 1) * np.log(y) - f.rate * y
+        w = np.exp(log - log.max())
+        w /= w.sum()
+        assert abs(w[y < r.lower].sum() - 0.025) < 1e-4 and abs(w[y > r.upper].sum() - 0.025) < 1e-4 and r.lower < r.shrunk < r.upper
+
+
+def test_narrow_posteriors_agree_with_exact_quantiles(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(*[f(q, F.lit(1500.0), F.lit(x)) for q in (0.025, 0.975) for f, x in ((I._gamma_quantile, 3.0), (I._beta_quantile, 4000.0))]).first()
+    draws = np.random.default_rng(1)
+    g, b = draws.gamma(1500, 1 / 3, 2_000_000), draws.beta(1500, 4000, 2_000_000)
+    assert np.allclose(row, [np.quantile(g, 0.025), np.quantile(b, 0.025), np.quantile(g, 0.975), np.quantile(b, 0.975)], rtol=4e-4)
