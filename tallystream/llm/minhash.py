@@ -32,6 +32,8 @@ from tallystream.llm.textkernel import shingle_hashes, slices, utf8_view, word_h
 
 #: Registers, and registers to a band.  Sets with a similarity of 0.8 share a band with a chance of 1 - 5e-8.
 REGISTERS, BAND = 128, 4
+#: Kinds of buckets that choose their hubs alike.
+HUBS = 8
 #: SetSketch's base, rate and largest register value.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 _rng = np.random.Generator(np.random.PCG64(8191))
@@ -158,7 +160,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         "doc_id",
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * step + 1, F.lit(step))))).alias("bucket"),
     )
-    hubs = bands.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Buckets of one kind prefer the same members, so the members of a large group meet few hubs, however many bands they share.
+    hubs = bands.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.pmod("bucket", F.lit(HUBS)))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(bands.join(hubs.select("bucket", "hub"), "bucket"))
     wanted = members.select("doc_id").distinct()
     sets = written(
