@@ -10,7 +10,9 @@ Sketches of two sets merge by the larger register, and two registers agree about
    similarity.  Pairs five standard errors under the threshold go, all others are confirmed on full sets.
 4. Buckets whose members are still in more than one component are finished exactly: over their documents, two sets
    that reach the threshold share one of their rarest shingles at positions that leave room for the needed
-   overlap.  Such pairs are confirmed on full sets, too.  No bucket is capped; sets that share only common shingles do not meet.
+   overlap.  Within a family (components that a hub's likely pairs join) sets are written as their differences from the
+   family's usual shingles, which are few and rare, so members that differ from each other do not meet over what all of them share.
+   Such pairs are confirmed on full sets, too.  No bucket is capped; sets that share only common shingles do not meet.
 5. Components by large-star and small-star steps.
 """
 
@@ -139,6 +141,95 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _within_families(docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents (doc_id, component, family, shingles) of one family and different components: all that may reach the threshold, as far as they join components.
+
+    With D = set ^ usual, |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, whatever the usual shingles are.  So x and y reach the threshold if, and only if,
+    2 (100 + percent) |Dx & Dy| >= cost(x) + cost(y), where cost = 2 percent n - (100 + percent) (n - |D|).  What reaches it without any shared difference does
+    so with the member of least cost, the centre; the components of these members are the core.  All other pairs share one of their rarest differences.
+    """
+    scale = 100 + percent
+    families = docs.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("family", "size")
+    left, right = spread(docs, families, "family", docs.count())
+    inside = written(left.join(right, ["family", "salt"]).drop("salt"))
+    rows = inside.count()
+    # More than half of the members have each usual shingle, so there are less than twice as many as in a mean set.
+    usual = inside.select("family", "size", F.explode("shingles").alias("t")).groupBy("family", "t").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where("2 * n > size")
+    usual = inside.select("family").distinct().join(usual, "family", "left").groupBy("family").agg(F.collect_list("t").alias("usual"))
+    left, right = spread(inside, usual, "family", rows)
+    apart = written(
+        left.join(right, ["family", "salt"])
+        .select("doc_id", "component", "family", F.size("shingles").cast("long").alias("n"), F.concat(F.array_except("shingles", "usual"), F.array_except("usual", "shingles")).alias("apart"))
+        .withColumn("d", F.size("apart").cast("long"))
+        .withColumn("cost", 2 * percent * F.col("n") - scale * (F.col("n") - F.col("d")))
+    )
+    drop(inside)
+    centres = apart.groupBy("family").agg(F.min("cost").alias("least"), F.min_by("doc_id", F.struct("cost", "doc_id")).alias("centre"))
+    left, right = spread(apart.select("doc_id", "component", "family", "cost"), centres, "family", rows)
+    near = written(left.join(right, ["family", "salt"]).where("cost + least <= 0").select("doc_id", "component", "centre"))
+    core = near.select("component").distinct().withColumn("core", F.lit(True))
+    left, right = spread(apart, core, "component", rows)
+    sided = written(left.join(right, ["component", "salt"], "left").withColumn("core", F.coalesce("core", F.lit(False))).drop("salt"))
+    drop(apart)
+    bounds = sided.groupBy("family").agg(F.min("cost").alias("least"), F.min(F.when(~F.col("core"), F.col("cost"))).alias("outer")).where("outer is not null")
+    left, right = spread(sided, bounds, "family", rows)
+    bound = F.col("cost") + F.when(F.col("core"), F.col("outer")).otherwise(F.col("least"))
+    parts = written(left.join(right, ["family", "salt"]).select("doc_id", "component", "family", "core", "n", "d", "cost", bound.alias("bound"), F.explode("apart").alias("t")))
+    # A difference that only one component or only the core has joins nothing; it stands for the rarest kind in the order.
+    often = parts.groupBy("family", "t").agg(
+        F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("core").alias("all_core")
+    ).where("lo < hi and not all_core")
+    order = Window.partitionBy("doc_id").orderBy("df", "t")
+    prefix = written(
+        parts.join(often.select("family", "t", "df"), ["family", "t"], "left")
+        .withColumn("df", F.coalesce("df", F.lit(1)))
+        .withColumn("left", F.col("d") - F.row_number().over(order) + 1)
+        .where((F.col("df") > 1) & (2 * scale * F.col("left") >= F.col("bound")))
+        .select("doc_id", "component", "core", "n", "cost", "left", F.xxhash64("family", "t").alias("t"))
+    )
+    x, y = (prefix.select(F.col("t"), *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "core", "n", "cost", "left"))) for k in "ab")
+    x, y = spread(x.where("not core_a"), y, "t", prefix.count())
+    met = (
+        x.join(y, ["t", "salt"])
+        .where((F.col("component_a") != F.col("component_b")) & (F.col("core_b") | (F.col("doc_id_b") < F.col("doc_id_a"))))
+        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        .where(2 * scale * F.least("left_a", "left_b") >= F.col("cost_a") + F.col("cost_b"))
+        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    )
+    met = written(met.unionByName(near.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))).distinct())
+    drop(near, sided, parts, prefix)
+    return met
+
+
+def _across_families(docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents (doc_id, family, shingles) of different families: all that may reach the threshold."""
+    tokens = written(docs.select("doc_id", "family", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("t")))
+    # Of the members of the family that has a shingle most often, none need look for each other.
+    often = tokens.groupBy("t", "family").agg(F.count(F.lit(1)).alias("df")).groupBy("t").agg(
+        F.sum("df").alias("df"), F.max_by("family", F.struct("df", "family")).alias("most"), F.count(F.lit(1)).alias("families")
+    ).where("families > 1")
+    # A shingle in one family only can't join two; it stands for the rarest kind (df 1) in the order.
+    order = Window.partitionBy("doc_id").orderBy("df", "t")
+    prefix = written(
+        tokens.join(often.select("t", "df", "most"), "t", "left")
+        .withColumn("df", F.coalesce("df", F.lit(1)))
+        .withColumn("left", F.col("n") - F.row_number().over(order) + 1)
+        .where((F.col("df") > 1) & (100 * F.col("left") >= percent * F.col("n")))
+        .select("doc_id", "family", "n", "t", "left", (F.col("family") == F.col("most")).alias("lead"))
+    )
+    x, y = (prefix.select(F.col("t"), *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "family", "n", "left", "lead"))) for k in "ab")
+    x, y = spread(x.where("not lead_a"), y, "t", prefix.count())
+    met = written(
+        x.join(y, ["t", "salt"])
+        .where((F.col("family_a") != F.col("family_b")) & (F.col("lead_b") | (F.col("doc_id_b") < F.col("doc_id_a"))))
+        .where((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
+        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+        .distinct()
+    )
+    drop(tokens, prefix)
+    return met
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """Group texts whose distinct `width`-word shingle sets have a Jaccard similarity of at least percent/100.
 
@@ -173,7 +264,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     ra, rb = (reps.select(F.col("doc_id").alias(x), F.col("regs").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
     j = percent / 100
     least = j - 5 * math.sqrt(j * (1 - j) / REGISTERS)
-    likely = (
+    likely = written(
         pairs.join(ra, "a").join(rb, "b")
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         .where(_likely(least)("ra", "rb", "na", "nb"))
@@ -187,38 +278,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     labelled = label(members.select("bucket", "doc_id"), "doc_id")
     open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     unsettled = labelled.join(open_buckets, "bucket", "left_semi").select("doc_id", "component").distinct()
-    tokens = sets.join(unsettled, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
-    tokens = written(tokens)
-    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    # A shingle in one component only can't join two; it stands for the rarest kind (df 1) in the order.
-    order = Window.partitionBy("doc_id").orderBy("df", "t")
-    prefix = (
-        tokens.join(often.select("t", "df"), "t", "left")
-        .withColumn("df", F.coalesce("df", F.lit(1)))
-        .withColumn("at", F.row_number().over(order) - 1)
-        .where((F.col("df") > 1) & (100 * (F.col("n") - F.col("at")) >= percent * F.col("n")))
-        .select("doc_id", "component", "n", "t", "at")
-    )
-    prefix = written(prefix)
-    # Of a pair the smaller set is found by a shorter prefix: (1 + j) of the needed overlap is at least 2 j of its own size.
-    x, y = (prefix.select(F.col("t"), *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "n", "at"))) for k in "ab")
-    y = y.where((100 + percent) * (F.col("n_b") - F.col("at_b")) >= 2 * percent * F.col("n_b"))
-    room = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= percent * (F.col("n_a") + F.col("n_b"))
-    smaller = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("doc_id_b") < F.col("doc_id_a")))
-    x, y = spread(x, y, "t", prefix.count())
-    rest = (
-        x.join(y, ["t", "salt"])
-        .where(smaller & (F.col("component_a") != F.col("component_b")) & room)
-        .select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
-        .distinct()
-    )
+    # A family is what the pairs join that look alike and are not linked; any partition would do, as other pairs are looked for across families.
+    alike = label(label(likely, "a").select("b", F.col("component").alias("u")), "b").select("u", F.col("component").alias("v"))
+    family = connected_components(alike).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    unsettled = unsettled.join(family, "component", "left").withColumn("family", F.coalesce("family", "component"))
+    unsettled = written(sets.join(unsettled, "doc_id"))
+    within, across = _within_families(unsettled, percent), _across_families(unsettled, percent)
+    rest = within.unionByName(across)
     more = written(_confirmed(rest, sets, percent))
-    across = label(label(more, "u").select(F.col("component").alias("u"), "v"), "v").select("u", F.col("component").alias("v"))
-    second = connected_components(across).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    merged = label(label(more, "u").select(F.col("component").alias("u"), "v"), "v").select("u", F.col("component").alias("v"))
+    second = connected_components(merged).select(F.col("node").alias("component"), F.col("component").alias("final"))
     of_class = label(classes.select("digest", "id", F.col("rep").alias("doc_id")), "doc_id").join(second, "component", "left").select("digest", "id", F.coalesce("final", "component").alias("component"))
     least_id = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
     labels = written(of_class.select("digest", "component").join(least_id, "component").select("digest", "component_id"))
-    drop(reps, members, sets, edges, first, tokens, prefix, more)
+    drop(reps, members, sets, likely, edges, first, unsettled, within, across, more)
     own = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return (
         sk.select("id", "n_shingles", "digest").join(labels, "digest", "left")

@@ -72,6 +72,23 @@ def test_near_duplicates_find_every_link_of_a_spread_out_group(spark):
     assert got == want
 
 
+def test_members_of_a_family_do_not_all_meet(spark, monkeypatch):
+    """Edits of a text that is not there itself: most pairs are a little under the threshold, and hubs leave nearly all of them open."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(160):
+        own = list(words)
+        for k in rng.choice(150, 2 if i % 40 == 0 else 3, replace=False):
+            own[k] = f"e{rng.integers(1 << 40)}"
+        texts.append((i, " ".join(own)))
+    met, confirmed = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *rest: (met.append(pairs.count()), confirmed(pairs, *rest))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), width=4).collect()}
+    assert got == components_of(texts, 4, 80)
+    assert met[1] < 160 * 159 / 2 / 5
+
+
 def test_texts_that_share_a_doc_id_or_have_none_are_linked(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (None, b + " else"), (None, "other words that nobody shares at all"), (None, None), (9, None)]
