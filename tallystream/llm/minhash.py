@@ -36,6 +36,8 @@ from tallystream.llm.textkernel import shingle_hashes, slices, utf8_view, word_h
 REGISTERS, BAND = 128, 4
 #: Kinds of buckets that choose their hubs alike.
 HUBS = 8
+#: Salts of a hot shingle or difference: its rows on the other side are repeated so many times.
+SALTS = 8
 #: SetSketch's base, rate and largest register value.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 _rng = np.random.Generator(np.random.PCG64(8191))
@@ -188,7 +190,7 @@ def _within_families(docs: DataFrame, percent: int) -> DataFrame:
         .select("doc_id", "component", "core", "n", "cost", "left", F.xxhash64("family", "t").alias("t"))
     )
     x, y = (prefix.select(F.col("t"), *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "component", "core", "n", "cost", "left"))) for k in "ab")
-    x, y = spread(x.where("not core_a"), y, "t", prefix.count())
+    x, y = spread(x.where("not core_a"), y, "t", prefix.count(), salts=SALTS)
     met = (
         x.join(y, ["t", "salt"])
         .where((F.col("component_a") != F.col("component_b")) & (F.col("core_b") | (F.col("doc_id_b") < F.col("doc_id_a"))))
@@ -218,7 +220,7 @@ def _across_families(docs: DataFrame, percent: int) -> DataFrame:
         .select("doc_id", "family", "n", "t", "left", (F.col("family") == F.col("most")).alias("lead"))
     )
     x, y = (prefix.select(F.col("t"), *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "family", "n", "left", "lead"))) for k in "ab")
-    x, y = spread(x.where("not lead_a"), y, "t", prefix.count())
+    x, y = spread(x.where("not lead_a"), y, "t", prefix.count(), salts=SALTS)
     met = written(
         x.join(y, ["t", "salt"])
         .where((F.col("family_a") != F.col("family_b")) & (F.col("lead_b") | (F.col("doc_id_b") < F.col("doc_id_a"))))

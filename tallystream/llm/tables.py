@@ -63,7 +63,7 @@ def drop(*tables: DataFrame) -> None:
 HEAVY, SPREAD = 2048, 64
 
 
-def spread(left: DataFrame, right: DataFrame, key: str, rows: int, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def spread(left: DataFrame, right: DataFrame, key: str, rows: int, counts: DataFrame | None = None, salts: int = SPREAD) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join on key with a column salt to join on, too: rows of left with a heavy key are dealt over salts, those of right go to all.
 
     rows is the number of rows of left, or more; counts may give the number n of rows by key, or more, if it is known.  A key is heavy with more than rows / HEAVY of them, so there are no more than HEAVY of these to broadcast.
@@ -71,9 +71,9 @@ def spread(left: DataFrame, right: DataFrame, key: str, rows: int, counts: DataF
     counts = counts if counts is not None else left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     heavy = counts.where(F.col("n") > max(64, rows // HEAVY)).select(F.col(key).alias("heavy"))
     mark = lambda d: d.join(F.broadcast(heavy), F.col(key) == F.col("heavy"), "left")
-    salt = F.when(F.col("heavy").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")).otherwise(0)
-    salts = F.when(F.col("heavy").isNotNull(), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    return mark(left).withColumn("salt", salt).drop("heavy"), mark(right).withColumn("salt", F.explode(salts)).drop("heavy")
+    salt = F.when(F.col("heavy").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)
+    each = F.when(F.col("heavy").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return mark(left).withColumn("salt", salt).drop("heavy"), mark(right).withColumn("salt", F.explode(each)).drop("heavy")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
