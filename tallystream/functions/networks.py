@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallystream.functions.adjacency import shortest_path_shares
 from tallystream.functions.statistics import spread
 from tallystream.sources.stages import Stages
 
@@ -125,41 +126,19 @@ def degree_null(edges: DataFrame, seed: int, edges_a_block: int = 1 << 14) -> Da
 
 
 def betweenness(edges: DataFrame, *, pivots: int | None = None, normalised: bool = True) -> DataFrame:
-    """(member_ref, betweenness, degree): shortest paths through each node, by breadth-first frontiers from all sources at once.
+    """(member_ref, betweenness, degree): shortest paths through each node, from all sources.
 
-    Paths count ties, not weights.  Each round joins the frontier (source, node, paths) with the ties; on the way back every node gives its predecessors their share of the paths.  Rows
-    are sources * nodes; with `pivots` that many nodes, chosen by a hash of their name, are sources, and sums are scaled by nodes / pivots: an estimate whose standard error falls with the
-    root of pivots.  normalised divides by (n - 1)(n - 2) / 2 pairs, so that the centre of a star has 1.  No edges give no rows.
+    Paths count ties, not weights.  Connected parts are walked by kernels that hold a part's ties in a file (`adjacency.Walk`), dealt by sources; the work is that of a breadth-first search
+    a source, so it grows with the square of a part's nodes, memory with the nodes.  With `pivots` that many nodes, chosen by a hash of their name, are sources, and sums are scaled by
+    nodes / pivots: an estimate whose standard error falls with the root of pivots.  normalised divides by (n - 1)(n - 2) / 2 pairs, so that the centre of a star has 1.  No edges give no rows.
     """
-    spark = edges.sparkSession
-    s = Stages(spark)
-    ties = s.step(both_ways(edges.withColumn("weight", F.lit(1.0))).select("a", "b"))
-    degrees = s.step(ties.groupBy(F.col("a").alias("member_ref")).agg(F.count(F.lit(1)).alias("degree")))
-    n = degrees.count()
-    sources = degrees.select(F.col("member_ref").alias("source"))
-    if pivots is not None:
-        sources = sources.orderBy(F.xxhash64("source"), "source").limit(pivots)
-    frontier = s.step(sources.select("source", F.col("source").alias("node"), F.lit(1.0).alias("paths")))
-    rounds, seen = [frontier], frontier.select("source", "node")
-    while True:
-        reached = frontier.join(ties, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
-        # A neighbour lies at the next distance, this one or the one before: only these two can have been seen.
-        for old in rounds[-2:]:
-            reached = reached.join(old.select("source", "node"), ["source", "node"], "left_anti")
-        frontier = s.step(reached)
-        if frontier.isEmpty():
-            break
-        rounds.append(frontier)
-    share = rounds[-1].withColumn("share", F.lit(0.0))
-    total = share.where("source <> node").select("node", "share")
-    for near in reversed(rounds[:-1]):
-        back = share.join(ties, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), ((1 + F.col("share")) / F.col("paths")).alias("gives"))
-        got = back.groupBy("source", "node").agg(F.sum("gives").alias("gives"))
-        share = s.step(near.join(got, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("gives", F.lit(0.0))).alias("share")))
-        total = total.unionByName(share.where("source <> node").select("node", "share"))
+    s = Stages(edges.sparkSession)
+    ties = s.step(edges.where("a_ref <> b_ref").select(F.least("a_ref", "b_ref").alias("a"), F.greatest("a_ref", "b_ref").alias("b")).distinct())
+    some = None if pivots is None else lambda nodes: nodes.orderBy(F.xxhash64("node"), "node").limit(pivots)
+    shares = s.step(shortest_path_shares(s, ties, some))
+    n = shares.count()
     scale = n / max(1, min(pivots, n)) if pivots is not None else 1.0
     pairs = (n - 1) * (n - 2) / 2 if normalised and n > 2 else 1.0
-    sums = total.groupBy(F.col("node").alias("member_ref")).agg((F.sum("share") * scale / 2 / pairs).alias("betweenness"))
-    out = s.step(degrees.join(sums, "member_ref", "left").select("member_ref", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), "degree"))
+    out = s.step(shares.select(F.col("node").alias("member_ref"), (F.col("share") * scale / 2 / pairs).alias("betweenness"), F.col("df").alias("degree")))
     s.close(out)
     return out

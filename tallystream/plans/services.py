@@ -328,17 +328,13 @@ def louvain_communities(spark, d):
     return N.communities(_ties(spark, d), sweeps=15, levels=6)
 
 
-#: Sources of the shortest paths; with fewer members than that betweenness is exact.
-PIVOTS = 128
-
-
 @query("network_betweenness_centrality", """WITH s AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS m FROM lineitem), t AS MATERIALIZED (SELECT DISTINCT a.m AS a, b.m AS b FROM s a JOIN s b ON a.o = b.o AND a.m <> b.m),
 w1 AS MATERIALIZED (SELECT a AS s, b AS v, 1 AS d, 1::DOUBLE AS k FROM t), x2 AS MATERIALIZED (SELECT s, b AS v, 2 AS d, sum(k) AS k FROM w1 JOIN t ON a = v WHERE b <> s GROUP BY s, b), w2 AS MATERIALIZED (SELECT * FROM x2 ANTI JOIN w1 USING (s, v)),
 x3 AS MATERIALIZED (SELECT s, b AS v, 3 AS d, sum(k) AS k FROM w2 JOIN t ON a = v WHERE b <> s GROUP BY s, b), w3 AS MATERIALIZED (SELECT * FROM x3 ANTI JOIN w1 USING (s, v) ANTI JOIN w2 USING (s, v)),
 p AS MATERIALIZED (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3), c AS (SELECT sv.v, sum(sv.k * vt.k / st.k) / 2 AS x FROM p st JOIN p sv ON sv.s = st.s AND sv.d < st.d JOIN p vt ON vt.s = sv.v AND vt.v = st.v AND vt.d = st.d - sv.d GROUP BY 1),
 n AS (SELECT a AS member_ref, count(*) AS degree FROM t GROUP BY 1) --select SELECT member_ref, coalesce(x, 0) / greatest((count(*) OVER () - 1) * (count(*) OVER () - 2) / 2, 1) AS betweenness, degree FROM n LEFT JOIN c ON v = member_ref""", "betweenness")
 def betweenness_centrality(spark, d):
-    return N.betweenness(_ties(spark, d), pivots=PIVOTS)
+    return N.betweenness(_ties(spark, d))
 
 
 @query("segmentation_adjusted_rand", """WITH t AS (SELECT c_mktsegment AS a, c_nationkey AS b, count(*) AS n FROM customer GROUP BY 1, 2), s AS (SELECT sum(n * (n - 1) / 2) AS ij, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM t GROUP BY a)) AS i, (SELECT sum(k * (k - 1) / 2) FROM (SELECT sum(n) AS k FROM t GROUP BY b)) AS j, sum(n) * (sum(n) - 1) / 2 AS al FROM t)

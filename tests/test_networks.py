@@ -104,3 +104,56 @@ def test_random_graph_in_parts_and_pivots(spark):
     assert {r.member_ref: r.betweenness for r in N.betweenness(d, normalised=False, pivots=len(want)).collect()} == pytest.approx(got)
     some = {r.member_ref: r.betweenness for r in N.betweenness(d, normalised=False, pivots=20).collect()}
     assert sum(some.values()) == pytest.approx(sum(want.values()), rel=0.4)
+
+
+def ties_of(pairs):
+    ties = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            ties[a].add(b)
+            ties[b].add(a)
+    return ties
+
+
+def test_registered_betweenness_takes_every_member_as_a_source(spark, tmp_path):
+    from tallystream.plans.services import betweenness_centrality
+
+    rng = random.Random(5)
+    lines = [(o, rng.randrange(180)) for o in range(400) for _ in range(2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = brandes(ties_of([(x[1], y[1]) for x, y in zip(lines[::2], lines[1::2])]))
+    got = {r.member_ref: r.betweenness for r in betweenness_centrality(spark, str(tmp_path)).collect()}
+    pairs = (len(want) - 1) * (len(want) - 2) / 2
+    assert len(want) > 128 and got == pytest.approx({m: x / pairs for m, x in want.items()}, abs=1e-12)
+
+
+@pytest.mark.parametrize(("nodes", "ties", "piece"), [(60, 70, 5), (60, 900, 64), (40, 780, 1 << 20)])
+def test_walk_by_pieces_from_either_side(nodes, ties, piece):
+    import numpy as np
+
+    from tallystream.functions.adjacency import Walk
+
+    rng = random.Random(ties)
+    of = ties_of([(i, (i + 1) % nodes) for i in range(nodes)] + [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(ties)])
+    walk = Walk(np.cumsum([0] + [len(of[i]) for i in range(nodes)]), np.array([b for i in range(nodes) for b in sorted(of[i])], np.int32))
+    walk.piece = piece
+    got = np.zeros(nodes)
+    for source in range(nodes):
+        inner, share = walk.shares(source)
+        got[inner] += share / 2
+    want = brandes(of)
+    assert got.tolist() == pytest.approx([want[i] for i in range(nodes)], abs=1e-9)
+
+
+def test_large_parts_are_dealt_and_small_ones_packed(spark, monkeypatch):
+    from tallystream.functions import adjacency
+
+    monkeypatch.setattr(adjacency, "SMALL", 4)
+    monkeypatch.setattr(adjacency, "UNIT", 50)
+    monkeypatch.setattr(adjacency, "ROW", 3)
+    rng = random.Random(11)
+    pairs = [(f"g{rng.randrange(25)}", f"g{rng.randrange(25)}") for _ in range(60)] + [(f"s{i}-{j}", f"s{i}-{j + 1}") for i in range(9) for j in range(i % 3 + 1)]
+    want = brandes(ties_of(pairs))
+    d = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a_ref string, b_ref string, weight double")
+    got = {r.member_ref: (r.betweenness, r.degree) for r in N.betweenness(d, normalised=False).collect()}
+    assert {m: x for m, (x, _) in got.items()} == pytest.approx(want, abs=1e-9) and {m: k for m, (_, k) in got.items()} == {m: len(t) for m, t in ties_of(pairs).items()}
