@@ -123,6 +123,32 @@ def rows_of_ties(s: Stages, ties: DataFrame, count: int, weighted: bool = False)
     return s.step(kept.mapInArrow(_in_rows(weighted), "base long, a int, ties int, nb array<int>" + ", w array<double>" * weighted))
 
 
+def whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From weighted rows of ties: nodes, their numbers of ties, and neighbours and weights one after another, for whole nodes of about PIECE ties together."""
+    held = None
+    for batch in batches:
+        nb, w = batch.column("nb"), batch.column("w")
+        now = (batch.column("a").to_numpy(), batch.column("ties").to_numpy(), np.diff(nb.offsets.to_numpy()), nb.flatten().to_numpy(), w.flatten().to_numpy())
+        a, ties, lens, nb, w = now if held is None else (np.concatenate(x) for x in zip(held, now, strict=True))
+        if not len(a):
+            continue
+        rows = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        have, ends = np.add.reduceat(lens, rows), np.cumsum(lens)
+        open_ = have[-1] < ties[-1]
+        nodes = len(rows) - int(open_)
+        if (have[:nodes] != ties[rows[:nodes]]).any():
+            raise ValueError("the rows of a node lie apart")
+        cut, at = rows[-1] if open_ else len(a), ends[rows[-1] - 1] if open_ and rows[-1] else 0 if open_ else len(nb)
+        held = (a[cut:], ties[cut:], lens[cut:], nb[at:], w[at:]) if open_ else None
+        stops, i = np.concatenate(([0], np.cumsum(have[:nodes]))), 0
+        while i < nodes:
+            j = max(i + 1, int(np.searchsorted(stops, stops[i] + PIECE, "right")) - 1)
+            yield a[rows[i:j]], have[i:j], nb[stops[i] : stops[j]], w[stops[i] : stops[j]]
+            i = j
+    if held is not None:
+        raise ValueError("the rows of a node lie apart")
+
+
 class Walk:
     """Shortest paths over one pack of parts: ptr, nbr as in a sparse matrix.  Memory is a few numbers a node and PIECE ties; nbr is a file.
 

@@ -1,15 +1,20 @@
-"""Communities and connectors of interaction graphs, as rounds of joins over an edge table.
+"""Communities and connectors of interaction graphs.
 
-Edges are (a_ref, b_ref, weight), undirected; loops are left out, repeated edges add up.  A round is a few joins and aggregates; nothing but counts comes to the driver.
+Edges are (a_ref, b_ref, weight), undirected; loops are left out, repeated edges add up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallystream.functions.adjacency import shortest_path_shares
+from tallystream.functions.adjacency import from_both_ends, named, numbered, rows_of_ties, shortest_path_shares, whole_nodes
 from tallystream.functions.statistics import spread
 from tallystream.sources.stages import Stages
 
@@ -77,18 +82,10 @@ def _start(ties: DataFrame) -> DataFrame:
     return ties.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"), F.count(F.lit(1)).alias("df"))
 
 
-def communities(edges: DataFrame, *, resolution: float = 1.0, sweeps: int = 60, levels: int = 12) -> DataFrame:
-    """Louvain communities: (member_ref, community), community being its smallest member.
-
-    Every node begins on its own.  In a sweep each node looks for the neighbouring community that raises modularity most, and all moves are made that together raise it for sure.  When
-    no node gains, communities become nodes and the sweeps begin again, until a level changes nothing; then single members may still move by themselves.  sweeps (of a level) and levels
-    bound the rounds.  Ties without weight or ends are ignored; nodes without ties do not occur in an edge table; no edges give no rows.
-    """
-    s = Stages(edges.sparkSession)
-    ties = first = s.step(both_ways(edges.where("a_ref is not null and b_ref is not null and weight > 0")))
+def _joined_communities(s: Stages, edges: DataFrame, resolution: float, sweeps: int, levels: int) -> DataFrame:
+    """The rounds of `communities` as joins and aggregates."""
+    ties = first = s.step(both_ways(edges))
     whole = ties.agg(F.sum("w")).first()[0]
-    if whole is None:
-        return ties.select(F.col("a").alias("member_ref"), F.col("b").alias("community"))
     members = s.step(ties.select(F.col("a").alias("member_ref")).distinct().withColumn("community", F.col("member_ref")))
     for _ in range(levels):
         labels, gained = _settled(s, ties, s.step(_start(ties).withColumn("c", F.col("node"))), whole, resolution, sweeps)
@@ -105,7 +102,170 @@ def communities(edges: DataFrame, *, resolution: float = 1.0, sweeps: int = 60,
     labels = s.step(_start(first).join(members.select(F.col("member_ref").alias("node"), F.col("community").alias("c")), "node"))
     labels, _ = _settled(s, first, labels, whole, resolution, sweeps)
     names = labels.groupBy("c").agg(F.min("node").alias("community"))
-    out = s.step(labels.join(names, "c").select(F.col("node").alias("member_ref"), "community"))
+    return labels.join(names, "c").select(F.col("node").alias("member_ref"), "community")
+
+
+#: Nodes whose labels the driver and every task hold; in larger graphs sweeps are joins.
+HELD = 1 << 21
+
+
+def _drawn(hashes: np.ndarray, sweep: int) -> np.ndarray:
+    """Spark's pmod(xxhash64(node, sweep), 2^20) / 2^20 from xxhash64(node)."""
+    one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    x = hashes.view(np.uint64) + five + np.uint64(4)
+    x ^= np.array([sweep], np.uint64) * one
+    x = ((x << np.uint64(23)) | (x >> np.uint64(41))) * two + three
+    x = (x ^ (x >> np.uint64(33))) * two
+    x = (x ^ (x >> np.uint64(29))) * three
+    x ^= x >> np.uint64(32)
+    return (x & np.uint64((1 << 20) - 1)) / float(1 << 20)
+
+
+def _sums(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their w."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[at], np.add.reduceat(w[order], at)
+
+
+def _strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for a, lens, _, w in whole_nodes(batches):
+        yield pa.RecordBatch.from_pydict({"node": pa.array(a), "k": pa.array(np.add.reduceat(w, np.cumsum(lens) - lens))})
+
+
+def _best_moves(state: Broadcast, whole: float, resolution: float):
+    """What `_moves` finds, from rows of ties."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, k, total, size = state.value
+        for a, lens, nb, w in whole_nodes(batches):
+            row = np.repeat(np.arange(len(a)), lens)
+            other = nb != a[row]
+            if not other.any():
+                continue
+            key, links = _sums(row[other] * len(c) + c[nb[other]], w[other])
+            row, to = np.divmod(key, len(c))
+            own, kk = c[a[row]], k[a[row]]
+            stays = to == own
+            free = ~stays & ~((size[to] == 1) & (size[own] == 1) & (to > own))
+            pull = np.where(free, np.round((links - resolution * total[to] * kk / whole) / whole, 15), -np.inf)
+            w_own = np.zeros(len(a))
+            w_own[row[stays]] = links[stays]
+            at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            best = np.flatnonzero(free & (pull == np.repeat(np.maximum.reduceat(pull, at), np.diff(np.append(at, len(row))))))
+            best = best[np.concatenate(([True], row[best][1:] != row[best][:-1]))[: len(best)]]  # of equally good ones the smaller name
+            own, kk = own[best], kk[best]
+            gain = 2 * (pull[best] - (w_own[row[best]] - resolution * (total[own] - kk) * kk / whole) / whole)
+            good = gain > 1e-12
+            yield pa.RecordBatch.from_pydict({"node": pa.array(a[row[best]][good]), "c": pa.array(to[best][good]), "gain": pa.array(gain[good])})
+
+    return run
+
+
+def _made(node: np.ndarray, own: np.ndarray, to: np.ndarray, gain: np.ndarray, k: np.ndarray, drawn: np.ndarray, n: int, whole: float, resolution: float) -> np.ndarray:
+    """Which of the moves `_chosen` chooses."""
+    side, push = np.concatenate((own, to)), np.tile(np.round(-gain, 15), 2)
+    order = np.lexsort((np.tile(node, 2), push, side))
+    first = order[np.concatenate(([True], side[order][1:] != side[order][:-1]))]
+    best, gives = np.full(n, -1), np.zeros(n, bool)
+    best[side[first]], gives[side[first]] = np.tile(node, 2)[first], first < len(node)
+    fair = gives[own] & ~gives[to]
+    top = fair & (best[own] == node) & (best[to] == node)
+    covers = gain * whole**2 / (2 * resolution * k * (np.bincount(own, k, n)[own] + np.bincount(to, k, n)[to]))
+    tried = fair & (top | (covers >= 1) | (drawn < covers / 2))
+    load = np.bincount(own[tried], k[tried], n) + np.bincount(to[tried], k[tried], n)
+    return tried & (top | (gain * whole**2 >= 2 * resolution * k * (load[own] + load[to])))
+
+
+def _contracted(state: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = state.value
+        for a, lens, nb, w in whole_nodes(batches):
+            key, w = _sums(to[np.repeat(a, lens)] * len(to) + to[nb], w)
+            a, b = np.divmod(key, len(to))
+            yield pa.RecordBatch.from_pydict({"base": pa.array(np.zeros(len(a), np.int64)), "a": pa.array(a), "b": pa.array(b), "w": pa.array(w)})
+
+    return run
+
+
+def _labelled(state: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "to": pa.array(state.value[batch.column("id").to_numpy()])})
+
+    return run
+
+
+def _held_communities(s: Stages, nodes: DataFrame, n: int, first: DataFrame, resolution: float, sweeps: int, levels: int) -> DataFrame:
+    """The rounds of `communities` over numbered nodes (node, id, h) and rows of ties: the driver holds a few numbers a node, tasks find the moves of the nodes in their rows without a shuffle."""
+    context = s.spark.sparkContext
+
+    def with_state(state, frame):
+        held = context.broadcast(state)
+        try:
+            return frame(held)
+        finally:
+            held.destroy()
+
+    hashes, k_first = np.empty(n, np.int64), np.empty(n)
+    names = nodes.select("id", F.xxhash64("node").alias("h")).toArrow()
+    hashes[names["id"].to_numpy()] = names["h"].to_numpy()
+    strengths = first.mapInArrow(_strengths, "node int, k double").toArrow()
+    k_first[strengths["node"].to_numpy()] = strengths["k"].to_numpy()
+    whole = float(k_first.sum())
+
+    def settled(rows: DataFrame, active: np.ndarray, c: np.ndarray, k: np.ndarray) -> bool:
+        for sweep in range(sweeps):
+            state = (c, k, np.bincount(c[active], k[active], n), np.bincount(c[active], minlength=n))
+            m = with_state(state, lambda held: rows.mapInArrow(_best_moves(held, whole, resolution), "node int, c long, gain double").toArrow())
+            if not m.num_rows:
+                return sweep > 0
+            node, to, gain = (m[x].to_numpy() for x in ("node", "c", "gain"))
+            made = _made(node, c[node], to, gain, k[node], _drawn(hashes[node], sweep), n, whole, resolution)
+            c[node[made]] = to[made]
+        return True
+
+    every = np.arange(n)
+    rows, active, k, members = first, every, k_first, every.copy()
+    for _ in range(levels):
+        c = every.copy()
+        if not settled(rows, active, c, k):
+            break
+        least, to = np.full(n, n), every.copy()
+        np.minimum.at(least, c[active], active)
+        to[active] = least[c[active]]
+        members, k, active = to[members], np.bincount(to[active], k[active], n), np.unique(to[active])
+        ties = with_state(to, lambda held, rows=rows: s.step(rows.mapInArrow(_contracted(held), "base long, a long, b long, w double")))
+        rows, before = rows_of_ties(s, ties, ties.count(), weighted=True), rows
+        s.drop(ties, *([] if before is first else [before]))
+    settled(first, every, members, k_first)
+    least = np.full(n, n)
+    np.minimum.at(least, members, every)
+    found = with_state(least[members], lambda held: s.step(nodes.select("id").mapInArrow(_labelled(held), "id long, to long")))
+    return found.join(nodes.select("id", F.col("node").alias("member_ref")), "id").join(nodes.select(F.col("id").alias("to"), F.col("node").alias("community")), "to").select("member_ref", "community")
+
+
+def communities(edges: DataFrame, *, resolution: float = 1.0, sweeps: int = 60, levels: int = 12, held: int = HELD) -> DataFrame:
+    """Louvain communities: (member_ref, community), community being its smallest member.
+
+    Every node begins on its own.  In a sweep each node looks for the neighbouring community that raises modularity most, and all moves are made that together raise it for sure.  When
+    no node gains, communities become nodes and the sweeps begin again, until a level changes nothing; then single members may still move by themselves.  sweeps (of a level) and levels
+    bound the rounds.  Ties without weight or ends are ignored; nodes without ties do not occur in an edge table; no edges give no rows.
+
+    Up to `held` nodes their labels are held by the driver and the tasks, and a sweep is one pass over rows of ties; with more, it is joins and aggregates, and nothing but counts comes to the driver.
+    """
+    s = Stages(edges.sparkSession)
+    ties = s.step(edges.where("a_ref <> b_ref and weight > 0").select(F.col("a_ref").alias("a"), F.col("b_ref").alias("b"), F.col("weight").cast("double").alias("w")))
+    nodes, n = numbered(s, from_both_ends(ties).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("df")), "node")
+    if not n:
+        return ties.select(F.col("a").alias("member_ref"), F.col("b").alias("community"))
+    if n > held:
+        out = _joined_communities(s, ties.select(F.col("a").alias("a_ref"), F.col("b").alias("b_ref"), F.col("w").alias("weight")), resolution, sweeps, levels)
+    else:
+        nodes = s.step(nodes)
+        by_number = from_both_ends(named(ties, nodes, "id", "w"), "w").withColumn("base", F.lit(0))
+        out = _held_communities(s, nodes, n, rows_of_ties(s, by_number, 2 * ties.count(), weighted=True), resolution, sweeps, levels)
+    out = s.step(out)
     s.close(out)
     return out
 

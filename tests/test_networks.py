@@ -157,3 +157,38 @@ def test_large_parts_are_dealt_and_small_ones_packed(spark, monkeypatch):
     d = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a_ref string, b_ref string, weight double")
     got = {r.member_ref: (r.betweenness, r.degree) for r in N.betweenness(d, normalised=False).collect()}
     assert {m: x for m, (x, _) in got.items()} == pytest.approx(want, abs=1e-9) and {m: k for m, (_, k) in got.items()} == {m: len(t) for m, t in ties_of(pairs).items()}
+
+
+def test_sweeps_over_rows_make_the_moves_of_sweeps_by_joins(spark):
+    rng = random.Random(3)
+    rows = [(f"m{a}", f"m{b}", rng.choice((1.0, 0.5, 0.25))) for a, b in ((rng.randrange(70), rng.randrange(70)) for _ in range(260)) if a // 14 == b // 14 or rng.random() < 0.15]
+    d = spark.createDataFrame(rows + [("m1", "m1", 9.0), (None, "m2", 1.0)], "a_ref string, b_ref string, weight double")
+    by_rows, by_joins = (sorted(map(tuple, N.communities(d, sweeps=6, levels=3, held=held).collect())) for held in (N.HELD, 0))
+    assert by_rows == by_joins and 1 < len({c for _, c in by_rows}) < 20
+
+
+def test_draws_are_those_of_spark(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = spark.range(50).select(F.xxhash64("id").alias("h"), *[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)).alias(f"d{k}") for k in (0, 7)]).collect()
+    for k in (0, 7):
+        assert N._drawn(np.array([x.h for x in r], np.int64), k).tolist() == [x[f"d{k}"] for x in r]
+
+
+def test_rows_of_a_node_are_put_together_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from tallystream.functions.adjacency import whole_nodes
+
+    rows = [(1, 5, [2, 3]), (1, 5, [4, 5]), (1, 5, [6]), (2, 1, [1]), (3, 3, [1, 2]), (3, 3, [4])]
+    batch = lambda part: pa.RecordBatch.from_pydict({
+        "a": pa.array([x[0] for x in part], pa.int32()), "ties": pa.array([x[1] for x in part], pa.int32()), "nb": pa.array([x[2] for x in part], pa.list_(pa.int32())), "w": pa.array([[float(y) for y in x[2]] for x in part], pa.list_(pa.float64()))
+    })
+    for cuts in ((0, 6), (0, 1, 6), (0, 2, 3, 5, 6), (0, 1, 2, 3, 4, 5, 6)):
+        got = list(whole_nodes(batch(rows[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)))
+        assert np.concatenate([g[0] for g in got]).tolist() == [1, 2, 3] and np.concatenate([g[1] for g in got]).tolist() == [5, 1, 3]
+        assert np.concatenate([g[2] for g in got]).tolist() == [2, 3, 4, 5, 6, 1, 1, 2, 4] == np.concatenate([g[3] for g in got]).tolist()
+    with pytest.raises(ValueError, match="lie apart"):
+        list(whole_nodes([batch(rows[:2])]))
