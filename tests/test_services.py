@@ -123,3 +123,42 @@ def test_spread_splits_heavy_keys_only(spark):
     right = left.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     a, b, on = S.spread(left, right, "token")
     assert a.join(b, on).count() == 6000 and a.where("token = 'hot'").select("salt").distinct().count() == 64 and a.where("token <> 'hot' and salt > 0").isEmpty()
+
+
+def test_tfidf_with_rare_words_shared_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(K, "COMMON", 12)
+    rng = random.Random(4)
+    word = lambda: f"w{int(rng.paretovariate(0.5)) % 400}"
+    text = lambda n: " ".join(word() for _ in range(n))
+    q = [(f"q{i}", text(8)) for i in range(6)] + [("none", "neverseen"), ("empty", "")]
+    d = [(i % 240, text(rng.randint(0, 30))) for i in range(300)] + [(None, text(9)), (None, text(9)), (900, q[0][1]), (901, q[0][1]), (902, None)]
+    tokens: dict = {}
+    for k, t in d:
+        tokens.setdefault(k, []).extend((t or "").lower().split())
+    count = {k: {w: t.count(w) for w in t} for k, t in tokens.items()}
+    idf = {w: math.log((1 + len(d)) / (1 + sum(w in c for c in count.values()))) + 1 for c in count.values() for w in c}
+    weigh = lambda c: {w: (1 + math.log(n)) * idf[w] for w, n in c.items() if w in idf}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for k, t in q:
+        a = weigh({w: t.split().count(w) for w in t.split()})
+        scores = {x: sum(a[w] * b[w] for w in a if w in b) / (norm(a) * norm(b)) for x, c in count.items() if x is not None and (b := weigh(c)) and any(w in b for w in a)}
+        want.update({(k, r + 1): (x, scores[x]) for r, x in enumerate(sorted(scores, key=lambda x: (-round(scores[x], 12), x))[:3])})
+    qs, ds = spark.createDataFrame(q, "q string, text string"), spark.createDataFrame(d, "d int, text string").repartition(5)
+    for rows in (10_000, 15):
+        got = {(r.q, r["rank"]): (r.d, r.score) for r in K.tfidf_similarity(qs, ds, 3, rows).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], rel_tol=1e-9) for k in want)
+    assert [want["q0", r][0] for r in (1, 2)] == [900, 901]
+
+
+def test_tfidf_leaves_a_task_with_few_candidates():
+    import numpy as np
+    import pyarrow as pa
+
+    class State:
+        value = (pa.array(["a", "b", "c"]), np.array([1.0, 2.0, 3.0]), 3.5, 4.0, np.array([0, 1, 2, 2]), np.array([0, 0]), np.array([1.0, 2.0]), np.array([math.sqrt(5)]), pa.array(["q"]))
+
+    docs = [["a", "b"]] + [["a", "b"] + ["c"] * (i % 9 + 1) + [f"x{i}"] * 3 for i in range(500)] + [["b", "a", "y"]]
+    batch = pa.RecordBatch.from_pydict({"d": pa.array(range(len(docs)), pa.int32()), "words": pa.array(docs)})
+    (got,) = K._candidates(State, 2)([batch.slice(0, 100), batch.slice(100)])
+    assert sorted(got.column("d").to_pylist()) == [0, 501] and got.schema.field("d").type == pa.int32()
